@@ -370,7 +370,7 @@ def retention_clock(tasks: DataFrame, access: DataFrame, policy: Policy) -> Data
     by_key = access.groupBy(KEY).agg(
         F.max(F.when(F.col("kind").isin("access", "hold", "restore"), F.col("at"))).alias("_at"),
         F.max(F.when(F.col("kind") == "restore", F.col("at"))).alias("_restored"),
-        F.max_by("kind", "at").filter(F.col("kind").isin("hold", "release")).alias("_hold"),
+        F.max_by("kind", F.when(F.col("kind").isin("hold", "release"), F.col("at"))).alias("_hold"),
     )
     df = tasks.join(by_key, KEY, "left")
     hold = (
