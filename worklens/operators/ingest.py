@@ -135,10 +135,10 @@ def ingest_documents(
 
     described = items.select("item_id", column_text("column_values").alias("text")).filter("text <> ''")
     board = described.select(
-        keys.derived_asset_id(F.concat(F.lit("columns:"), "item_id"), keys.digest("text"), F.lit("columns.txt")).alias("file_id"),
+        keys.derived_asset_id(F.concat(F.lit("columns:"), "item_id"), keys.digest("text"), F.lit(vocab.COLUMNS_FILENAME)).alias("file_id"),
         "item_id",
-        F.lit("columns").alias("kind"),
-        F.lit("board:columns").alias("section"),
+        F.lit(vocab.COLUMNS_KIND).alias("kind"),
+        F.lit(vocab.COLUMNS_SECTION).alias("section"),
         no_page,
         "text",
     )
@@ -255,7 +255,7 @@ def item_texts(mails: DataFrame) -> DataFrame:
 def split_batched_pdf_text(c: Column | str) -> Column:
     """``array<struct<filename,text>>`` of a text with ``=== PDF: name ===`` lines; a later name wins."""
     unix = F.regexp_replace(text.col(c), r"\r\n?", "\n")
-    sections = F.slice(F.split(F.concat(F.lit("\n"), unix), r"\n=== PDF:"), F.lit(2), F.lit(2**31 - 1))
+    sections = F.filter(F.split(F.concat(F.lit("\n"), unix), r"\n=== PDF:"), lambda s, i: i > 0)
     pairs = F.transform(
         sections,
         lambda s: F.struct(
@@ -265,6 +265,5 @@ def split_batched_pdf_text(c: Column | str) -> Column:
     )
     names = F.transform(pairs, lambda p: p["filename"])
     return F.filter(
-        pairs,
-        lambda p, i: F.array_position(F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1))), p["filename"]) == 0,
+        pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["filename"])
     )

@@ -68,9 +68,7 @@ def storage_gate(assets: DataFrame, size: str = "file_size", limit: int = vocab.
     """Adds the parsed size and the storage status, code and detail of oversized assets."""
     parsed = lenient_size(size)
     over = exceeds_limit(size, limit)
-    detail = F.concat(
-        F.lit("reported size "), parsed.cast("string"), F.lit(f" bytes exceeds the limit of {limit} bytes")
-    )
+    detail = F.format_string(vocab.OVERSIZE_DETAIL, parsed, F.lit(limit))
     return assets.select(
         "*",
         parsed.alias("size_bytes"),

@@ -308,3 +308,10 @@ IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".webp")
 PLACEHOLDER_IMAGE_ENDINGS = (".gif", ".bmp")
 INLINE_IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".gif", ".bmp")
 EVENT_LOG_PREFIX = "design_processing_event="
+
+# Stored texts that carry the source system's name.
+SOURCE_ROOT = "monday"
+COLUMNS_KIND = "monday_columns"
+COLUMNS_SECTION = "monday:columns"
+COLUMNS_FILENAME = "monday_columns.txt"
+OVERSIZE_DETAIL = "Monday reported asset size %d bytes exceeds the configured storage limit of %d bytes"
