@@ -57,8 +57,9 @@ def compare(spark, con, sf: str, name: str, build, sql: str | None) -> tuple[boo
     want = rows_of(columns, cursor.fetchall())
     if got == want:
         return True, f"equal: {len(got)} rows"
-    missing = [r for r in want if r not in got][:2] if len(want) < 20000 else []
-    extra = [r for r in got if r not in want][:2] if len(got) < 20000 else []
+    have, wanted = set(got), set(want)
+    missing = [r for r in want if r not in have][:2]
+    extra = [r for r in got if r not in wanted][:2]
     return False, f"{len(got)} rows / {len(want)} wanted; {sorted(columns)}\n   only here {extra}\n   only sql  {missing}"
 
 

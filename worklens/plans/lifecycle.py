@@ -248,7 +248,7 @@ def jobs_to_cancel(plan: DataFrame, jobs: DataFrame) -> DataFrame:
     """Every active job of the items the plan cancels, with the reason."""
     doomed = plan.filter("cancel_jobs").select(*PAIR, F.col("reason").alias("last_error"))
     active = jobs.filter(F.col("status").isin(*vocab.ACTIVE_SYNC_JOB_STATUSES))
-    return active.join(doomed, PAIR).select("id", *PAIR, F.lit("cancelled").alias("status"), "last_error")
+    return active.select("id", *PAIR).join(doomed, PAIR).select("id", *PAIR, F.lit("cancelled").alias("status"), "last_error")
 
 
 def task_status(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -363,14 +363,14 @@ def rows_kept(table: DataFrame, outcome: DataFrame, files: DataFrame | None = No
 def retention_clock(tasks: DataFrame, access: DataFrame, policy: Policy) -> DataFrame:
     """Effect of accesses, holds, releases and restores on the purge date.
 
-    access: external_task_key, at, kind ('access' | 'hold' | 'release' | 'restore').
+    access: external_task_key, accessed_at, kind ('access' | 'hold' | 'release' | 'restore').
     The newest access extends the date of retained tasks without a hold; an
     expired task becomes retained again on restore.
     """
     by_key = access.groupBy(KEY).agg(
-        F.max(F.when(F.col("kind").isin("access", "hold", "restore"), F.col("at"))).alias("_at"),
-        F.max(F.when(F.col("kind") == "restore", F.col("at"))).alias("_restored"),
-        F.max_by("kind", F.when(F.col("kind").isin("hold", "release"), F.col("at"))).alias("_hold"),
+        F.max(F.when(F.col("kind").isin("access", "hold", "restore"), F.col("accessed_at"))).alias("_at"),
+        F.max(F.when(F.col("kind") == "restore", F.col("accessed_at"))).alias("_restored"),
+        F.max_by("kind", F.when(F.col("kind").isin("hold", "release"), F.col("accessed_at"))).alias("_hold"),
     )
     df = tasks.join(by_key, KEY, "left")
     hold = (

@@ -1,6 +1,6 @@
 """Queries by name; importing the modules fills the registry."""
 
-from worklens.queries import change_events, scalars, texts  # noqa: F401
+from worklens.queries import change_events, plan_queries, scalars, texts  # noqa: F401
 from worklens.queries.base import REGISTRY
 
 __all__ = ["REGISTRY"]

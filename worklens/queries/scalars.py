@@ -502,13 +502,13 @@ def pdf_batches(spark, sf):
 @query(
     "project_numbers",
     f"""
-    select l_orderkey, arg_min(regexp_extract(filename, '(?i)TP[\\s_-]*([0-9]{{4,}})', 1), (l_linenumber, l_partkey)) as project_number
+    select l_orderkey, arg_min(regexp_extract(filename, '(?i)TP[\\s_-]*([0-9]{{4,}})', 1), (l_linenumber, l_partkey, filename)) as project_number
     from {FILES.sql} where regexp_matches(filename, '(?i)\\bTP[\\s_-]*[0-9]{{4,}}') group by 1
     """,
 )
 def project_numbers(spark, sf):
     f = FILES.df(spark, sf).withColumn("number", values.project_number("filename")).filter("number is not null")
-    return f.groupBy("l_orderkey").agg(F.min_by("number", F.struct("l_linenumber", "l_partkey")).alias("project_number"))
+    return f.groupBy("l_orderkey").agg(F.min_by("number", F.struct("l_linenumber", "l_partkey", "filename")).alias("project_number"))
 
 
 NAMES = Proxy(
