@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -136,11 +137,10 @@ def operations_metrics(
         latency_row,
         spread,
     ]
-    out = job_row
-    for row in rows:
-        # Each side is exactly one aggregate row.
-        out = out.crossJoin(row)
-    return out.withColumn("schema_version", F.lit(1)).withColumn("collected_at", now)
+    # Each part is one row with its own columns; merged, they are the document.
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [job_row, *rows])
+    merged = parts.agg(*[F.any_value(c, F.lit(True)).alias(c) for c in parts.columns])
+    return merged.withColumn("schema_version", F.lit(1)).withColumn("collected_at", now)
 
 
 def metrics_json(metrics: DataFrame) -> DataFrame:

@@ -204,12 +204,10 @@ def landing_plan(
     """
     late = F.col("created_at") >= activation
     if limit is not None:
-        last = group_items.filter(late).orderBy("source_pos").limit(limit).agg(
-            F.max("source_pos").alias("_last"), F.count(F.lit(1)).alias("_n")
-        )
-        group_items = group_items.crossJoin(last).filter(
-            (F.col("_n") < limit) | (F.col("source_pos") <= F.col("_last"))
-        )
+        # One number: the position of the last candidate, NULL when all fit.
+        reached = group_items.filter(late).orderBy("source_pos").limit(limit)
+        last = reached.agg(F.when(F.count(F.lit(1)) >= limit, F.max("source_pos")))
+        group_items = group_items.filter(F.col("source_pos") <= F.coalesce(last.scalar(), F.col("source_pos")))
     skipped = group_items.filter(~late).select(
         "item_id", F.lit("skipped").alias("action"), F.lit("before_activation_timestamp").alias("reason")
     )

@@ -1,6 +1,15 @@
 """Queries by name; importing the modules fills the registry."""
 
-from worklens.queries import change_events, plan_queries, scalars, texts  # noqa: F401
+from worklens.queries import (  # noqa: F401
+    board_items,
+    change_events,
+    match_queries,
+    plan_queries,
+    report_queries,
+    scalars,
+    search_queries,
+    texts,
+)
 from worklens.queries.base import REGISTRY
 
 __all__ = ["REGISTRY"]
