@@ -9,6 +9,13 @@ from worklens import vocab
 # Unicode white space as ``str.strip`` and ``str.split`` see it; the same class
 # works in Java and in RE2, so SQL checks can reuse it.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+# The same characters as a trim set: trimming by set is far cheaper than a regex.
+WS_CHARS = "".join(
+    map(
+        chr,
+        [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
+    )
+)
 
 
 def col(c: Column | str) -> Column:
@@ -16,11 +23,11 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"{WS}+\z", "")
+    return F.rtrim(col(c), F.lit(WS_CHARS))
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -54,7 +61,7 @@ def chunks(
     max_chars: int | None = None,
     max_chunks: int | None = None,
 ) -> Column:
-    """``array<struct<chunk_index,chunk_start,chunk_end,chunk_text>>`` of overlapping windows.
+    """``array<struct<chunk_index,chunk_total,chunk_start,chunk_end,chunk_text>>`` of overlapping windows.
 
     One regular-expression pass cuts the text into strides; a window is a stride
     plus the head of the following ones, so the work is linear in the text.
@@ -66,7 +73,10 @@ def chunks(
         text = F.substring(text, 1, max_chars)
     if overlap > stride:
         raise ValueError("the overlap must not exceed the stride")
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+
+    def cut(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+        return F.struct(pieces.alias("pieces"), F.length(t).alias("n"))
 
     def windows(bound: Column) -> Column:
         p, n = bound["pieces"], bound["n"]
@@ -79,6 +89,7 @@ def chunks(
             tail = F.coalesce(F.try_element_at(p, i + 2), F.lit(""))
             return F.struct(
                 (i + 1).alias("chunk_index"),
+                count.alias("chunk_total"),
                 start.alias("chunk_start"),
                 F.least(n, start + size).alias("chunk_end"),
                 F.concat(piece, F.substring(tail, 1, overlap)).alias("chunk_text"),
@@ -86,9 +97,8 @@ def chunks(
 
         return F.transform(F.slice(p, F.lit(1), count), window)
 
-    # The one-element transform binds the pieces once for all uses.
-    bound = F.array(F.struct(pieces.alias("pieces"), F.length(text).alias("n")))
-    return F.flatten(F.transform(bound, windows))
+    # One-element transforms bind the stripped text and its pieces once for all uses.
+    return F.flatten(F.transform(F.transform(F.array(text), cut), windows))
 
 
 def section_label(

@@ -43,8 +43,32 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def _best_ratio(name: pd.Series, reference: pd.Series, title: pd.Series) -> pd.Series:
+    """Best of the two ratios; the reference is skipped when its upper bound cannot win."""
+    by_title: dict[tuple[str, str], float] = {}
+    matcher = SequenceMatcher()
+
+    def one(n: str | None, r: str | None, t: str | None) -> float:
+        best = 0.0
+        if n is None:
+            return best
+        n = n.lower()
+        if t:
+            pair = (n, t.lower())
+            if pair not in by_title:
+                matcher.set_seqs(*pair)
+                by_title[pair] = matcher.ratio()
+            best = by_title[pair]
+        if r is not None:
+            matcher.set_seqs(n, r.lower())
+            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+                best = max(best, matcher.ratio())
+        return best
+
+    return pd.Series([one(n, r, t) for n, r, t in zip(name, reference, title)], dtype="float64")
+
+
 def name_similarity(name: Column | str, reference: Column | str, title: Column | str) -> Column:
     """Best ratio against the reference and the title; a missing title counts as 0."""
-    by_title = F.coalesce(sequence_ratio(col(name), F.nullif(col(title), F.lit(""))), F.lit(0.0))
-    by_reference = F.coalesce(sequence_ratio(col(name), col(reference)), F.lit(0.0))
-    return F.greatest(by_reference, by_title)
+    return _best_ratio(col(name), col(reference), col(title))

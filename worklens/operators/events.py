@@ -37,15 +37,16 @@ def normalize(events: DataFrame, payload: str = "payload") -> DataFrame:
     The body is the ``event`` member when that is an object, else the payload.
     Only rows without ids send their payload to Python for hashing.
     """
-    parsed = F.try_parse_json(col(payload))
-    inner = F.try_variant_get(parsed, "$.event", "variant")
-    is_object = F.schema_of_variant(inner).startswith("OBJECT")
-    staged = events.withColumn("_body", F.when(is_object, inner).otherwise(parsed))
+    inner = F.get_json_object(col(payload), "$.event")
+    body = F.when(inner.startswith("{"), inner).otherwise(col(payload))
+    # One parse of the body yields every alias.
+    aliases = [alias for names in vocab.EVENT_ALIASES.values() for alias in names]
+    raw = [f"_{alias}" for alias in aliases]
+    staged = events.withColumn("_body", body)
+    staged = staged.select("*", F.json_tuple("_body", *aliases).alias(*raw)).drop("_body")
     fields = {
-        name: F.coalesce(
-            *[blank_to_null(F.try_variant_get(F.col("_body"), f"$.{alias}", "string")) for alias in aliases]
-        )
-        for name, aliases in vocab.EVENT_ALIASES.items()
+        name: F.coalesce(*[blank_to_null(f"_{alias}") for alias in names])
+        for name, names in vocab.EVENT_ALIASES.items()
     }
     staged = staged.select(*events.columns, *[c.alias(n) for n, c in fields.items()])
     by_trigger = F.col("trigger_uuid").isNotNull()

@@ -19,11 +19,9 @@ def chunk_documents(documents: DataFrame, max_chars: int | None = None, max_chun
     A narrow projection: no shuffle, and the text is read once. Chunk ids are
     derived from file, section and position, so a re-run gives the same ids.
     """
-    rows = documents.select(
-        "file_id", "kind", "section", "page", text.chunks("text", max_chars=max_chars, max_chunks=max_chunks).alias("_c")
-    )
-    rows = rows.select("file_id", "kind", "section", "page", F.size("_c").alias("_total"), F.explode("_c").alias("c"))
-    label = text.section_label("section", "kind", "c.chunk_index", "c.chunk_start", "c.chunk_end", "_total")
+    cut = text.chunks("text", max_chars=max_chars, max_chunks=max_chunks)
+    rows = documents.select("file_id", "kind", "section", "page", F.explode(cut).alias("c"))
+    label = text.section_label("section", "kind", "c.chunk_index", "c.chunk_start", "c.chunk_end", "c.chunk_total")
     return rows.select(
         F.sha2(
             F.concat_ws("\x1f", F.col("file_id").cast("string"), F.coalesce("section", F.lit("")), F.coalesce(F.col("page").cast("string"), F.lit("")), F.col("c.chunk_index").cast("string")),

@@ -9,6 +9,7 @@ from worklens.functions.text import strip
 from worklens.functions.values import clean_value, percent_text
 from worklens.functions.words import meaningful_words, name_similarity
 from worklens.scale import number_rows
+from worklens.session import checkpointed
 
 GRAM = 3
 
@@ -54,18 +55,28 @@ def word_titles(words: DataFrame, projects: DataFrame) -> DataFrame:
     return contains_join(lowered, titles, "word", "title")
 
 
+def _title_sizes(projects: DataFrame, live: Column) -> DataFrame:
+    return projects.groupBy(F.lower("project_title").alias("title")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.coalesce(live, F.lit(False))).alias("_live")
+    )
+
+
+def _word_statistics(words: DataFrame, pairs: DataFrame, cap: int) -> DataFrame:
+    """Capped hit count and live titles of every word; pairs carry ``_n`` and ``_live``."""
+    counted = pairs.groupBy("word").agg(F.sum("_n").alias("_n"), F.count_if("_live").alias("_titles"))
+    every = words.select(F.lower("word").alias("word")).distinct().join(counted, "word", "left")
+    hits = F.least(F.coalesce("_n", F.lit(0)), F.lit(cap)).cast("int")
+    return every.select("word", hits.alias("hits"), F.coalesce("_titles", F.lit(0)).alias("_titles"))
+
+
 def hit_counts(words: DataFrame, projects: DataFrame, cap: int = vocab.HIT_COUNT_CAP) -> DataFrame:
     """Projects whose title contains each word, counted up to the cap; any date and state."""
-    pairs = word_titles(words, projects)
-    sizes = projects.groupBy(F.lower("project_title").alias("title")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = pairs.join(sizes, "title").groupBy("word").agg(F.sum("_n").alias("_n"))
-    every = words.select(F.lower("word").alias("word")).distinct()
-    hits = F.least(F.coalesce("_n", F.lit(0)), F.lit(cap)).cast("int")
-    return every.join(counted, "word", "left").select("word", hits.alias("hits"))
+    pairs = word_titles(words, projects).join(_title_sizes(projects, F.lit(True)), "title")
+    return _word_statistics(words, pairs, cap).drop("_titles")
 
 
-def eligible(projects: DataFrame, start_date: str = vocab.PROJECT_START_DATE) -> DataFrame:
-    return projects.filter((F.col("state") == "active") & (F.col("created_date") >= start_date))
+def is_eligible(start_date: str = vocab.PROJECT_START_DATE) -> Column:
+    return (F.col("state") == "active") & (F.col("created_date") >= start_date)
 
 
 def similar_texts(names: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -137,19 +148,17 @@ def match_projects(
     )
     worded = rows.filter(F.size("_words") > 0)
     each = worded.select("enquiry_id", F.posexplode("_words").alias("_pos", "_word")).withColumn("word", F.lower("_word"))
-    hits = (hit_counts(each, projects) if counts is None else counts).select(
-        F.lower("word").alias("word"), "hits"
-    )
-    live = eligible(projects, start_date).withColumn("title", F.lower("project_title"))
-    pairs = contains_join(each.select("word"), live.select("title"), "word", "title")
-    live_words = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("_titles"))
-
-    ranked = (
-        each.join(hits, "word", "left")
-        .join(live_words, "word", "left")
-        .withColumn("hits", F.coalesce("hits", F.lit(vocab.UNKNOWN_HIT_COUNT)))
-        .withColumn("_titles", F.coalesce("_titles", F.lit(0)))
+    live = projects.filter(is_eligible(start_date)).withColumn("title", F.lower("project_title"))
+    # Written once: the statistics and both lookups below read it.
+    pairs = checkpointed(
+        word_titles(each, projects).join(_title_sizes(projects, is_eligible(start_date)), "title")
     )
+    statistics = _word_statistics(each, pairs, vocab.HIT_COUNT_CAP)
+    pairs = pairs.filter("_live").select("word", "title")
+    if counts is not None:
+        recorded = counts.select(F.lower("word").alias("word"), "hits")
+        statistics = statistics.drop("hits").join(recorded, "word", "left")
+    ranked = each.join(statistics, "word").withColumn("hits", F.coalesce("hits", F.lit(vocab.UNKNOWN_HIT_COUNT)))
     # Words of one name: the array is as long as the name.
     ordered = ranked.groupBy("enquiry_id").agg(
         F.transform(
@@ -157,7 +166,7 @@ def match_projects(
             lambda w: F.struct(w["word"].alias("word"), w["_titles"].alias("titles")),
         ).alias("_ordered")
     )
-    ordered = ordered.withColumn("_list", F.transform("_ordered", lambda w: w["word"]))
+    ordered = checkpointed(ordered.withColumn("_list", F.transform("_ordered", lambda w: w["word"])))
 
     # Two shared words: one of them is not the enquiry's most common word, so
     # that word (if it occurs once) needs no lookup of its own.
@@ -173,7 +182,7 @@ def match_projects(
         F.transform("_list", lambda w, i: F.when(F.col("title").contains(w), i)), lambda i: i.isNotNull()
     )
     several = lookups.join(pairs, "word").select("enquiry_id", "title", found.alias("_found"))
-    several = several.filter(F.size("_found") > 1).distinct()
+    several = checkpointed(several.filter(F.size("_found") > 1).distinct())
     longest = several.groupBy("enquiry_id").agg(
         F.min(F.struct((-F.size("_found")).alias("s"), F.col("_found").alias("f"))).alias("_best")
     )
@@ -185,37 +194,39 @@ def match_projects(
     )
     by_word = single.filter("word is not null").join(pairs, "word").select("enquiry_id", "title")
 
+    titles = by_set.unionByName(by_word).withColumn("method", F.lit("words"))
+    detail = ["item_id", "project_reference", "project_title", "state", "created_date"]
+
     # No usable word: the whole name, as text.
     wordless = rows.filter(F.size("_words") == 0).withColumn("_name", F.lower(strip("project_name")))
-    whole = contains_join(wordless.select("_name"), live.select("title"), "_name", "title")
-    by_name = wordless.join(whole, "_name").select("enquiry_id", "title")
-
-    detail = ["item_id", "project_reference", "project_title", "state", "created_date"]
-    titles = by_set.withColumn("method", F.lit("words")).unionByName(by_word.withColumn("method", F.lit("words")))
-    titles = titles.unionByName(by_name.withColumn("method", F.lit("full_text")))
-    matched = titles.join(live.select("title", *detail), "title").drop("title")
+    if not wordless.isEmpty():
+        whole = contains_join(wordless.select("_name"), live.select("title"), "_name", "title")
+        by_name = wordless.join(whole, "_name").select("enquiry_id", "title", F.lit("full_text").alias("method"))
+        titles = titles.unionByName(by_name)
+    titles = checkpointed(titles)
+    every = titles.join(live.select("title", *detail), "title").drop("title")
 
     # Words, but in no live title: every live project that is similar enough.
     lost = worded.join(titles.select("enquiry_id"), "enquiry_id", "left_anti").select("enquiry_id", "project_name")
-    shown = live.select("item_id", F.explode(F.array("project_reference", "project_title")).alias("text"))
-    near = similar_texts(
-        lost.select(F.lower("project_name").alias("name")), shown.select(F.lower("text").alias("text")), threshold
-    )
-    fallback = (
-        lost.withColumn("name", F.lower("project_name"))
-        .join(near, "name")
-        .join(shown.withColumn("text", F.lower("text")), "text")
-        .select("enquiry_id", "item_id")
-        .distinct()
-        .join(live.select(*detail), "item_id")
-        .withColumn("method", F.lit("similarity"))
-    )
-    every = matched.unionByName(fallback).join(enquiries.select("enquiry_id", "project_name"), "enquiry_id")
+    if not lost.isEmpty():
+        every = every.unionByName(_similar_projects(lost, live.select(*detail), threshold))
+    every = every.join(enquiries.select("enquiry_id", "project_name"), "enquiry_id")
+    # The ratios cost time, not bytes: spread the pairs so that no task gets a whole hot enquiry.
+    every = every.repartition(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), "enquiry_id", "item_id")
     similarity = name_similarity("project_name", "project_reference", "project_title")
     scored = every.withColumn("similarity", similarity)
     return scored.filter((F.col("method") != "similarity") | (F.col("similarity") >= threshold))
 
 
+def _similar_projects(lost: DataFrame, live: DataFrame, threshold: float) -> DataFrame:
+    """Live projects that can be similar enough to a name, by reference or title."""
+    names = lost.withColumn("name", F.lower("project_name"))
+    shown = live.select("item_id", F.explode(F.array(F.lower("project_reference"), F.lower("project_title"))).alias("text"))
+    near = similar_texts(names.select("name"), shown.select("text"), threshold)
+    pairs = names.join(near, "name").join(shown, "text").select("enquiry_id", "item_id").distinct()
+    return pairs.join(live, "item_id").withColumn("method", F.lit("similarity"))
+
+
 def rank_candidates(matches: DataFrame) -> DataFrame:
     """Candidates of every enquiry from the most similar on, ranked from 1.
 
@@ -223,7 +234,8 @@ def rank_candidates(matches: DataFrame) -> DataFrame:
     slice by slice.
     """
     order = [F.col("similarity").desc(), F.col("item_id")]
-    ranked = number_rows(matches, ["enquiry_id"], order, "rank")
+    # Ranging samples its input, so the ratios are written down first.
+    ranked = number_rows(checkpointed(matches), ["enquiry_id"], order, "rank")
     return ranked.withColumn("match_percentage", percent_text("similarity"))
 
 

@@ -122,7 +122,7 @@ def column_texts(spark, sf):
 @query(
     "project_labels",
     f"""
-    with f as (select l_orderkey, arg_min(10000 + l_suppkey, (l_linenumber, l_partkey)) as n from lineitem where l_partkey % 12 = 8 group by 1)
+    with f as (select l_orderkey, arg_min(10000 + l_suppkey, (l_linenumber, l_partkey, l_suppkey)) as n from lineitem where l_partkey % 12 = 8 group by 1)
     select o_orderkey::varchar as item_id, case when o_custkey % 3 = 0 then o_orderpriority else coalesce(f.n::varchar, '') end as project from orders left join f on l_orderkey = o_orderkey
     """,
 )
@@ -141,7 +141,7 @@ def project_labels(spark, sf):
     lines = table(spark, sf, "lineitem")
     name = F.when(F.col("l_partkey") % 12 == 8, F.concat(F.lit("tp_ "), (F.col("l_suppkey") + 10000).cast("string"), F.lit("a.pdf"))).otherwise("TP 12.pdf")
     files = lines.select(
-        F.col("l_orderkey").cast("string").alias("item_id"), name.alias("original_filename"), F.struct("l_linenumber", "l_partkey").alias("file_pos")
+        F.col("l_orderkey").cast("string").alias("item_id"), name.alias("original_filename"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("file_pos")
     )
     return item_source.project_label(items, files)
 

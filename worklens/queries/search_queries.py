@@ -112,7 +112,7 @@ CANDIDATES = Proxy(
         "query_index": "cast(event_id % 3 as int)",
         "cand_pos": "event_id",
         "matched_query": "concat('q', cast(event_id % 3 as string))",
-        "score": "case when event_id % 10 = 0 then cast(null as double) else cast(cast(value as int) % 5 as double) end",
+        "score": "case when event_id % 10 = 0 then cast(null as double) else cast(cast(floor(value) as int) % 5 as double) end",
         "file_id": "cast(event_id % 4 as string)",
         "filename": "cast(event_id as string)",
     },

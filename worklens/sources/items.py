@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from worklens import schemas, vocab
 from worklens.functions import keys
 from worklens.functions.text import col, strip
-from worklens.scale import keep_first
 
 
 def read_items(spark: SparkSession, path: str, account_id: Column | str | None = None) -> DataFrame:
@@ -92,30 +91,60 @@ def kind_from_title(title: Column | str) -> Column:
     )
 
 
+def _column_files() -> Column:
+    """``array<struct<asset_id,kind>>`` of the file columns, the deciding (last) entry first."""
+    per_column = F.transform(
+        F.filter("column_values", lambda c: c["type"] == "file"),
+        lambda c: F.transform(
+            F.coalesce(F.from_json(c["value"], schemas.FILE_COLUMN)["files"], F.array().cast(schemas.FILE_COLUMN["files"].dataType)),
+            lambda f: F.struct(f["assetId"].alias("asset_id"), kind_from_title(c["column"]["title"]).alias("kind")),
+        ),
+    )
+    return F.reverse(F.filter(F.flatten(per_column), lambda f: f["asset_id"].isNotNull()))
+
+
 def asset_kinds(items: DataFrame, item: str = "item_id") -> DataFrame:
-    """Kind of every asset named by a file column; a later column wins. Bad JSON is skipped."""
-    columns = items.select(item, F.posexplode("column_values").alias("column_pos", "c")).filter("c.type = 'file'")
-    files = columns.select(
-        item,
-        "column_pos",
-        kind_from_title("c.column.title").alias("kind"),
-        F.posexplode(F.from_json("c.value", schemas.FILE_COLUMN)["files"]).alias("file_pos", "f"),
-    ).filter("f.assetId is not null")
-    position = F.struct("column_pos", "file_pos")
-    return files.groupBy(item, F.col("f.assetId").alias("asset_id")).agg(F.max_by("kind", position).alias("kind"))
+    """Kind of every asset named by a file column; a later column wins. Bad JSON is skipped.
+
+    Everything is in one document, so the rows are decided without a shuffle.
+    """
+    files = items.select(item, _column_files().alias("_f"))
+    ids = files.withColumn("_ids", F.transform("_f", lambda f: f["asset_id"]))
+    first = F.filter("_f", lambda f, i: F.array_position("_ids", f["asset_id"]) == i + 1)
+    return ids.select(item, F.inline(first))
 
 
 def asset_jobs(items: DataFrame, item: str = "item_id") -> DataFrame:
-    """Assets to ingest: item assets first, then update assets; first occurrence wins."""
-    own = items.select(item, F.lit(0).alias("source"), F.lit(0).alias("update_pos"), F.posexplode("assets").alias("pos", "asset"))
-    updates = items.select(item, F.posexplode("updates").alias("update_pos", "u"))
-    later = updates.select(item, F.lit(1).alias("source"), "update_pos", F.posexplode("u.assets").alias("pos", "asset"))
-    every = own.unionByName(later).withColumn("asset_id", F.coalesce("asset.id", F.lit("")))
-    order = [F.col("source"), F.col("update_pos"), F.col("pos")]
-    first = keep_first(every.filter("asset_id <> ''"), [item, "asset_id"], order)
-    joined = first.join(asset_kinds(items, item), [item, "asset_id"], "left")
-    kind = F.when(F.col("source") == 1, F.lit("update_attachment")).otherwise(F.coalesce("kind", F.lit("attachment")))
-    return joined.select(item, "asset_id", kind.alias("kind"), "source", "update_pos", "pos", "asset")
+    """Assets to ingest: item assets first, then update assets; first occurrence wins.
+
+    Decided inside each document, without a shuffle.
+    """
+    none = F.array().cast(schemas.ITEM["assets"].dataType)
+    own = F.coalesce("assets", none)
+    later = F.coalesce(F.flatten(F.transform("updates", lambda u: F.coalesce(u["assets"], none))), none)
+    staged = items.select(
+        item,
+        F.filter(F.concat(own, later), lambda a: F.length(a["id"]) > 0).alias("_assets"),
+        F.size(F.filter(own, lambda a: F.length(a["id"]) > 0)).alias("_own"),
+        _column_files().alias("_f"),
+    )
+    staged = staged.withColumn("_ids", F.transform("_assets", lambda a: a["id"])).withColumn(
+        "_named", F.transform("_f", lambda f: f["asset_id"])
+    )
+
+    def job(asset: Column, i: Column) -> Column:
+        named = F.get(F.col("_f"), (F.array_position("_named", asset["id"]) - 1).cast("int"))["kind"]
+        kind = F.when(i >= F.col("_own"), F.lit("update_attachment")).otherwise(F.coalesce(named, F.lit("attachment")))
+        return F.struct(
+            asset["id"].alias("asset_id"),
+            kind.alias("kind"),
+            i.alias("pos"),
+            (F.array_position("_ids", asset["id"]) == i + 1).alias("first"),
+            asset.alias("asset"),
+        )
+
+    jobs = F.filter(F.transform("_assets", job), lambda j: j["first"])
+    return staged.select(item, F.inline(jobs)).drop("first")
 
 
 def column_text(columns: Column | str = "column_values") -> Column:
