@@ -33,7 +33,7 @@ def contains_join(terms: DataFrame, texts: DataFrame, term: str, text: str) -> D
     known = texts.select(text).distinct()
     size = F.least(F.length(term), F.lit(GRAM))
     text_grams = known.select(
-        text, F.explode(F.flatten(F.array(*[_grams(F.col(text), n) for n in range(1, GRAM + 1)]))).alias("_gram")
+        text, F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col(text), n) for n in range(1, GRAM + 1)])))).alias("_gram")
     ).filter(F.length("_gram") > 0)
     in_texts = text_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
     term_grams = wanted.select(term, F.explode(_grams_of(F.col(term), size)).alias("_gram"))

@@ -99,10 +99,10 @@ def extract_fields(
             fields, errors = [], []
             for value in batch["all_text"]:
                 try:
-                    fields.append(list(extract(value).items()))
+                    fields.append(dict(extract(value)))
                     errors.append(None)
                 except Exception as failure:  # the row carries the error
-                    fields.append([])
+                    fields.append({})
                     errors.append(str(failure))
             yield batch.assign(fields=fields, error=errors)[[key, "all_text", "fields", "error"]]
 

@@ -138,6 +138,8 @@ def search(
 
     group = [KEY, "_cb", "_qb"]
     partial = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(block_top_k, schema)
+    # The distance to a zero vector is NaN and sorts last; pandas hands it over as NULL.
+    partial = partial.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
     return top_k(partial, ["request_id", "query_index"], [F.col("score"), F.col("chunk_id")], k, "cand_pos")
 
 
