@@ -9,7 +9,7 @@ from worklens.functions.text import strip
 from worklens.functions.values import clean_value, percent_text
 from worklens.functions.words import meaningful_words, name_similarity
 from worklens.scale import number_rows
-from worklens.session import checkpointed
+from worklens.session import written
 
 GRAM = 3
 
@@ -150,8 +150,8 @@ def match_projects(
     each = worded.select("enquiry_id", F.posexplode("_words").alias("_pos", "_word")).withColumn("word", F.lower("_word"))
     live = projects.filter(is_eligible(start_date)).withColumn("title", F.lower("project_title"))
     # Written once: the statistics and both lookups below read it.
-    pairs = checkpointed(
-        word_titles(each, projects).join(_title_sizes(projects, is_eligible(start_date)), "title")
+    pairs = written(
+        word_titles(each, projects).join(_title_sizes(projects, is_eligible(start_date)), "title"), "word-titles"
     )
     statistics = _word_statistics(each, pairs, vocab.HIT_COUNT_CAP)
     pairs = pairs.filter("_live").select("word", "title")
@@ -166,7 +166,7 @@ def match_projects(
             lambda w: F.struct(w["word"].alias("word"), w["_titles"].alias("titles")),
         ).alias("_ordered")
     )
-    ordered = checkpointed(ordered.withColumn("_list", F.transform("_ordered", lambda w: w["word"])))
+    ordered = written(ordered.withColumn("_list", F.transform("_ordered", lambda w: w["word"])), "ordered-words")
 
     # Two shared words: one of them is not the enquiry's most common word, so
     # that word (if it occurs once) needs no lookup of its own.
@@ -178,15 +178,21 @@ def match_projects(
         .select("enquiry_id", "_list", F.explode(F.array_distinct("_list")).alias("word"), "_skip")
         .filter(F.col("_skip").isNull() | (F.col("word") != F.col("_skip")))
     )
+    # Titles with the same enquiry words are alike here: the lookup meets each
+    # distinct word set once, and only winning sets are expanded to titles. The
+    # words of one title are at most as many as its characters.
+    sets = written(pairs.groupBy("title").agg(F.array_sort(F.collect_set("word")).alias("_set")), "title-words")
+    by_member = sets.select("_set").distinct().select("_set", F.explode("_set").alias("word"))
     found = F.filter(
-        F.transform("_list", lambda w, i: F.when(F.col("title").contains(w), i)), lambda i: i.isNotNull()
+        F.transform("_list", lambda w, i: F.when(F.array_contains("_set", w), i)), lambda i: i.isNotNull()
     )
-    several = lookups.join(pairs, "word").select("enquiry_id", "title", found.alias("_found"))
-    several = checkpointed(several.filter(F.size("_found") > 1).distinct())
+    several = lookups.join(by_member, "word").select("enquiry_id", "_set", found.alias("_found"))
+    several = written(several.filter(F.size("_found") > 1).distinct(), "shared-words")
     longest = several.groupBy("enquiry_id").agg(
         F.min(F.struct((-F.size("_found")).alias("s"), F.col("_found").alias("f"))).alias("_best")
     )
-    by_set = several.join(longest, "enquiry_id").filter(F.col("_found") == F.col("_best.f")).select("enquiry_id", "title")
+    winners = several.join(longest, "enquiry_id").filter(F.col("_found") == F.col("_best.f"))
+    by_set = winners.select("enquiry_id", "_set").join(sets, "_set").select("enquiry_id", "title")
 
     # Otherwise one word: the first in order that any live title contains.
     single = ordered.join(longest, "enquiry_id", "left_anti").select(
@@ -203,7 +209,7 @@ def match_projects(
         whole = contains_join(wordless.select("_name"), live.select("title"), "_name", "title")
         by_name = wordless.join(whole, "_name").select("enquiry_id", "title", F.lit("full_text").alias("method"))
         titles = titles.unionByName(by_name)
-    titles = checkpointed(titles)
+    titles = written(titles, "matched-titles")
     every = titles.join(live.select("title", *detail), "title").drop("title")
 
     # Words, but in no live title: every live project that is similar enough.
@@ -235,7 +241,7 @@ def rank_candidates(matches: DataFrame) -> DataFrame:
     """
     order = [F.col("similarity").desc(), F.col("item_id")]
     # Ranging samples its input, so the ratios are written down first.
-    ranked = number_rows(checkpointed(matches), ["enquiry_id"], order, "rank")
+    ranked = number_rows(written(matches, "matches"), ["enquiry_id"], order, "rank")
     return ranked.withColumn("match_percentage", percent_text("similarity"))
 
 

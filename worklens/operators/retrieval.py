@@ -12,6 +12,7 @@ from worklens import vocab
 from worklens.functions import text
 from worklens.plans.lifecycle import KEY, latest_complete
 from worklens.scale import top_k
+from worklens.session import written
 
 CHUNKS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 256
@@ -77,29 +78,22 @@ def search(
     only its own best ``k`` rows per query, never all pairs. Vectors are
     shuffled once and chunks of tasks nobody asks about are dropped before.
     """
-    per_task = queries.groupBy(KEY).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(queries_per_block))).cast("int").alias("_query_blocks")
-    )
-    wanted = chunks.select(KEY, "chunk_id", "embedding").join(per_task, KEY)
-    # Only tasks with more than one block are listed; all others default to one.
-    large = (
-        chunks.groupBy(KEY)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > chunks_per_block)
-        .select(KEY, F.ceil(F.col("_n") / F.lit(float(chunks_per_block))).cast("int").alias("_chunk_blocks"))
-    )
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy(KEY).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias(name))
 
-    def with_blocks(df: DataFrame) -> DataFrame:
-        return df.join(large, KEY, "left").withColumn("_chunk_blocks", F.coalesce("_chunk_blocks", F.lit(1)))
-
-    left = with_blocks(wanted).select(
+    # One small row per asked task; written, so that its size decides the join strategy.
+    layout = written(
+        blocks(queries, queries_per_block, "_query_blocks").join(blocks(chunks, chunks_per_block, "_chunk_blocks"), KEY),
+        "search-layout",
+    )
+    left = chunks.join(layout, KEY).select(
         KEY,
         "chunk_id",
         F.col("embedding").cast("array<float>").alias("embedding"),
         F.pmod(F.xxhash64("chunk_id"), F.col("_chunk_blocks")).cast("int").alias("_cb"),
         F.explode(F.sequence(F.lit(0), F.col("_query_blocks") - 1)).alias("_qb"),
     )
-    right = with_blocks(queries.join(per_task, KEY)).select(
+    right = queries.join(layout, KEY).select(
         KEY,
         "request_id",
         "query_index",
@@ -157,7 +151,8 @@ def batch_candidates(
     """
     asked = embed(query_rows(requests))
     scope = chunks_in_scope(chunks.withColumnRenamed("id", "chunk_id"), files, snapshots)
-    found = search(scope, asked, min(k, vocab.CANDIDATES_PER_QUERY))
+    # A few rows per query: written, so that the chunk texts are not shuffled to meet them.
+    found = written(search(scope, asked, min(k, vocab.CANDIDATES_PER_QUERY)), "candidates")
     details = scope.select("chunk_id", "file_id", "filename", "asset_id", "page", "section", F.col("chunk_text").alias("snippet"))
     queries = asked.select("request_id", "query_index", F.col("query").alias("matched_query"))
     return found.join(queries, ["request_id", "query_index"]).join(details, "chunk_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from worklens import vocab
 from worklens.operators import ingest, models, retrieval
 from worklens.queries.base import Proxy, query, sql_collapse, sql_limited, sql_strip, table
+from worklens.session import written
 
 PLANS = Proxy(
     "conversations",
@@ -274,7 +275,8 @@ def batch_retrieval(spark, sf):
     """Whole read path with the offline planner and embedder: requests to evidence."""
     chunks, files, snapshots = _chunk_tables(spark, sf)
     size = 128
-    chunks = models.embed_offline(chunks, "chunk_text", "embedding", size)
+    # The stored chunk table, as an ingest run leaves it.
+    chunks = written(models.embed_offline(chunks, "chunk_text", "embedding", size), "chunks")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("question"))
     plans = models.plan_offline(asked).withColumn("queries", retrieval.sanitize_plan())
     requests = plans.select("request_id", F.concat(F.lit("src"), (F.col("request_id") % 20).cast("string")).alias("external_task_key"), "queries")

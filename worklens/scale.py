@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from worklens.session import checkpointed
+from worklens.session import written
 
 
 def top_k(
@@ -46,7 +46,7 @@ def number_rows(
     must be total, otherwise equal rows are numbered arbitrarily.
     """
     slices = df.repartitionByRange(*[F.col(key) for key in keys], *order)
-    slices = checkpointed(slices.withColumn("_slice", F.spark_partition_id()))
+    slices = written(slices.withColumn("_slice", F.spark_partition_id()), "numbered-slices")
     group = [*keys, "_slice"]
     sizes = slices.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
