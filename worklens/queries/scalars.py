@@ -376,12 +376,13 @@ def percentage_texts(spark, sf):
     with s as (select o_orderkey, case when o_orderkey % 50 = 0 then 0 when o_orderkey % 50 = 1 then null
         else floor(o_totalprice * pow(7, o_orderkey % 8)) end as b from orders),
     u as (select *, floor(ln(b) / ln(1024))::int as u from s where b > 0)
-    select o_orderkey, case when b / pow(1024, u) >= 10 then printf('%.1f', b / pow(1024, u)) else printf('%.2f', b / pow(1024, u)) end
+    select o_orderkey, case when b / pow(1024, u) >= 10 then printf('%.1f', floor(b / pow(1024, u) * 10 + 0.5) / 10) else printf('%.2f', floor(b / pow(1024, u) * 100 + 0.5) / 100) end
       || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][u + 1] as size_text from u
     union all select o_orderkey, case when b is null then '—' else '0 B' end from s where b is null or b = 0
     """,
 )
 def byte_sizes(spark, sf):
+    """Ties round up, as the display does; ``printf`` alone would round them to even."""
     o = table(spark, sf, "orders")
     size = (
         F.when(F.col("o_orderkey") % 50 == 0, 0.0)
