@@ -239,7 +239,7 @@ def diverse_evidence(
     file_limit = min(max_per_file, vocab.MAX_PER_FILE)
     merged = merge_candidates(candidates, extra)
     if evidence_limit <= 0 or file_limit <= 0:
-        merged = merged.limit(0)
+        merged = merged.filter(F.lit(False))
     file_key = F.coalesce(
         F.nullif(F.col("file_id").cast("string"), F.lit("")),
         F.nullif("filename", F.lit("")),

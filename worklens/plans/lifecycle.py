@@ -147,6 +147,12 @@ def run_summary(plan: DataFrame, queued: Column, run: str | None = None) -> Data
     return plan.groupBy(run).agg(*aggregates) if run else plan.agg(*aggregates)
 
 
+def action_counts(plan: DataFrame, action: str = "action", run: str | None = None) -> DataFrame:
+    """Rows per action of a plan table: the counters of a run report."""
+    keys = [run, action] if run else [action]
+    return plan.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def policy_plan(
     items: DataFrame,
     tasks: DataFrame,
@@ -342,6 +348,7 @@ def tombstones(tasks: DataFrame, outcome: DataFrame, now: Column) -> DataFrame:
         "raw_purged_at": F.when(gone, now).otherwise(F.col("raw_purged_at")),
         "latest_snapshot_version": F.when(~F.coalesce(gone, F.lit(False)), F.col("latest_snapshot_version")),
         "sync_status": F.when(gone, F.lit("completed")).otherwise(F.col("sync_status")),
+        "sync_finished_at": F.when(gone, now).otherwise(F.col("sync_finished_at") if "sync_finished_at" in tasks.columns else F.lit(None)),
         "last_sync_result": F.when(gone, F.lit("skipped")).otherwise(F.col("last_sync_result")),
         "updated_at": F.when(tried, now).otherwise(F.col("updated_at")),
     }
@@ -417,14 +424,16 @@ def freshness(tasks: DataFrame, snapshots: DataFrame, current: DataFrame, force:
     return df.select(KEY, fresh.alias("fresh"), ((F.lit(force) | ~fresh) & ~busy).alias("refresh_due"))
 
 
-def unchanged(wanted: DataFrame, snapshots: DataFrame, force: bool = False) -> DataFrame:
-    """Incremental skip: items whose revision has no complete latest snapshot yet.
+def needs_ingest(wanted: DataFrame, snapshots: DataFrame, force: bool = False) -> DataFrame:
+    """Incremental skip: items whose revision has no complete snapshot yet.
 
-    wanted: external_task_key, source_revision.
+    wanted: external_task_key, source_revision. Runs before any expensive step.
     """
     if force:
         return wanted
-    done = latest_complete(snapshots).select(KEY, F.col("snapshot_version").alias("source_revision"))
+    done = snapshots.filter(F.col("ingestion_status") == "complete").select(
+        KEY, F.col("snapshot_version").alias("source_revision")
+    )
     return wanted.join(done, [KEY, "source_revision"], "left_anti")
 
 

@@ -3,6 +3,7 @@
 from worklens.queries import (  # noqa: F401
     board_items,
     change_events,
+    file_queries,
     match_queries,
     plan_queries,
     report_queries,

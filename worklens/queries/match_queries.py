@@ -66,9 +66,7 @@ def full_text_containment(spark, sf):
     return matching.contains_join(names, titles, "name", "title")
 
 
-@query(
-    "project_matches",
-    f"""
+_MATCHES = f"""
     with w as ({_WORDS}), h as ({_HITS}), r as (select enquiry_id, w.word, row_number() over (partition by enquiry_id order by h.hits, w.pos) as i from w join h using (word)),
     live as (select * from {PROJECTS.sql} where state = 'active' and created_date >= '2021-01-01'),
     titles as (select distinct lower(project_title) as title from live),
@@ -76,8 +74,10 @@ def full_text_containment(spark, sf):
     b as (select *, row_number() over (partition by enquiry_id order by len(found) desc, found) as rn from f),
     m as (select f.enquiry_id, f.title from f join b on b.enquiry_id = f.enquiry_id and b.rn = 1 and b.found = f.found)
     select m.enquiry_id, l.item_id from m join live l on lower(l.project_title) = m.title
-    """,
-)
+    """
+
+
+@query("project_matches", _MATCHES)
 def project_matches(spark, sf):
     return matching.match_projects(_enquiries(spark, sf), PROJECTS.df(spark, sf)).select("enquiry_id", "item_id")
 
@@ -96,3 +96,17 @@ def similar_name_fallback(spark, sf):
     enquiries = table(spark, sf, "part").select(F.col("p_name").alias("enquiry_id"), damaged.alias("project_name")).distinct()
     matches = matching.match_projects(enquiries, PROJECTS.df(spark, sf))
     return matches.select("enquiry_id", "item_id", "method", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "match_contracts",
+    f"""
+    with m as ({_MATCHES}), e as (select distinct enquiry_id, project_name from {ENQUIRIES.sql})
+    select e.enquiry_id, e.project_name as extracted_project_title, count(m.item_id)::int as candidate_count, count(m.item_id) > 0 as exists,
+      case when count(m.item_id) > 0 then 'existing' else 'new' end as match_type from e left join m using (enquiry_id) group by 1, 2
+    """,
+)
+def match_contracts(spark, sf):
+    enquiries = _enquiries(spark, sf)
+    ranked = matching.rank_candidates(matching.match_projects(enquiries, PROJECTS.df(spark, sf)))
+    return matching.match_contracts(enquiries, ranked).drop("best_match", "similarity_score")

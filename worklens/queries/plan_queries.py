@@ -478,13 +478,13 @@ def task_freshness(spark, sf):
 @query(
     "incremental_skip",
     f"""
-    with l as ({_LATEST})
-    select i.external_task_key, i.source_revision from {t.ITEMS.sql} i left join l on l.external_task_key = i.external_task_key and l.snapshot_version = i.source_revision where l.id is null
+    select i.external_task_key, i.source_revision from {t.ITEMS.sql} i where not exists
+      (select 1 from {t.SNAPSHOTS.sql} s where s.ingestion_status = 'complete' and s.external_task_key = i.external_task_key and s.snapshot_version = i.source_revision)
     """,
 )
 def incremental_skip(spark, sf):
     wanted = t.ITEMS.df(spark, sf).select("external_task_key", "source_revision")
-    return lifecycle.unchanged(wanted, t.SNAPSHOTS.df(spark, sf))
+    return lifecycle.needs_ingest(wanted, t.SNAPSHOTS.df(spark, sf))
 
 
 @query(
@@ -580,6 +580,17 @@ def landing_reconciliation(spark, sf):
     )
 
 
+@query(
+    "landing_summary",
+    f"""
+    with q as ({_QUEUE}), c as (select item_id, created_at >= timestamp '1998-01-01 00:00:00' as late from {t.DESIGN_SNAPSHOTS.sql})
+    select case when late then 'would_' || outcome else 'skipped' end as action, count(*) as n from q join c using (item_id) group by 1
+    """,
+)
+def landing_summary(spark, sf):
+    return lifecycle.action_counts(landing_reconciliation(spark, sf))
+
+
 @query(
     "design_lease_recovery",
     f"""
