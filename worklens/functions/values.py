@@ -36,15 +36,20 @@ def postcode_area(c: Column | str) -> Column:
 
 def insulation_category(c: Column | str) -> Column:
     """Category of the first listed product contained in the value, or containing it."""
-    value = col(c)
-    lowered = F.lower(value)
-    out = F.when(value.isNull() | value.isin("", "Not found"), value)
-    for category, products in vocab.INSULATION_CATEGORIES:
-        hit = F.lit(False)
-        for product in dict.fromkeys(p.lower() for p in products):
-            hit = hit | lowered.contains(product) | F.lit(product).contains(lowered)
-        out = out.when(hit, F.lit(category))
-    return out.otherwise(value)
+
+    def rule(bound: Column) -> Column:
+        value, lowered = bound["v"], bound["l"]
+        out = F.when(value.isNull() | value.isin("", "Not found"), value)
+        for category, products in vocab.INSULATION_CATEGORIES:
+            hit = F.lit(False)
+            for product in dict.fromkeys(p.lower() for p in products):
+                hit = hit | lowered.contains(product) | F.lit(product).contains(lowered)
+            out = out.when(hit, F.lit(category))
+        return out.otherwise(value)
+
+    # The one-element transform binds the value once for the many comparisons.
+    given = F.transform(F.array(col(c)), lambda v: F.struct(v.alias("v"), F.lower(v).alias("l")))
+    return F.transform(given, rule)[0]
 
 
 def percent_text(c: Column | str) -> Column:

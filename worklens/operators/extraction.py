@@ -31,7 +31,9 @@ def canonical_parameters(answers: DataFrame, key: str = "item_id") -> DataFrame:
     answers: key, all_text, fields (map by canonical name). The long form is
     one projection and one explode; nothing is shuffled.
     """
-    staged = answers.select(key, "fields", header_date("all_text").alias("_header"))
+    # Bound by a generator, so that the header is searched once per text.
+    header = F.explode(F.array(header_date("all_text"))).alias("_header")
+    staged = answers.select(key, "fields", header)
     rows = [
         F.struct(
             F.lit(name).alias("parameter"),
