@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worklens.llm import packing, sharding, token_rollup, url_filter, vector_search
+from worklens.llm import (
+    decontamination,
+    language_crf,
+    packing,
+    quality,
+    sharding,
+    token_rollup,
+    url_filter,
+    vector_search,
+)
+from worklens.llm.common import in_fold
 from worklens.session import new_shared_path
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +35,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# --- 1: language identification
+
+
+@query("op1_language_crf")
+def op1_language_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = in_fold("doc_id", 4, 2)
+    model = language_crf.fit(docs, ~held_out)
+    scored = language_crf.with_language(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 # --- 2: URL filters
 
 #: Rules of the production list (host, path, verdict).
@@ -204,3 +226,29 @@ def op6_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
     for _ in range(2):
         token_rollup.commit("0003-revise", token_rollup.revised(kept, ("words_v1", v1), ("words_v2", v2)), path)
     return token_rollup.totals(spark, path)
+
+
+# --- 8: quality classifier
+
+QUALITY_THRESHOLD = 0.3
+
+
+@query("op8_quality_nbsvm")
+def op8_quality_nbsvm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels"), ~in_fold("doc_id", 5, 0))
+    scored = quality.with_quality(docs, model)
+    return scored.select(
+        "doc_id",
+        in_fold("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+# --- 9: benchmark decontamination
+
+
+@query("op9_benchmark_edit_matching")
+def op9_benchmark_edit_matching(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
