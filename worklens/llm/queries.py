@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worklens.llm import (
     decontamination,
+    jaccard_join,
     language_crf,
     packing,
     quality,
@@ -228,6 +229,45 @@ def op6_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return token_rollup.totals(spark, path)
 
 
+# --- 7: n-gram Jaccard join
+
+
+@query(
+    "op7_jaccard_join",
+    r"""
+    with recursive words as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+        from documents
+    ),
+    sets as materialized (
+        select doc_id, list_distinct(case
+            when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as grams
+        from words
+    ),
+    rows as materialized (select doc_id, unnest(grams) as gram from sets),
+    met as (
+        select a.doc_id as x, b.doc_id as y, count(*) as shared
+        from rows a join rows b on a.gram = b.gram and a.doc_id <> b.doc_id group by all
+    ),
+    links as materialized (
+        select x, y from met join sets a on a.doc_id = x join sets b on b.doc_id = y
+        where 100 * shared >= 80 * (len(a.grams) + len(b.grams) - shared)
+    ),
+    reached as (
+        select doc_id, doc_id as other from sets
+        union
+        select r.doc_id, l.y from reached r join links l on l.x = r.other
+    )
+    select doc_id, len(grams)::bigint as n_shingles, min(other) as component_id
+    from sets join reached using (doc_id) group by all
+    """,
+)
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"))
+
+
 # --- 8: quality classifier
 
 QUALITY_THRESHOLD = 0.3
