@@ -1,30 +1,53 @@
-"""Sorted fingerprints of a block of documents, packed for the shuffle."""
+"""Sorted fingerprints and counts of a block of documents, packed for the shuffle."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 KEY_BITS = 56
-_PLANES = KEY_BITS // 8
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane: the high planes are zeros that compress away."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :_PLANES].T).tobytes()
+def _planes(values: np.ndarray, width: int) -> bytes:
+    wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(wide[:, :width].T).tobytes()
 
 
-def unpack_keys(blob: bytes) -> np.ndarray:
-    n = len(blob) // _PLANES
+def _from_planes(blob: bytes, width: int) -> np.ndarray:
+    n = len(blob) // width
     wide = np.zeros((n, 8), dtype=np.uint8)
-    wide[:, :_PLANES] = np.frombuffer(blob, np.uint8).reshape(_PLANES, n).T
-    return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
+    wide[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, n).T
+    return wide.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def pack_keys(keys: np.ndarray, bits: int = KEY_BITS) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane: the high planes are zeros that compress away."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)), bits // 8)
+
+
+def unpack_keys(blob: bytes, bits: int = KEY_BITS) -> np.ndarray:
+    return np.cumsum(_from_planes(blob, bits // 8), dtype=np.uint64)
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, most of them small."""
+    return zlib.compress(_planes(values, 4), 1)
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return _from_planes(zlib.decompress(blob), 4).astype(np.int64)
+
+
+def bucket_of(keys: np.ndarray, buckets: int, bits: int = KEY_BITS) -> np.ndarray:
+    """Which of the equal ranges of the key space holds each key."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, start, stop) of the slices of sorted keys that fall into equal ranges of the key space."""
-    place = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
+def ranges(keys: np.ndarray, buckets: int, bits: int = KEY_BITS) -> list[tuple[int, int, int]]:
+    """(bucket, start, stop) of the slices of sorted keys that fall into the same range of the key space."""
+    place = bucket_of(keys, buckets, bits)
     cuts = np.flatnonzero(np.diff(place)) + 1
     starts = [0, *cuts.tolist()]
     return [(int(place[a]), a, b) for a, b in zip(starts, [*cuts.tolist(), len(keys)]) if a < b]

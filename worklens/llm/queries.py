@@ -11,6 +11,7 @@ from worklens.llm import (
     jaccard_join,
     language_crf,
     packing,
+    pitman_yor,
     quality,
     sharding,
     token_rollup,
@@ -292,3 +293,14 @@ def op8_quality_nbsvm(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_benchmark_edit_matching")
 def op9_benchmark_edit_matching(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+# --- 10: language-model scoring
+
+
+@query("op10_pitman_yor")
+def op10_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    scored = pitman_yor.score_documents(table(spark, sf, "documents"), ~in_fold("doc_id", 7, 2))
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
