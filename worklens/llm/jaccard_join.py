@@ -6,9 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from worklens.llm.blobs import KEY_BITS, bucket_count, pack_keys, ranges, unpack_keys
 from worklens.llm.common import Words, fingerprints, mixed, slices
@@ -343,3 +342,22 @@ def jaccard_components(
     joined = members.join(classes, "signature", "left")
     component = F.when(F.col("signature").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, that have the smallest id of their component.
+
+    Of rows that repeat an id that stays, the one whose text hashes lowest is kept. Rows
+    without an id stay where no linked document has one.
+    """
+    linked = written(jaccard_components(docs, doc_id=doc_id, text=text, **options), "linked")
+    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    kept = written(kept, "kept-ids")
+    once = kept.filter("rows = 1 or doc_id is null").select(F.col("doc_id").alias("_kept"))
+    out = docs.join(once, F.col(doc_id).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    often = kept.filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+    if often.isEmpty():
+        return out
+    first = Window.partitionBy("_kept").orderBy(F.xxhash64(text))
+    repeated = docs.join(often, F.col(doc_id).cast("long") == F.col("_kept")).withColumn("_turn", F.row_number().over(first))
+    return out.unionByName(repeated.filter("_turn = 1").drop("_kept", "_turn"))

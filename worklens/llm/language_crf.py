@@ -223,15 +223,17 @@ def fit(docs: DataFrame, where, per_label: int = 120, doc_id: str = "doc_id", te
     return CrfModel(labels, [r["text"] or "" for r in rows], [labels.index(r["label"]) for r in rows])
 
 
-def with_language(docs: DataFrame, model: CrfModel | None, text: str = "text") -> DataFrame:
-    """The documents with ``lang_pred`` and ``score`` of the whole text; columns of these names are replaced.
+def with_language(
+    docs: DataFrame, model: CrfModel | None, text: str = "text", label: str = "lang_pred", share: str = "score"
+) -> DataFrame:
+    """The documents with language and share of the whole text; columns of these names are replaced.
 
-    Every word gets its label shares by forward-backward; ``lang_pred`` is the label
+    Every word gets its label shares by forward-backward; ``label`` is the label
     with the largest share over the words with letters (ties: the first by name) and
-    ``score`` is that share. Texts that are null or have no letter, and all texts
+    ``share`` is that share. Texts that are null or have no letter, and all texts
     without a model, are ``und`` with score 0. Rows are labelled where they are.
     """
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(label, share)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = kept.columns.index(text)
 
@@ -240,16 +242,16 @@ def with_language(docs: DataFrame, model: CrfModel | None, text: str = "text") -
         for batch in slices(batches, text, 2 << 20):
             if own is None:
                 best, count = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-                share = np.zeros((batch.num_rows, 1))
+                shares = np.zeros((batch.num_rows, 1))
             else:
-                share, count = own.shares(batch.column(place))
-                best = share.argmax(axis=1)
+                shares, count = own.shares(batch.column(place))
+                best = shares.argmax(axis=1)
             names = [own.labels[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())]
-            score = np.where(count > 0, share[np.arange(len(best)), best], 0.0)
+            score = np.where(count > 0, shares[np.arange(len(best)), best], 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                names=[*batch.schema.names, label, share],
             )
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    added = [T.StructField(label, T.StringType()), T.StructField(share, T.DoubleType())]
     return kept.mapInArrow(labelled, T.StructType([*kept.schema.fields, *added]))

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from worklens.llm.common import WORD
 from worklens.session import written
 
-def sequence_cost(capacity: int, overhead: int = 64) -> float:
-    """Cost of a bin: linear work and an overhead for each sequence."""
-    return capacity + overhead
+def sequence_cost(capacity: int, overhead: int = 64, quadratic_from: int = 16384) -> float:
+    """Cost of a bin: linear work, attention that grows with the square, and an overhead for each sequence."""
+    return capacity + capacity * capacity / quadratic_from + overhead
 
 
 def best_fit(
