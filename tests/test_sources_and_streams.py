@@ -141,8 +141,8 @@ def test_item_state_stream(spark, tmp_path):
     for n, batch in enumerate(batches):
         (path / f"{n}.json").write_text("\n".join(json.dumps(r) for r in batch))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(path))
-    stream_ops.run_available(state.item_states(stream), str(tmp_path / "cp"), str(tmp_path / "out")).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()
+    state.run_item_states(stream, str(tmp_path / "cp"), str(tmp_path / "out")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out/states/batch=2")).orderBy("seq").collect()
     assert [(r.state, r.obligation, r.supersession_requested) for r in rows] == [
         ("waiting_for_email", None, False),
         ("scheduled", "analysis", False),
@@ -155,3 +155,27 @@ def test_item_state_stream(spark, tmp_path):
         ("ready_for_review", None, False),
         ("ready_for_review", None, False),
     ]
+
+
+def test_item_states_do_not_depend_on_the_arrival_of_rows(spark):
+    rows = [("b", "i", n, "snapshot", "ready", None, f"r{n}", "p") for n in range(5000, 0, -1)]
+    schema = "board_id string, item_id string, seq long, kind string, readiness string, execution_kind string, input_revision string, pipeline_version string"
+    states = state.item_states(spark.createDataFrame(rows, schema).repartition(7))
+    assert states.orderBy(F.col("seq").desc()).first().desired_input_revision == "r5000"
+
+
+def test_late_and_unreadable_events_are_kept(spark, tmp_path):
+    late = [[(T, {"triggerUuid": "a"})], [(T - dt.timedelta(days=400), {"triggerUuid": "late"}), (T, {"triggerUuid": "a"})]]
+    write_events(tmp_path / "in", late)
+    (tmp_path / "in" / "2.json").write_text("\n".join(json.dumps({"received_at": str(T), "payload": p}) for p in ("{no json", "nor this", None)))
+    stream = ops.normalize(event_source.stream_events(spark, str(tmp_path / "in"), files_per_trigger=1))
+    stream_ops.run_first_deliveries(stream, str(tmp_path / "cp"), str(tmp_path / "out")).awaitTermination()
+    assert sorted(r.idempotency_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["trigger:a", "trigger:late"]
+    rejects = ops.rejected(event_source.read_events(spark, str(tmp_path / "in"))).collect()
+    assert sorted(r.reject_reason for r in rejects) == ["missing", "unreadable", "unreadable"]
+
+
+def test_normalisation_replaces_clashing_columns_and_knows_texts_from_objects(spark):
+    rows = [("x", json.dumps({"event": "{no object", "pulseId": 5, "triggerUuid": "t"}), T)]
+    got = ops.normalize(spark.createDataFrame(rows, "event_id string, payload string, received_at timestamp")).first()
+    assert (got.item_id, got.event_id, got.idempotency_key) == ("5", None, "trigger:t")

@@ -35,10 +35,19 @@ def normalize(events: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds the normalised fields and the idempotency key of every raw payload.
 
     The body is the ``event`` member when that is an object, else the payload.
-    Only rows without ids send their payload to Python for hashing.
+    Only rows without ids send their payload to Python for hashing. Columns of
+    ``events`` with the name of an added one are replaced. A payload that is no JSON
+    has neither fields nor a key: see ``rejected``.
     """
+    added = [*vocab.EVENT_ALIASES, "idempotency_key"]
+    if payload in added:
+        raise ValueError(f"the payload column may not be named {payload}")
+    events = events.drop(*added)
     inner = F.get_json_object(col(payload), "$.event")
-    body = F.when(inner.startswith("{"), inner).otherwise(col(payload))
+    # A text that opens with a brace looks like an object; its JSON type tells them apart.
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(col(payload)), "$.event", "variant"))
+    is_object = F.when(inner.startswith("{"), F.coalesce(kind.startswith("OBJECT"), F.lit(False))).otherwise(F.lit(False))
+    body = F.when(is_object, inner).otherwise(col(payload))
     # One parse of the body yields every alias.
     aliases = [alias for names in vocab.EVENT_ALIASES.values() for alias in names]
     raw = [f"_{alias}" for alias in aliases]
@@ -88,9 +97,18 @@ def trigger_type(event_type: Column | str, column_id: Column | str) -> Column:
     )
 
 
+def rejected(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """The rows whose payload is missing or no JSON, as they came, with the reason.
+
+    They have no idempotency key and are no deliveries; works on a stream as well.
+    """
+    reason = F.when(col(payload).isNull(), F.lit("missing")).when(F.try_parse_json(col(payload)).isNull(), F.lit("unreadable"))
+    return events.withColumn("reject_reason", reason).filter("reject_reason is not null")
+
+
 def first_deliveries(events: DataFrame, order: Sequence[str] = ("received_at",)) -> DataFrame:
-    """One row per idempotency key: the first delivery."""
-    return keep_first(events, ["idempotency_key"], [F.col(c) for c in order])
+    """One row per idempotency key: the first delivery. Rows without a key are left to ``rejected``."""
+    return keep_first(events.filter("idempotency_key is not null"), ["idempotency_key"], [F.col(c) for c in order])
 
 
 def fan_out(events: DataFrame) -> DataFrame:
@@ -168,9 +186,22 @@ def debounce(
     the time span, not by the event count - reach the window that joins
     neighbouring slots, which keeps a hot key small.
     """
+    return merge_slots(burst_slots(events, keys, at, trigger, revision, tie, gap_seconds), keys, trigger, revision, gap_seconds)
+
+
+def burst_slots(
+    events: DataFrame,
+    keys: Sequence[str],
+    at: str = "received_at",
+    trigger: str = "trigger_type",
+    revision: str = "desired_source_revision",
+    tie: str = "event_id",
+    gap_seconds: int = vocab.DEBOUNCE_SECONDS,
+) -> DataFrame:
+    """One additive row per key and gap-wide time slot."""
     slot = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (gap_seconds * 1_000_000))
     position = F.struct(F.col(at).cast("timestamp").alias("t"), F.col(tie).alias("e"))
-    slots = events.groupBy(*keys, slot.alias("_slot")).agg(
+    return events.groupBy(*keys, slot.alias("_slot")).agg(
         F.min(F.col(at).cast("timestamp")).alias("_first"),
         F.max(F.col(at).cast("timestamp")).alias("_last"),
         F.count(F.lit(1)).alias("_n"),
@@ -179,6 +210,23 @@ def debounce(
             "_revision"
         ),
     )
+
+
+def merge_slots(
+    slots: DataFrame,
+    keys: Sequence[str],
+    trigger: str = "trigger_type",
+    revision: str = "desired_source_revision",
+    gap_seconds: int = vocab.DEBOUNCE_SECONDS,
+) -> DataFrame:
+    """Bursts from slot rows; a slot may have several rows, from several micro-batches."""
+    slots = slots.groupBy(*keys, "_slot").agg(
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
+        F.sum("_n").alias("_n"),
+        F.max("_trigger").alias("_trigger"),
+        F.max("_revision").alias("_revision"),
+    )
     ordered = Window.partitionBy(*keys).orderBy("_slot")
     gap = F.unix_micros("_first") - F.unix_micros(F.lag("_last").over(ordered))
     starts = F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(1))

@@ -257,29 +257,65 @@ def _event_stream(spark, sf):
 def stream_first_deliveries(spark, sf):
     rows = _event_stream(spark, sf).selectExpr(*[f"{e} as {n}" for n, e in DELIVERIES.columns.items()])
     out = new_shared_path(spark, "first-deliveries")
-    once = stream_ops.first_deliveries(rows, watermark="60 days")
+    once = stream_ops.first_deliveries(rows)
     stream_ops.run_available(once, f"{out}/checkpoint", f"{out}/data").awaitTermination()
     return spark.read.parquet(f"{out}/data").select("idempotency_key")
 
 
+@query(
+    "stream_late_deliveries",
+    "select concat(user_id, ':', event_type) as idempotency_key, min(event_id) as event_id from events group by 1",
+)
+def stream_late_deliveries(spark, sf):
+    """The newest events come first, one file each: no key is lost or doubled however late a delivery is."""
+    rows = DELIVERIES.df(spark, sf)
+    out = new_shared_path(spark, "late-deliveries")
+    rows.repartitionByRange(4, F.col("received_at").desc()).write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    stream_ops.run_first_deliveries(stream, f"{out}/checkpoint", f"{out}/data").awaitTermination()
+    kept = spark.read.parquet(f"{out}/data")
+    # Each key has one row; which delivery was first is known once all are there.
+    return kept.select("idempotency_key").join(rows, "idempotency_key").groupBy("idempotency_key").agg(
+        F.min("event_id").alias("event_id")
+    )
+
+
+BROKEN = Proxy(
+    "events",
+    {
+        "event_id": "event_id",
+        "received_at": "cast(ts as timestamp)",
+        "payload": (
+            "case when event_type = 'error' then cast(null as string) when event_type = 'view' then concat('{broken ', cast(event_id as string)) "
+            "else concat('{\"event\": \"{text}\", \"triggerUuid\": \"t', cast(event_id as string), '\"}') end"
+        ),
+    },
+)
+
+
+@query(
+    "rejected_events",
+    """
+    select event_id, case event_type when 'error' then 'missing' when 'view' then 'unreadable' end as reject_reason,
+      case when event_type not in ('error', 'view') then 'trigger:t' || event_id end as idempotency_key from events
+    """,
+)
+def rejected_events(spark, sf):
+    """Every row is either a delivery with a key or a reject with a reason."""
+    events = BROKEN.df(spark, sf)
+    rejects = ops.rejected(events).select("event_id", "reject_reason", F.lit(None).cast("string").alias("idempotency_key"))
+    keyed = ops.first_deliveries(ops.normalize(events.withColumnRenamed("event_id", "row_id")))
+    return rejects.unionByName(
+        keyed.select(F.col("row_id").alias("event_id"), F.lit(None).cast("string").alias("reject_reason"), "idempotency_key")
+    )
+
+
 @query("stream_debounce", _BURSTS)
 def stream_debounce(spark, sf):
     rows = _event_stream(spark, sf).selectExpr(*[f"{e} as {n}" for n, e in BURSTS.columns.items()])
     out = new_shared_path(spark, "debounce")
-    jobs = stream_ops.debounce(rows, ["item_id"], gap_seconds=GAP_SECONDS)
-
-    def replace(batch, _):
-        batch.write.mode("overwrite").parquet(f"{out}/data")
-
-    running = (
-        jobs.writeStream.outputMode("complete")
-        .foreachBatch(replace)
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    running.awaitTermination()
-    return _shown(spark.read.parquet(f"{out}/data"))
+    stream_ops.run_debounce(rows, ["item_id"], f"{out}/checkpoint", f"{out}/data", GAP_SECONDS).awaitTermination()
+    return _shown(stream_ops.bursts(spark, ["item_id"], f"{out}/data", GAP_SECONDS))
 
 
 POLICY = Policy("b1", ("g0", "g1"), ("g2",), "g3")

@@ -134,23 +134,69 @@ def derived_attachments(spark, sf):
     return rows.select(F.col("path").cast("long").alias("p_partkey"), "asset_id", "kind")
 
 
-@query("stream_item_states")
-def stream_item_states(spark, sf):
-    """Keyed state of every item over a stream of observations."""
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
-    ready = F.when(F.col("event_type") == "signup", F.lit("waiting_for_email")).otherwise("ready")
-    kind = F.when(F.col("event_type") == "click", F.lit("started")).when(F.col("event_type") == "purchase", F.lit("finished")).otherwise("snapshot")
-    observations = events.select(
-        F.lit("b").alias("board_id"),
-        F.col("user_id").cast("string").alias("item_id"),
-        F.col("event_id").alias("seq"),
-        kind.alias("kind"),
-        ready.alias("readiness"),
-        F.when(F.col("event_id") % 2 == 0, F.lit("analysis")).otherwise("publication").alias("execution_kind"),
-        F.when(F.col("event_type") != "signup", F.concat(F.lit("r"), (F.floor("value") % 2).cast("string"))).alias("input_revision"),
-        F.lit("p").alias("pipeline_version"),
+OBSERVATIONS = Proxy(
+    "events",
+    {
+        "board_id": "'b'",
+        "item_id": "cast(user_id as string)",
+        "seq": "event_id",
+        "kind": "case event_type when 'click' then 'started' when 'purchase' then 'finished' else 'snapshot' end",
+        "readiness": "case event_type when 'signup' then 'waiting_for_email' else 'ready' end",
+        "execution_kind": "case when event_id % 2 = 0 then 'analysis' else 'publication' end",
+        "input_revision": "case when event_type <> 'signup' then concat('r', cast(cast(floor(value) as bigint) % 2 as string)) end",
+        "pipeline_version": "'p'",
+    },
+)
+_PAIR = "case when input_revision is not null then input_revision || '/' || pipeline_version end"
+
+
+@query(
+    "stream_item_states",
+    f"""
+    with recursive o as materialized (
+        select *, row_number() over (partition by item_id order by seq) as i, {_PAIR} as pair,
+            case when readiness = 'ready' then {_PAIR} end as ready_pair from {OBSERVATIONS.sql}
+    ),
+    walk(item_id, i, seq, state, desired, analyzed, published, running, running_kind, superseded) as (
+        select distinct item_id, 0::bigint, null::bigint, 'scheduled', null::varchar, null::varchar, null::varchar, null::varchar,
+            null::varchar, false from o
+        union all
+        select o.item_id, o.i, o.seq,
+            case when o.kind = 'snapshot' then case
+                    when o.readiness <> 'ready' then o.readiness
+                    when w.desired is distinct from o.ready_pair and o.ready_pair is not null and o.ready_pair is distinct from w.published
+                        then case when w.running is null then 'scheduled' when w.running_kind = 'publication' then 'publishing' else 'processing' end
+                    when w.desired is distinct from o.ready_pair and w.state in ('waiting_for_name', 'waiting_for_email', 'ineligible', 'failed')
+                        then 'scheduled'
+                    else w.state end
+                when o.kind = 'started' then case o.execution_kind when 'publication' then 'publishing' else 'processing' end
+                when w.running = w.desired then case w.running_kind when 'publication' then 'ready_for_review' else 'scheduled' end
+                else w.state end,
+            case when o.kind = 'snapshot' then o.ready_pair else w.desired end,
+            case when o.kind = 'finished' and w.running = w.desired and w.running_kind = 'analysis' then w.running else w.analyzed end,
+            case when o.kind = 'finished' and w.running = w.desired and w.running_kind = 'publication' then w.running else w.published end,
+            case o.kind when 'started' then o.pair when 'finished' then null else w.running end,
+            case o.kind when 'started' then o.execution_kind when 'finished' then null else w.running_kind end,
+            case when o.kind = 'snapshot' and w.desired is distinct from o.ready_pair and w.running is not null
+                    and w.running is distinct from o.ready_pair then true
+                when o.kind = 'finished' and w.running = w.desired then false else w.superseded end
+        from walk w join o on o.item_id = w.item_id and o.i = w.i + 1
     )
+    select 'b' as board_id, item_id, seq, state, split_part(desired, '/', 1) as desired_input_revision,
+        split_part(desired, '/', 2) as desired_pipeline_version,
+        case when desired is null then null when desired is distinct from analyzed then 'analysis'
+            when desired is distinct from published then 'publication' end as obligation, superseded as supersession_requested
+    from walk where i > 0
+    """,
+)
+def stream_item_states(spark, sf):
+    """Observations arrive out of order, newest files first; every item ends with the states of its ordered history."""
+    rows = OBSERVATIONS.df(spark, sf)
     out = new_shared_path(spark, "item-states")
-    stream_ops.run_available(state.item_states(observations), f"{out}/checkpoint", f"{out}/data").awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    rows.repartitionByRange(4, F.col("seq").desc()).write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
+    state.run_item_states(stream, f"{out}/checkpoint", f"{out}/data").awaitTermination()
+    # The last batch that touched an item knows all of its observations.
+    states = spark.read.parquet(f"{out}/data/states")
+    final = states.groupBy("board_id", "item_id").agg(F.max("batch").alias("batch"))
+    return states.join(final, ["board_id", "item_id", "batch"]).drop("batch")

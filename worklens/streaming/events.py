@@ -4,35 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from worklens import vocab
 from worklens.operators import events as ops
 
 
-def first_deliveries(stream: DataFrame, watermark: str | None = "7 days") -> DataFrame:
-    """Each idempotency key once.
+def first_deliveries(stream: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Each idempotency key once; rows without a key are for ``ops.rejected``.
 
-    With a watermark the state is bounded: a key that returns later than the
-    watermark counts as new, unlike the unbounded key table. ``None`` keeps
-    every key for ever.
+    By default every key is kept for ever and however late a row is, it counts. A
+    watermark bounds the state at a price the caller must want: later rows are dropped
+    and a key that returns after it counts as new. ``run_first_deliveries`` keeps the
+    keys in a table instead of the state.
     """
+    keyed = stream.filter("idempotency_key is not null")
     if watermark is None:
-        return stream.dropDuplicates(["idempotency_key"])
-    return stream.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["idempotency_key"])
+        return keyed.dropDuplicates(["idempotency_key"])
+    return keyed.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["idempotency_key"])
+
+
+def batches(spark: SparkSession, path: str, schema: StructType, below: int) -> DataFrame:
+    """The rows that micro-batches up to ``below`` have left under ``path``, each in a folder of its own."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    return rows.filter(F.col("batch") <= below).drop("batch")
+
+
+def run_first_deliveries(stream: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
+    """First deliveries as a table that is its own memory of keys.
+
+    A micro-batch writes the keys that no earlier batch has, into a folder of its own
+    that a repeated batch replaces. No key is forgotten, no late row is dropped and no
+    state is kept; a scan of the key column takes the place of the state.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        new = ops.first_deliveries(batch)
+        if batch_id > 0:
+            known = batches(batch.sparkSession, path, batch.schema, batch_id - 1).select("idempotency_key")
+            new = new.join(known, "idempotency_key", "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return for_each_batch(stream, checkpoint, handle)
+
+
+def run_debounce(
+    stream: DataFrame, keys: list[str], checkpoint: str, path: str, gap_seconds: int = vocab.DEBOUNCE_SECONDS
+) -> StreamingQuery:
+    """Keeps one row per item and time slot of every micro-batch; ``bursts`` joins them.
+
+    Slots are additive, so late events and repeated batches need no watermark: a late
+    event extends or joins bursts when they are read next.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        ops.burst_slots(batch, keys, gap_seconds=gap_seconds).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return for_each_batch(stream, checkpoint, handle)
+
+
+def bursts(spark: SparkSession, keys: list[str], path: str, gap_seconds: int = vocab.DEBOUNCE_SECONDS) -> DataFrame:
+    """One job per burst of an item over all micro-batches so far, open bursts included."""
+    return ops.merge_slots(spark.read.parquet(path).drop("batch"), keys, gap_seconds=gap_seconds)
 
 
 def debounce(
     stream: DataFrame,
     keys: list[str],
-    watermark: str = "10 minutes",
+    watermark: str,
     gap_seconds: int = vocab.DEBOUNCE_SECONDS,
 ) -> DataFrame:
-    """One job per burst of an item, emitted when the burst is over.
+    """One job per burst of an item, emitted when the burst is over, from stream state.
 
-    Events exactly one gap apart still belong together. The session merge runs
-    in the input tasks first when
+    The caller states how late events may come; later ones are dropped, which
+    ``run_debounce`` does not do. Events exactly one gap apart still belong together.
+    The session merge runs in the input tasks first when
     ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` is
     on, which keeps a hot item small. An event during a running job opens a new
     session instead of retargeting the job.
@@ -58,7 +106,7 @@ def debounce(
     )
 
 
-def dispatches(stream: DataFrame, watermark: str | None = "7 days") -> DataFrame:
+def dispatches(stream: DataFrame, watermark: str | None = None) -> DataFrame:
     """Raw events to pending dispatches: normalise, once per key, one row per consumer."""
     return ops.fan_out(first_deliveries(ops.normalize(stream), watermark))
 
