@@ -304,5 +304,9 @@ def test_mail_attachment_documents(spark):
     by_section = {r.section: r.text for r in rows}
     assert by_section["row:1"].startswith("Parameter: a") and by_section["email:header"] == "From: x" and "email:body" not in by_section
     assert by_section["email:attachment:a00.pdf"] == "PDF ATTACHMENT (a00.pdf):\nhello"
-    assert sum(s.startswith("email:attachment") for s in by_section) == 8
+    assert sum(s.startswith("email:attachment") for s in by_section) == 10
+    limited = ingest.ingest_documents(assets, csv, mail, extracted, items, attachments_per_kind=8, max_pdf_bytes=5).collect()
+    assert sum("attachment limit" in r.text for r in limited) == 2 and sum("Too large" in r.text for r in limited) == 8
+    large = ingest.ingest_documents(assets, csv, mail, extracted, items, max_mail_bytes=5).collect()
+    assert [r.text for r in large if r.kind == "email"] == ["Email too large for extraction (10 bytes)."]
     assert by_section["image:description"] == "Unsupported image format: gif"

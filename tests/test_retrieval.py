@@ -38,11 +38,12 @@ def test_diverse_evidence_golden(spark):
     assert len(picked(retrieval.diverse_evidence(candidates(spark, GOLDEN), 4, 3))) == 4
 
 
-def test_limits_can_only_be_lowered(spark):
+def test_limits_are_the_callers(spark):
     rows = [("r", f"{f}-{i}", 0, i / 10, f, 5 * n + i) for n, f in enumerate("abcde") for i in range(5)]
     got = retrieval.diverse_evidence(candidates(spark, rows), 100, 100).collect()
-    assert len(got) == 12
-    assert max(sum(r.file_id == f for r in got) for f in "abcde") == 3
+    assert len(got) == len(rows)
+    got = retrieval.diverse_evidence(candidates(spark, rows), 9, 2).collect()
+    assert len(got) == 9 and max(sum(r.file_id == f for r in got) for f in "abcde") == 2
     assert retrieval.diverse_evidence(candidates(spark, rows), 0, 3).count() == 0
 
 
@@ -131,7 +132,7 @@ def test_plan_sanitising(spark):
         ((None, " ", None), []),
     ]
     df = spark.createDataFrame([c for c, _ in cases], schema)
-    assert [r[0] for r in df.select(retrieval.sanitize_plan()).collect()] == [e for _, e in cases]
+    assert [r[0] for r in df.select(retrieval.sanitize_plan(limit=2, compound_limit=3)).collect()] == [e for _, e in cases]
 
 
 def test_citations_drop_unknown_and_repeated_ids(spark):
@@ -171,7 +172,7 @@ def test_pluggable_models(spark):
         return plan
 
     asked = spark.createDataFrame([(1, "fail"), (2, "roof")], "request_id int, question string")
-    plans = {r.request_id: r for r in models.plan_with(asked, make_planner).withColumn("q", retrieval.sanitize_plan()).collect()}
+    plans = {r.request_id: r for r in models.plan_with(asked, make_planner).withColumn("q", retrieval.sanitize_plan(limit=2, compound_limit=3)).collect()}
     assert plans[1].search_queries is None and plans[1].q == ["fail"]
     assert plans[2].q == ["roof", "more"]
 

@@ -48,9 +48,11 @@ def without_nul(c: Column | str) -> Column:
     return F.replace(F.coalesce(col(c), F.lit("")), F.lit("\x00"), F.lit(""))
 
 
-def limited(c: Column | str, limit: int = 2000) -> Column:
-    """Stripped display text, cut at ``limit`` characters with an ellipsis."""
+def limited(c: Column | str, limit: int | None) -> Column:
+    """Stripped display text, cut at ``limit`` characters with an ellipsis; ``None`` cuts nothing."""
     text = strip(F.coalesce(col(c).cast("string"), F.lit("")))
+    if limit is None:
+        return text
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 

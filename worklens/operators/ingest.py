@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from worklens import vocab
 from worklens.functions import keys, text
-from worklens.operators.routing import attachment_kind, placeholder_text
-from worklens.scale import top_k
+from worklens.operators.routing import attachment_kind, exceeds_limit, placeholder_text
 from worklens.sources.items import column_text
 
 
@@ -61,9 +60,17 @@ def ingest_documents(
     mail_parts: DataFrame,
     extracted: DataFrame,
     items: DataFrame,
+    *,
+    max_mail_bytes: int | None = None,
+    max_pdf_bytes: int | None = None,
+    max_image_bytes: int | None = None,
+    attachments_per_kind: int | None = None,
 ) -> DataFrame:
     """All text documents of an ingest run, one row per document.
 
+    Everything is read unless the caller sets a limit; what a limit leaves unread has
+    a document that says so.
+
     assets: file_id, item_id, path, filename, route, actual_size
     csv_documents: path, row_index, text
     mail_parts: path, part_kind, filename, text, size_bytes, part_index
@@ -83,7 +90,17 @@ def ingest_documents(
         "text",
     )
 
-    mails = assets.filter((F.col("route") == "email") & (F.coalesce("actual_size", F.lit(0)) <= vocab.MAX_EMAIL_BYTES))
+    mails = assets.filter("route = 'email'")
+    over = exceeds_limit("actual_size", max_mail_bytes)
+    large = mails.filter(over).select(
+        "file_id",
+        "item_id",
+        F.lit("email").alias("kind"),
+        F.lit("email:body").alias("section"),
+        no_page,
+        F.concat(F.lit("Email too large for extraction ("), F.col("actual_size").cast("string"), F.lit(" bytes).")).alias("text"),
+    )
+    mails = mails.filter(~over)
     parts = mails.select("file_id", "item_id", "path").join(mail_parts.withColumnRenamed("filename", "attachment"), "path")
     own = parts.filter(F.col("part_kind").isin("header", "body") & (text.strip("text") != "")).select(
         "file_id",
@@ -99,13 +116,18 @@ def ingest_documents(
         .when(name.rlike(r"\.(jpg|jpeg|png|webp)$"), F.lit("image"))
     )
     visual = parts.filter("part_kind = 'attachment'").withColumn("_group", group).filter("_group is not null")
-    visual = top_k(visual, ["path", "_group"], [F.col("part_index")], vocab.ATTACHMENTS_PER_KIND)
-    too_large = (F.col("_group") == "pdf") & (F.col("size_bytes") > vocab.MAX_PDF_BYTES)
-    skipped = (F.col("_group") == "image") & (F.col("size_bytes") > vocab.MAX_IMAGE_BYTES)
+    skipped = F.lit(False)
+    if attachments_per_kind is not None:
+        place = F.row_number().over(Window.partitionBy("path", "_group").orderBy("part_index"))
+        visual = visual.withColumn("_place", place)
+        skipped = F.col("_place") > attachments_per_kind
+    too_large = ((F.col("_group") == "pdf") & exceeds_limit("size_bytes", max_pdf_bytes)) | (
+        (F.col("_group") == "image") & exceeds_limit("size_bytes", max_image_bytes)
+    )
     content = extracted.filter("attachment is not null").withColumnRenamed("text", "_extracted")
     label = F.concat(F.upper("_group"), F.lit(" ATTACHMENT ("), "attachment", F.lit(")"))
     attached = (
-        visual.filter(~skipped)
+        visual.withColumn("_skipped", skipped)
         .join(content, ["path", "attachment"], "left")
         .select(
             "file_id",
@@ -113,7 +135,8 @@ def ingest_documents(
             F.col("_group").alias("kind"),
             F.concat(F.lit("email:attachment:"), "attachment").alias("section"),
             no_page,
-            F.when(too_large, F.concat(label, F.lit(" [Too large for extraction]")))
+            F.when(F.col("_skipped"), F.concat(label, F.lit(" [Not processed - attachment limit]")))
+            .when(too_large, F.concat(label, F.lit(" [Too large for extraction]")))
             .otherwise(F.concat(label, F.lit(":\n"), F.coalesce("_extracted", F.lit(""))))
             .alias("text"),
         )
@@ -128,7 +151,7 @@ def ingest_documents(
         F.when(F.col("route") == "pdf", F.lit("pdf")).otherwise("image").alias("kind"),
         F.when(F.col("route") != "pdf", F.lit("image:description")).alias("section"),
         no_page,
-        F.coalesce(placeholder_text("route", "filename", "actual_size"), "_extracted").alias("text"),
+        F.coalesce(placeholder_text("route", "filename", "actual_size", max_pdf_bytes, max_image_bytes), "_extracted").alias("text"),
     )
 
     described = items.select("item_id", column_text("column_values").alias("text")).filter("text <> ''")
@@ -141,7 +164,7 @@ def ingest_documents(
         "text",
     )
     out = csv.select(columns)
-    for part in (own, attached, files, board):
+    for part in (own, large, attached, files, board):
         out = out.unionByName(part.select(columns))
     return out.filter("text is not null")
 

@@ -61,16 +61,17 @@ def _title_sizes(projects: DataFrame, live: Column) -> DataFrame:
     )
 
 
-def _word_statistics(words: DataFrame, pairs: DataFrame, cap: int) -> DataFrame:
-    """Capped hit count and live titles of every word; pairs carry ``_n`` and ``_live``."""
+def _word_statistics(words: DataFrame, pairs: DataFrame, cap: int | None) -> DataFrame:
+    """Hit count, counted up to the cap if there is one, and live titles of every word; pairs carry ``_n`` and ``_live``."""
     counted = pairs.groupBy("word").agg(F.sum("_n").alias("_n"), F.count_if("_live").alias("_titles"))
     every = words.select(F.lower("word").alias("word")).distinct().join(counted, "word", "left")
-    hits = F.least(F.coalesce("_n", F.lit(0)), F.lit(cap)).cast("int")
+    hits = F.coalesce("_n", F.lit(0))
+    hits = (hits if cap is None else F.least(hits, F.lit(cap))).cast("int")
     return every.select("word", hits.alias("hits"), F.coalesce("_titles", F.lit(0)).alias("_titles"))
 
 
-def hit_counts(words: DataFrame, projects: DataFrame, cap: int = vocab.HIT_COUNT_CAP) -> DataFrame:
-    """Projects whose title contains each word, counted up to the cap; any date and state."""
+def hit_counts(words: DataFrame, projects: DataFrame, cap: int | None = None) -> DataFrame:
+    """Projects whose title contains each word, any date and state; up to the cap if one is given."""
     pairs = word_titles(words, projects).join(_title_sizes(projects, F.lit(True)), "title")
     return _word_statistics(words, pairs, cap).drop("_titles")
 
@@ -131,11 +132,13 @@ def match_projects(
     start_date: str = vocab.PROJECT_START_DATE,
     threshold: float = vocab.SIMILARITY_THRESHOLD,
     counts: DataFrame | None = None,
+    hit_cap: int | None = None,
 ) -> DataFrame:
     """All matching projects of every enquiry with their similarity.
 
     enquiries: enquiry_id, project_name. projects: item_id, project_reference,
     project_title, state, created_date. counts: optional recorded ``word, hits``.
+    ``hit_cap`` makes all words with more hits alike, as a paged count does.
 
     The largest set of enquiry words found together in a title wins; among sets
     of that size the one with the rarest words (by hit count, then text order).
@@ -153,7 +156,7 @@ def match_projects(
     pairs = written(
         word_titles(each, projects).join(_title_sizes(projects, is_eligible(start_date)), "title"), "word-titles"
     )
-    statistics = _word_statistics(each, pairs, vocab.HIT_COUNT_CAP)
+    statistics = _word_statistics(each, pairs, hit_cap)
     pairs = pairs.filter("_live").select("word", "title")
     if counts is not None:
         recorded = counts.select(F.lower("word").alias("word"), "hits")

@@ -22,8 +22,13 @@ def sanitize_plan(
     queries: Column | str = "search_queries",
     question: Column | str = "question",
     third: Column | str = "third_search_justified",
+    limit: int | None = None,
+    compound_limit: int | None = None,
 ) -> Column:
-    """Distinct, collapsed search queries of a plan (first spelling kept, capped).
+    """Distinct, collapsed search queries of a plan, first spelling kept.
+
+    All of them, unless the caller sets ``limit``, or ``compound_limit`` for plans
+    whose third search is justified.
 
     A missing plan, or one with only blank queries, falls back to the question;
     an empty plan stays empty. Plans are short arrays, so no shuffle is needed.
@@ -32,8 +37,9 @@ def sanitize_plan(
     fallback = text.collapse(question)
     fallback = F.when(fallback != "", F.array(fallback)).otherwise(F.array().cast("array<string>"))
     cleaned = F.filter(F.transform(raw, text.collapse), lambda q: q != "")
-    limit = F.when(F.coalesce(text.col(third), F.lit(False)), F.lit(vocab.MAX_COMPOUND_QUERIES)).otherwise(
-        F.lit(vocab.MAX_QUERIES)
+    everything = 2**31 - 1
+    most = F.when(F.coalesce(text.col(third), F.lit(False)), F.lit(compound_limit or limit or everything)).otherwise(
+        F.lit(limit or everything)
     )
     bound = F.array(F.struct(cleaned.alias("q"), F.transform(cleaned, F.lower).alias("k")))
     kept = F.transform(
@@ -43,15 +49,14 @@ def sanitize_plan(
         F.when(raw.isNull(), fallback)
         .when(F.size(raw) == 0, F.array().cast("array<string>"))
         .when(F.size(kept) == 0, fallback)
-        .otherwise(F.slice(kept, F.lit(1), limit))
+        .otherwise(F.slice(kept, F.lit(1), most))
     )
 
 
 def query_rows(requests: DataFrame, queries: Column | str = "queries") -> DataFrame:
-    """One row per usable query (stripped, non-blank, at most three): query_index from 0."""
+    """One row per usable query (stripped, non-blank): query_index from 0."""
     stripped = F.filter(F.transform(text.col(queries), text.strip), lambda q: q != "")
-    capped = F.slice(stripped, 1, vocab.MAX_COMPOUND_QUERIES)
-    return requests.select("request_id", KEY, F.posexplode(capped).alias("query_index", "query"))
+    return requests.select("request_id", KEY, F.posexplode(stripped).alias("query_index", "query"))
 
 
 def chunks_in_scope(chunks: DataFrame, files: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -152,7 +157,7 @@ def batch_candidates(
     asked = embed(query_rows(requests))
     scope = chunks_in_scope(chunks.withColumnRenamed("id", "chunk_id"), files, snapshots)
     # A few rows per query: written, so that the chunk texts are not shuffled to meet them.
-    found = written(search(scope, asked, min(k, vocab.CANDIDATES_PER_QUERY)), "candidates")
+    found = written(search(scope, asked, k), "candidates")
     details = scope.select("chunk_id", "file_id", "filename", "asset_id", "page", "section", F.col("chunk_text").alias("snippet"))
     queries = asked.select("request_id", "query_index", F.col("query").alias("matched_query"))
     return found.join(queries, ["request_id", "query_index"]).join(details, "chunk_id")
@@ -229,14 +234,13 @@ def diverse_evidence(
 ) -> DataFrame:
     """Evidence per request: round-robin over its queries, few chunks per file.
 
-    The limits can only be lowered. Before the greedy step every bucket is cut
-    to rows that can still be picked: a row behind ``max_per_file`` rows of the
-    same file never is, and at most ``3 * max_evidence`` rows of a bucket can be
-    looked at before the evidence is full. So a group stays tiny and the result
-    is the same.
+    Before the greedy step every bucket is cut to rows that can still be picked:
+    a row behind ``max_per_file`` rows of the same file never is, and at most
+    ``3 * max_evidence`` rows of a bucket can be looked at before the evidence is
+    full. So a group stays as small as the evidence asked for and the result is
+    the same.
     """
-    evidence_limit = min(max_evidence, vocab.MAX_EVIDENCE)
-    file_limit = min(max_per_file, vocab.MAX_PER_FILE)
+    evidence_limit, file_limit = max_evidence, max_per_file
     merged = merge_candidates(candidates, extra)
     if evidence_limit <= 0 or file_limit <= 0:
         merged = merged.filter(F.lit(False))
@@ -271,17 +275,17 @@ def cited_evidence(evidence: DataFrame, cited: DataFrame) -> DataFrame:
     return evidence.join(first, ["request_id", "chunk_id"]).withColumn("source_id", source)
 
 
-def citations_for_display(cited: DataFrame, limit: int = vocab.MAX_CITATIONS) -> DataFrame:
-    """The first cited sources with their display section and cleaned snippet."""
-    shown = top_k(cited, ["request_id"], [F.col("cited_pos")], limit, "display_pos")
+def citations_for_display(cited: DataFrame, limit: int | None = None) -> DataFrame:
+    """The cited sources, or the first ``limit`` of them, with their display section and cleaned snippet."""
+    shown = top_k(cited, ["request_id"], [F.col("cited_pos")], limit or 2**31 - 1, "display_pos")
     return shown.withColumn("snippet", text.evidence_snippet("snippet", "section", "filename")).withColumn(
         "section", text.display_section("section")
     )
 
 
-def evidence_payload(evidence: DataFrame) -> DataFrame:
-    """Numbered evidence as it is handed to an answer model."""
-    snippet = text.limited(text.evidence_snippet("snippet", "section", "filename"), 1800)
+def evidence_payload(evidence: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Numbered evidence as it is handed to an answer model; snippets are whole unless cut to ``max_chars``."""
+    snippet = text.limited(text.evidence_snippet("snippet", "section", "filename"), max_chars)
     return evidence.select(
         "request_id",
         "position",
@@ -296,8 +300,15 @@ def evidence_payload(evidence: DataFrame) -> DataFrame:
     )
 
 
-def fallback_answers(requests: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Grounded answer without a model: up to five details and three excerpts.
+def fallback_answers(
+    requests: DataFrame,
+    evidence: DataFrame,
+    details_shown: int | None = None,
+    excerpts_shown: int | None = None,
+    detail_chars: int | None = None,
+    excerpt_chars: int | None = None,
+) -> DataFrame:
+    """Grounded answer without a model: details and excerpts, all and whole unless limited.
 
     requests: request_id, corpus_wide_requested, context
     (``array<struct<key,value>>`` in document order).
@@ -306,16 +317,16 @@ def fallback_answers(requests: DataFrame, evidence: DataFrame) -> DataFrame:
         "context", lambda d: d["value"].isNotNull() & ~d["value"].isin("", "[]", "{}")
     )
     details = F.transform(
-        F.slice(filled, 1, 5), lambda d: F.concat(d["key"], F.lit(": "), text.limited(d["value"], 220))
+        F.slice(filled, 1, details_shown or 2**31 - 1), lambda d: F.concat(d["key"], F.lit(": "), text.limited(d["value"], detail_chars))
     )
     cleaned = text.evidence_snippet("snippet", "section", "filename")
     excerpts = (
-        evidence.filter(F.col("position") <= 3)
+        evidence.filter(F.col("position") <= (excerpts_shown or 2**31 - 1))
         .select("request_id", "position", cleaned.alias("snippet"))
         .filter("snippet <> ''")
         .groupBy("request_id")
         .agg(
-            F.array_sort(F.collect_list(F.struct("position", text.limited("snippet", 260).alias("t")))).alias("_e")
+            F.array_sort(F.collect_list(F.struct("position", text.limited("snippet", excerpt_chars).alias("t")))).alias("_e")
         )
         .select("request_id", F.transform("_e", lambda e: e["t"]).alias("_excerpts"))
     )
@@ -335,10 +346,10 @@ def fallback_answers(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     return df.select("request_id", F.array_join(lines, "\n\n").alias("answer"))
 
 
-def recent_history(messages: DataFrame, limit: int = vocab.HISTORY_LIMIT) -> DataFrame:
-    """The last messages of every conversation, shortened; blank ones drop out afterwards.
+def recent_history(messages: DataFrame, limit: int, max_chars: int | None = None) -> DataFrame:
+    """The last ``limit`` messages of every conversation; blank ones drop out afterwards.
 
     messages: conv_id, turn, role, text.
     """
     last = top_k(messages, ["conv_id"], [F.col("turn").desc()], limit)
-    return last.withColumn("content", text.limited("text", 2000)).filter("content <> ''").drop("text")
+    return last.withColumn("content", text.limited("text", max_chars)).filter("content <> ''").drop("text")

@@ -60,12 +60,15 @@ def is_image(kind: Column | str, mime: Column | str, filename: Column | str) ->
     )
 
 
-def exceeds_limit(size: Column | str, limit: int = vocab.MAX_OBJECT_BYTES) -> Column:
+def exceeds_limit(size: Column | str, limit: int | None) -> Column:
+    """Whether a parsed size is over the limit; without a limit none is."""
+    if limit is None:
+        return F.lit(False)
     return F.coalesce(lenient_size(size) > limit, F.lit(False))
 
 
-def storage_gate(assets: DataFrame, size: str = "file_size", limit: int = vocab.MAX_OBJECT_BYTES) -> DataFrame:
-    """Adds the parsed size and the storage status, code and detail of oversized assets."""
+def storage_gate(assets: DataFrame, limit: int, size: str = "file_size") -> DataFrame:
+    """Adds the parsed size and the storage status, code and detail of assets over the store's limit."""
     parsed = lenient_size(size)
     over = exceeds_limit(size, limit)
     detail = F.format_string(vocab.OVERSIZE_DETAIL, parsed, F.lit(limit))
@@ -74,15 +77,17 @@ def storage_gate(assets: DataFrame, size: str = "file_size", limit: int = vocab.
         parsed.alias("size_bytes"),
         F.when(over, F.lit("unsupported")).otherwise("stored").alias("storage_status"),
         F.when(over, F.lit("object_too_large")).alias("storage_error_code"),
-        F.when(over, F.substring(detail, 1, 1000)).alias("storage_error_detail"),
+        F.when(over, detail).alias("storage_error_detail"),
     )
 
 
-def route(filename: Column | str, extension: Column | str, kind: Column | str, size: Column | str) -> Column:
-    """Processing route of an asset; the first matching rule decides."""
+def route(
+    filename: Column | str, extension: Column | str, kind: Column | str, size: Column | str, limit: int | None = None
+) -> Column:
+    """Processing route of an asset; the first matching rule decides. Assets over ``limit`` bytes are oversize."""
     name = _lower(filename)
     return (
-        F.when(exceeds_limit(size), F.lit("oversize"))
+        F.when(exceeds_limit(size, limit), F.lit("oversize"))
         .when(is_preview_pdf(filename, extension, kind), F.lit("preview"))
         .when(is_csv(filename, extension, kind), F.lit("csv"))
         .when(ends_with_any(name, vocab.EMAIL_ENDINGS) | (col(kind) == "email"), F.lit("email"))
@@ -93,16 +98,25 @@ def route(filename: Column | str, extension: Column | str, kind: Column | str, s
     )
 
 
-def placeholder_text(route_col: Column | str, filename: Column | str, actual_size: Column | str) -> Column:
-    """Text that stands in for content that is not extracted; NULL when content is read."""
+def placeholder_text(
+    route_col: Column | str,
+    filename: Column | str,
+    actual_size: Column | str,
+    max_pdf_bytes: int | None = None,
+    max_image_bytes: int | None = None,
+) -> Column:
+    """Text that stands in for content that is not extracted; NULL when content is read.
+
+    PDFs and images of any size are read unless the caller's extractor has a limit.
+    """
     r, size = col(route_col), col(actual_size)
     return (
         F.when(
-            (r == "pdf") & (size > vocab.MAX_PDF_BYTES),
+            (r == "pdf") & exceeds_limit(size, max_pdf_bytes),
             F.concat(F.lit("PDF too large for extraction ("), size.cast("string"), F.lit(" bytes).")),
         )
         .when(
-            (r == "image") & (size > vocab.MAX_IMAGE_BYTES),
+            (r == "image") & exceeds_limit(size, max_image_bytes),
             F.concat(F.lit("Image too large for extraction ("), size.cast("string"), F.lit(" bytes).")),
         )
         .when(

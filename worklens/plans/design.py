@@ -59,7 +59,7 @@ def expired_leases(
     now: Column,
     variant: str,
     lease_seconds: int = vocab.LEASE_SECONDS,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Running jobs whose lease is over.
 
@@ -222,7 +222,7 @@ def landing_plan(
 
 
 def lease_recovery_plan(
-    jobs: DataFrame, items: DataFrame, *, now: Column, mode: str, allowlist=None, lease_seconds: int = vocab.LEASE_SECONDS, limit: int | None = 100
+    jobs: DataFrame, items: DataFrame, *, now: Column, mode: str, allowlist=None, lease_seconds: int = vocab.LEASE_SECONDS, limit: int | None = None
 ) -> DataFrame:
     """What to do with every expired design lease."""
     expired = expired_leases(jobs, now, "design", lease_seconds, limit)
@@ -254,7 +254,7 @@ def lease_recovery_plan(
     return df.select("id", *PAIR, "action", item_state.alias("item_state"))
 
 
-def sync_lease_recovery_plan(jobs: DataFrame, *, now: Column, lease_seconds: int = vocab.LEASE_SECONDS, limit: int | None = 100) -> DataFrame:
+def sync_lease_recovery_plan(jobs: DataFrame, *, now: Column, lease_seconds: int = vocab.LEASE_SECONDS, limit: int | None = None) -> DataFrame:
     """Expired sync leases fail when no attempt is left, else wait for a retry now."""
     expired = expired_leases(jobs, now, "sync", lease_seconds, limit)
     last = F.col("attempt_count") >= F.col("max_attempts")

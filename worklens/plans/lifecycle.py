@@ -257,8 +257,8 @@ def jobs_to_cancel(plan: DataFrame, jobs: DataFrame) -> DataFrame:
     return active.select("id", *PAIR).join(doomed, PAIR).select("id", *PAIR, F.lit("cancelled").alias("status"), "last_error")
 
 
-def task_status(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Task status derived from its latest job.
+def task_status(tasks: DataFrame, jobs: DataFrame, error_chars: int | None = None) -> DataFrame:
+    """Task status derived from its latest job; error texts are whole unless cut to ``error_chars``.
 
     jobs: external_task_key, id, status, result, last_error, trigger_type,
     desired_source_revision, changed_at.
@@ -286,7 +286,7 @@ def task_status(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
         status.alias("sync_status"),
         result.alias("last_sync_result"),
         F.when(finished, F.col("changed_at")).alias("sync_finished_at"),
-        F.when(job.isin("failed", "retry_wait"), F.substring("last_error", 1, 500)).alias("sync_error"),
+        F.when(job.isin("failed", "retry_wait"), F.col("last_error") if error_chars is None else F.substring("last_error", 1, error_chars)).alias("sync_error"),
         F.col("trigger_type").alias("last_sync_trigger"),
         F.when(job.isin("completed", "skipped"), F.coalesce("desired_source_revision", "_indexed"))
         .otherwise(F.col("_indexed"))
@@ -294,7 +294,7 @@ def task_status(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def due_for_purge(tasks: DataFrame, board_id: str, now: Column, limit: int | None = 25) -> DataFrame:
+def due_for_purge(tasks: DataFrame, board_id: str, now: Column, limit: int | None = None) -> DataFrame:
     """Tasks whose retention ended, in purge order; an unknown hold counts as not held."""
     due = tasks.filter(
         (F.col("board_id") == board_id)

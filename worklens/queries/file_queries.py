@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from worklens import vocab
 from worklens.operators import ingest, routing
 from worklens.queries.base import Proxy, query, sql_strip, table
 from worklens.session import new_shared_path
@@ -99,7 +100,7 @@ _PLACE = """case when lang = 'es' then 'Unsupported image format: gif'
 def ingest_run(spark, sf):
     """Route, extract or replace by a placeholder, and cut: the whole ingest of one run."""
     rows = ASSETS.df(spark, sf)
-    routed = rows.withColumn("route", routing.route("filename", F.lit(""), F.lit("attachment"), "actual_size"))
+    routed = rows.withColumn("route", routing.route("filename", F.lit(""), F.lit("attachment"), "actual_size", vocab.MAX_OBJECT_BYTES))
     extracted = rows.select("path", F.lit(None).cast("string").alias("attachment"), F.col("content").alias("text"))
     csv = rows.select("path", F.lit(1).alias("row_index"), F.col("content").alias("text"))
     no_mails = spark.createDataFrame(
@@ -109,7 +110,9 @@ def ingest_run(spark, sf):
         [],
         "item_id string, column_values array<struct<column:struct<title:string>,value:string,text:string,display_value:string>>",
     )
-    documents = ingest.ingest_documents(routed.drop("content"), csv, no_mails, extracted, no_items)
+    documents = ingest.ingest_documents(
+        routed.drop("content"), csv, no_mails, extracted, no_items, max_pdf_bytes=vocab.MAX_PDF_BYTES, max_image_bytes=vocab.MAX_IMAGE_BYTES
+    )
     chunks = ingest.chunk_documents(documents)
     return chunks.select(F.col("file_id").cast("long").alias("file_id"), "kind", "section", F.md5("chunk_text").alias("chunk_md5"))
 

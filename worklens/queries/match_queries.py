@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from worklens import vocab
 from worklens.operators import matching
 from worklens.queries.base import Proxy, query, table
 
@@ -41,9 +42,14 @@ def _words(spark, sf):
     return _enquiries(spark, sf).select(F.explode(meaningful_words("project_name")).alias("word"))
 
 
+def _matched(spark, sf):
+    # The order of the words follows the stored, capped counts.
+    return matching.match_projects(_enquiries(spark, sf), PROJECTS.df(spark, sf), hit_cap=vocab.HIT_COUNT_CAP)
+
+
 @query("word_hit_counts", _HITS)
 def word_hit_counts(spark, sf):
-    return matching.hit_counts(_words(spark, sf), PROJECTS.df(spark, sf))
+    return matching.hit_counts(_words(spark, sf), PROJECTS.df(spark, sf), vocab.HIT_COUNT_CAP)
 
 
 @query(
@@ -79,13 +85,13 @@ _MATCHES = f"""
 
 @query("project_matches", _MATCHES)
 def project_matches(spark, sf):
-    return matching.match_projects(_enquiries(spark, sf), PROJECTS.df(spark, sf)).select("enquiry_id", "item_id")
+    return _matched(spark, sf).select("enquiry_id", "item_id")
 
 
 @query("ranked_project_candidates")
 def ranked_project_candidates(spark, sf):
     """Ranked candidates with their percentage; the similarity has no SQL equivalent."""
-    ranked = matching.rank_candidates(matching.match_projects(_enquiries(spark, sf), PROJECTS.df(spark, sf)))
+    ranked = matching.rank_candidates(_matched(spark, sf))
     return ranked.select("enquiry_id", "rank", "item_id", F.round("similarity", 6).alias("similarity"), "match_percentage")
 
 
@@ -108,5 +114,5 @@ def similar_name_fallback(spark, sf):
 )
 def match_contracts(spark, sf):
     enquiries = _enquiries(spark, sf)
-    ranked = matching.rank_candidates(matching.match_projects(enquiries, PROJECTS.df(spark, sf)))
+    ranked = matching.rank_candidates(_matched(spark, sf))
     return matching.match_contracts(enquiries, ranked).drop("best_match", "similarity_score")

@@ -221,12 +221,12 @@ _DESIGN_EXPIRED = f"status = 'running' and (locked_at is null or heartbeat_at <=
 
 @query("expired_sync_leases", f"select id from {t.SYNC_JOBS.sql} where {_SYNC_EXPIRED}")
 def expired_sync_leases(spark, sf):
-    return design.expired_leases(t.SYNC_JOBS.df(spark, sf), now(), "sync", limit=None).select("id")
+    return design.expired_leases(t.SYNC_JOBS.df(spark, sf), now(), "sync").select("id")
 
 
 @query("expired_design_leases", f"select id from {t.DESIGN_JOBS.sql} where {_DESIGN_EXPIRED}")
 def expired_design_leases(spark, sf):
-    return design.expired_leases(t.DESIGN_JOBS.df(spark, sf), now(), "design", limit=None).select("id")
+    return design.expired_leases(t.DESIGN_JOBS.df(spark, sf), now(), "design").select("id")
 
 
 @query(
@@ -341,7 +341,7 @@ def jobs_to_cancel(spark, sf):
         when status in ('failed', 'retry_wait') then 'failed' end as sync_status,
       case when status = 'skipped' then 'skipped' when status = 'completed' then result when status in ('failed', 'retry_wait') then 'failed' end as last_sync_result,
       {sql_stamp("case when status in ('completed', 'skipped', 'failed', 'retry_wait') then changed_at end")} as sync_finished_at,
-      case when status in ('failed', 'retry_wait') then substring(last_error, 1, 500) end as sync_error, trigger_type as last_sync_trigger,
+      case when status in ('failed', 'retry_wait') then last_error end as sync_error, trigger_type as last_sync_trigger,
       case when status in ('completed', 'skipped') then coalesce(desired_source_revision, ix) else ix end as last_indexed_source_revision from j
     """,
 )
@@ -355,12 +355,12 @@ _DUE = f"""select * from {t.TASKS.sql} where board_id = 'b1' and auto_sync_state
 
 
 def _due(spark, sf):
-    return lifecycle.due_for_purge(t.TASKS.df(spark, sf), "b1", now(), limit=None)
+    return lifecycle.due_for_purge(t.TASKS.df(spark, sf), "b1", now())
 
 
 @query("purge_scan", f"select external_task_key from ({_DUE}) order by purge_after, updated_at, external_task_key limit 25")
 def purge_scan(spark, sf):
-    return lifecycle.due_for_purge(t.TASKS.df(spark, sf), "b1", now()).select("external_task_key")
+    return lifecycle.due_for_purge(t.TASKS.df(spark, sf), "b1", now(), limit=25).select("external_task_key")
 
 
 _MANIFEST = f"select f.id, f.external_task_key, f.bucket, f.object_path from {t.FILES.sql} f join ({_DUE}) d using (external_task_key) where f.deleted_at is null and f.storage_status = 'stored'"
@@ -616,7 +616,7 @@ def design_lease_recovery(spark, sf):
     """,
 )
 def sync_lease_recovery(spark, sf):
-    plan = design.sync_lease_recovery_plan(t.SYNC_JOBS.df(spark, sf), now=now(), limit=None)
+    plan = design.sync_lease_recovery_plan(t.SYNC_JOBS.df(spark, sf), now=now())
     return plan.withColumn("next_retry_at", stamp("next_retry_at"))
 
 

@@ -452,7 +452,7 @@ def file_type_predicates(spark, sf):
     """,
 )
 def storage_size_gate(spark, sf):
-    gated = routing.storage_gate(FILES.df(spark, sf))
+    gated = routing.storage_gate(FILES.df(spark, sf), vocab.MAX_OBJECT_BYTES)
     return gated.select("l_orderkey", "l_linenumber", "l_partkey", "size_bytes", "storage_status", "storage_error_code", "storage_error_detail")
 
 
@@ -468,7 +468,7 @@ def storage_size_gate(spark, sf):
 )
 def asset_routes(spark, sf):
     f = FILES.df(spark, sf)
-    routed = f.select(routing.route("filename", "extension", "kind", "file_size").alias("route"))
+    routed = f.select(routing.route("filename", "extension", "kind", "file_size", vocab.MAX_OBJECT_BYTES).alias("route"))
     return routed.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -484,7 +484,8 @@ def asset_routes(spark, sf):
 def placeholder_texts(spark, sf):
     f = FILES.df(spark, sf).withColumn("q", F.length("filename") * F.lit(3_000_000).cast("long"))
     r = routing.route("filename", F.lit(""), F.lit("attachment"), F.lit("1"))
-    return f.select("l_orderkey", "l_linenumber", "l_partkey", routing.placeholder_text(r, "filename", "q").alias("placeholder"))
+    text = routing.placeholder_text(r, "filename", "q", vocab.MAX_PDF_BYTES, vocab.MAX_IMAGE_BYTES)
+    return f.select("l_orderkey", "l_linenumber", "l_partkey", text.alias("placeholder"))
 
 
 @query(

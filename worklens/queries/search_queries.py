@@ -42,7 +42,9 @@ def retrieval_plans(spark, sf):
         .when(F.col("kind") == 4, F.array("question", "role", blank, "role", F.lit("third  one"), F.lit("fourth")))
     )
     p = p.withColumn("search_queries", queries).withColumn("third_search_justified", F.col("kind") == 4)
-    return p.select("conv_id", "turn", F.array_join(retrieval.sanitize_plan(), "|").alias("queries"))
+    # The shown feature includes the limits of a plan.
+    plan = retrieval.sanitize_plan(limit=vocab.MAX_QUERIES, compound_limit=vocab.MAX_COMPOUND_QUERIES)
+    return p.select("conv_id", "turn", F.array_join(plan, "|").alias("queries"))
 
 
 # Every label asks with its first vector; two scopes split the vectors.
@@ -181,7 +183,7 @@ def cited_sources(spark, sf):
     """,
 )
 def citations_for_display(spark, sf):
-    rows = retrieval.citations_for_display(retrieval.cited_evidence(EVIDENCE.df(spark, sf), _cited(spark, sf)))
+    rows = retrieval.citations_for_display(retrieval.cited_evidence(EVIDENCE.df(spark, sf), _cited(spark, sf)), vocab.MAX_CITATIONS)
     return rows.select("request_id", "source_id", "display_pos", "section", F.md5("snippet").alias("snippet_md5"))
 
 
@@ -190,7 +192,7 @@ def citations_for_display(spark, sf):
     f"with s as (select request_id, position, {_SNIPPET} as t from {EVIDENCE.sql}) select request_id, 'S' || position as source_id, md5({sql_limited('t', 1800)}) as snippet_md5 from s",
 )
 def evidence_payload(spark, sf):
-    rows = retrieval.evidence_payload(EVIDENCE.df(spark, sf))
+    rows = retrieval.evidence_payload(EVIDENCE.df(spark, sf), max_chars=1800)
     return rows.select("request_id", "source_id", F.md5("snippet").alias("snippet_md5"))
 
 
@@ -224,7 +226,9 @@ def fallback_answers(spark, sf):
         (F.col("request_id") % 2 == 0).alias("corpus_wide_requested"),
         F.when(F.col("request_id") % 3 > 0, given).otherwise(empty).alias("context"),
     )
-    rows = retrieval.fallback_answers(requests, EVIDENCE.df(spark, sf))
+    rows = retrieval.fallback_answers(
+        requests, EVIDENCE.df(spark, sf), details_shown=5, excerpts_shown=3, detail_chars=220, excerpt_chars=260
+    )
     return rows.select("request_id", F.md5("answer").alias("answer_md5"))
 
 

@@ -151,7 +151,7 @@ def filename_sanitising(spark, sf):
     """,
 )
 def recent_history(spark, sf):
-    h = retrieval.recent_history(table(spark, sf, "conversations"))
+    h = retrieval.recent_history(table(spark, sf, "conversations"), vocab.HISTORY_LIMIT, max_chars=2000)
     return h.select("conv_id", "turn", "role", F.md5("content").alias("content_md5"))
 
 

@@ -80,10 +80,14 @@ def parse_mails(files: DataFrame, html_fallback: bool = True) -> DataFrame:
 
     ``html_fallback`` takes the HTML body when no plain text exists (ingest);
     the enquiry variant leaves the body empty. The header date is shown in
-    Europe/London by Spark. ``.msg`` files have no reader here: see ``unreadable``.
+    Europe/London by Spark. ``.msg`` files have no reader here: each is one error row,
+    as ``unreadable`` lists them.
     """
-    mails = files.filter(~F.lower("path").endswith(".msg")).select("path", "content")
-    parts = mails.mapInPandas(_parse(html_fallback), schemas.EMAIL_PART)
+    foreign = F.lower("path").endswith(".msg")
+    parts = files.filter(~foreign).select("path", "content").mapInPandas(_parse(html_fallback), schemas.EMAIL_PART)
+    parts = parts.unionByName(
+        unreadable(files).select("path", F.lit(0).alias("part_index"), F.lit("error").alias("part_kind"), "error"), allowMissingColumns=True
+    )
     fields = F.split("text", "\x1f")
     date = fields[3]
     shown = F.when(date == "", date).otherwise(mail_date_in_london(date))
