@@ -65,7 +65,7 @@ def compare(spark, con, sf: str, name: str, build, sql: str | None) -> tuple[boo
 
 def main() -> int:
     import __spark_entry__ as entry
-    from worklens.session import build_session
+    from worklens.session import build_session, remove_run_folder
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     parts = sys.argv[2:]
@@ -86,6 +86,7 @@ def main() -> int:
         if not ok:
             bad.append(name)
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - started:.1f}s {note}", flush=True)
+    remove_run_folder(spark)
     print(f"{len(bad)} failed: {bad}")
     return 1 if bad else 0
 

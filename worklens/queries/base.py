@@ -35,13 +35,19 @@ class Proxy:
     """A table of the data model, derived from a given table.
 
     The expressions are plain SQL that Spark and DuckDB read alike, so a query
-    and its SQL equivalent start from the same rows.
+    and its SQL equivalent start from the same rows. ``where`` leaves rows out only where
+    their absence is what a query shows: joins and checks of what is not there.
     """
 
     source: str
     columns: dict[str, str]
     where: str | None = None
 
+    @property
+    def whole(self) -> "Proxy":
+        """The same table without its condition, for queries that need no missing rows."""
+        return Proxy(self.source, self.columns)
+
     def df(self, spark: SparkSession, sf: str) -> DataFrame:
         rows = table(spark, sf, self.source)
         if self.where:

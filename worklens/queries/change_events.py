@@ -174,6 +174,7 @@ STORED = Proxy(
         "status": "case event_type when 'error' then 'failed' when 'view' then 'processing' when 'click' then 'received' else 'completed' end",
         "processing_started_at": "cast(ts as timestamp)",
     },
+    # Keys that are not stored yet are new.
     where="event_type <> 'signup'",
 )
 

@@ -122,13 +122,13 @@ def analysis_or_readiness_jobs(spark, sf):
 
 @query(
     "user_visible_tasks",
-    f"select external_task_key from {t.TASKS.sql} where account_id in (select distinct 'a' || (c_custkey % 4) from customer where c_nationkey = 3)",
+    f"select external_task_key from {t.TASKS.whole.sql} where account_id in (select distinct 'a' || (c_custkey % 4) from customer where c_nationkey = 3)",
 )
 def user_visible_tasks(spark, sf):
     links = table(spark, sf, "customer").selectExpr(
         "cast(c_nationkey as string) as user_id", "concat('a', cast(c_custkey % 4 as string)) as account_id"
     )
-    return lifecycle.visible_tasks(t.TASKS.df(spark, sf), links, "3").select("external_task_key")
+    return lifecycle.visible_tasks(t.TASKS.whole.df(spark, sf), links, "3").select("external_task_key")
 
 
 _LATEST = f"""
@@ -283,12 +283,12 @@ def reconciliation_summary(spark, sf):
     f"""
     select k.item_id, k.external_task_key, i.group_id, {t.DECISION['reason'].replace('board_id', 'i.board_id').replace('group_id', 'i.group_id')} as reason,
       case when i.group_id = 'g3' then 'would_mark_completed_retained' when i.group_id = 'g2' then 'would_mark_excluded' when i.group_id in ('g0', 'g1') then 'still_active' else 'ignored' end as action
-    from {t.TASKS.sql} k join {t.ITEMS.sql} i using (item_id)
+    from {t.TASKS.whole.sql} k join {t.ITEMS.sql} i using (item_id)
     where k.board_id = 'b1' and auto_sync_state = 'active' and sync_status = 'completed' and (last_indexed_source_revision is not null or latest_snapshot_version is not null)
     """,
 )
 def transition_plan(spark, sf):
-    return lifecycle.transition_plan(t.TASKS.df(spark, sf), t.ITEMS.df(spark, sf), t.POLICY)
+    return lifecycle.transition_plan(t.TASKS.whole.df(spark, sf), t.ITEMS.df(spark, sf), t.POLICY)
 
 
 _POLICY_PLAN = f"""
@@ -336,7 +336,7 @@ def jobs_to_cancel(spark, sf):
     "task_status",
     f"""
     with l as (select *, row_number() over (partition by external_task_key order by changed_at desc, id desc) as rn from {t.SYNC_JOBS.sql}),
-    j as (select l.*, k.last_indexed_source_revision as ix from l join {t.TASKS.sql} k using (external_task_key) where rn = 1)
+    j as (select l.*, k.last_indexed_source_revision as ix from l join {t.TASKS.whole.sql} k using (external_task_key) where rn = 1)
     select external_task_key, case when status in ('pending', 'scheduled') then 'queued' when status = 'running' then 'syncing' when status in ('completed', 'skipped') then 'completed'
         when status in ('failed', 'retry_wait') then 'failed' end as sync_status,
       case when status = 'skipped' then 'skipped' when status = 'completed' then result when status in ('failed', 'retry_wait') then 'failed' end as last_sync_result,
@@ -346,21 +346,21 @@ def jobs_to_cancel(spark, sf):
     """,
 )
 def task_status(spark, sf):
-    rows = lifecycle.task_status(t.TASKS.df(spark, sf), t.SYNC_JOBS.df(spark, sf))
+    rows = lifecycle.task_status(t.TASKS.whole.df(spark, sf), t.SYNC_JOBS.df(spark, sf))
     return rows.withColumn("sync_finished_at", stamp("sync_finished_at"))
 
 
-_DUE = f"""select * from {t.TASKS.sql} where board_id = 'b1' and auto_sync_state in ('completed_retained', 'purge_pending', 'storage_deleting', 'database_cleaning')
+_DUE = f"""select * from {t.TASKS.whole.sql} where board_id = 'b1' and auto_sync_state in ('completed_retained', 'purge_pending', 'storage_deleting', 'database_cleaning')
     and retention_hold is not true and purge_after <= {N}"""
 
 
 def _due(spark, sf):
-    return lifecycle.due_for_purge(t.TASKS.df(spark, sf), "b1", now())
+    return lifecycle.due_for_purge(t.TASKS.whole.df(spark, sf), "b1", now())
 
 
 @query("purge_scan", f"select external_task_key from ({_DUE}) order by purge_after, updated_at, external_task_key limit 25")
 def purge_scan(spark, sf):
-    return lifecycle.due_for_purge(t.TASKS.df(spark, sf), "b1", now(), limit=25).select("external_task_key")
+    return lifecycle.due_for_purge(t.TASKS.whole.df(spark, sf), "b1", now(), limit=25).select("external_task_key")
 
 
 _MANIFEST = f"select f.id, f.external_task_key, f.bucket, f.object_path from {t.FILES.sql} f join ({_DUE}) d using (external_task_key) where f.deleted_at is null and f.storage_status = 'stored'"
@@ -374,6 +374,7 @@ def purge_manifest(spark, sf):
 RESULTS = Proxy(
     "lineitem",
     {"id": t.SYNC_JOBS.columns["id"], "error": f"case when l_tax > 0.07 and l_discount > 0.05 then 'denied' else {t.NULL_TEXT} end"},
+    # Objects without a delete result count as failed.
     where="l_returnflag <> 'R' or l_quantity > 5",
 )
 _OUTCOME = f"""
@@ -404,11 +405,11 @@ def purge_outcome(spark, sf):
       case when o.action = 'expired' then null else k.latest_snapshot_version end as latest_snapshot_version, k.last_indexed_source_revision,
       case when o.action = 'expired' then 'completed' else k.sync_status end as sync_status, case when o.action = 'expired' then 'skipped' else k.last_sync_result end as last_sync_result,
       {sql_stamp(f"case when o.action = 'expired' then {N} end")} as raw_purged_at
-    from {t.TASKS.sql} k left join o using (external_task_key)
+    from {t.TASKS.whole.sql} k left join o using (external_task_key)
     """,
 )
 def purge_tombstones(spark, sf):
-    rows = lifecycle.tombstones(t.TASKS.df(spark, sf), _purge_outcome(spark, sf), now())
+    rows = lifecycle.tombstones(t.TASKS.whole.df(spark, sf), _purge_outcome(spark, sf), now())
     return rows.select(
         "external_task_key",
         "auto_sync_state",
@@ -446,7 +447,7 @@ ACCESS = Proxy(
     with a as (select external_task_key, max(accessed_at) filter (kind <> 'release') as t, max(accessed_at) filter (kind = 'restore') as r,
         arg_max(kind, accessed_at) filter (kind in ('hold', 'release')) as h, count(distinct accessed_at) filter (kind in ('hold', 'release')) as n from {ACCESS.sql} group by 1),
     j as (select k.*, a.t, a.r, case a.h when 'hold' then true when 'release' then false else k.retention_hold end as hold, auto_sync_state = 'expired' and a.r is not null as restored
-      from {t.TASKS.sql} k left join a using (external_task_key)),
+      from {t.TASKS.whole.sql} k left join a using (external_task_key)),
     s as (select *, case when restored then 'completed_retained' else auto_sync_state end as state from j)
     select external_task_key, state as auto_sync_state, hold as retention_hold, {sql_stamp('case when restored then coalesce(completed_at, r) else completed_at end')} as completed_at,
       {sql_stamp("case when restored then r + interval 30 days when state = 'completed_retained' and t is not null and hold is not true then t + interval 30 days else purge_after end")} as purge_after,
@@ -454,7 +455,7 @@ ACCESS = Proxy(
     """,
 )
 def retention_clock(spark, sf):
-    rows = lifecycle.retention_clock(t.TASKS.df(spark, sf), ACCESS.df(spark, sf), t.POLICY)
+    rows = lifecycle.retention_clock(t.TASKS.whole.df(spark, sf), ACCESS.df(spark, sf), t.POLICY)
     for name in ("completed_at", "purge_after", "last_meaningful_access_at"):
         rows = rows.withColumn(name, stamp(name))
     return rows
@@ -505,10 +506,10 @@ def task_sources(spark, sf):
 
 @query(
     "task_summary",
-    f"with l as ({_LATEST}) select k.external_task_key, l.snapshot_version, k.sync_status, k.sync_error from {t.TASKS.sql} k left join l using (external_task_key)",
+    f"with l as ({_LATEST}) select k.external_task_key, l.snapshot_version, k.sync_status, k.sync_error from {t.TASKS.whole.sql} k left join l using (external_task_key)",
 )
 def task_summary(spark, sf):
-    rows = lifecycle.task_summary(t.TASKS.df(spark, sf), t.SNAPSHOTS.df(spark, sf))
+    rows = lifecycle.task_summary(t.TASKS.whole.df(spark, sf), t.SNAPSHOTS.df(spark, sf))
     return rows.select("external_task_key", "snapshot_version", "sync_status", "sync_error")
 
 
@@ -518,9 +519,9 @@ _OBLIGATION = """case when d_r is not null and ((d_r, d_v) is distinct from (a_r
     when {allowed} and d_r is not null and ((d_r, d_v) is distinct from (p_r, p_v)) then 'publication' end"""
 
 
-@query("design_obligations", f"select board_id, item_id, {_OBLIGATION.format(allowed='true')} as obligation from {t.DESIGN_ITEMS.sql}")
+@query("design_obligations", f"select board_id, item_id, {_OBLIGATION.format(allowed='true')} as obligation from {t.DESIGN_ITEMS.whole.sql}")
 def design_obligations(spark, sf):
-    return design.obligations(t.design_items(spark, sf), "enabled").select("board_id", "item_id", "obligation")
+    return design.obligations(t.design_items(spark, sf, whole=True), "enabled").select("board_id", "item_id", "obligation")
 
 
 _QUEUE = f"""
@@ -751,6 +752,7 @@ COLUMN_FILES = Proxy(
         "filename": "concat('f', cast(l_partkey % 4 as string))",
         "size_bytes": "case when l_suppkey % 4 = 0 then cast(null as bigint) else cast(l_quantity as bigint) end",
     },
+    # Artifacts whose file is gone from its column.
     where="l_returnflag <> 'N'",
 )
 
@@ -788,12 +790,12 @@ def artifact_adoption(spark, sf):
 @query(
     "stages_to_run",
     f"""
-    select distinct board_id, item_id, d_r as input_revision, d_v as pipeline_version from {t.DESIGN_ITEMS.sql} i where d_r is not null and not exists
+    select distinct board_id, item_id, d_r as input_revision, d_v as pipeline_version from {t.DESIGN_ITEMS.whole.sql} i where d_r is not null and not exists
       (select 1 from {t.ARTIFACTS.sql} a where a.artifact_kind = 'match_report' and a.board_id = i.board_id and a.item_id = i.item_id and a.input_revision = d_r and a.pipeline_version = d_v)
     """,
 )
 def stages_to_run(spark, sf):
-    wanted = t.DESIGN_ITEMS.df(spark, sf).filter("d_r is not null").selectExpr(
+    wanted = t.DESIGN_ITEMS.whole.df(spark, sf).filter("d_r is not null").selectExpr(
         "board_id", "item_id", "d_r as input_revision", "d_v as pipeline_version"
     )
     outputs = t.ARTIFACTS.df(spark, sf).withColumnRenamed("artifact_kind", "stage")
@@ -861,10 +863,10 @@ def owned_column_violations(spark, sf):
 
 @query(
     "counter_by_state",
-    f"select state, count(*) as n from (select case when state = 'failed' then null else state end as state from {t.DESIGN_ITEMS.sql}) where state is not null group by 1",
+    f"select state, count(*) as n from (select case when state = 'failed' then null else state end as state from {t.DESIGN_ITEMS.whole.sql}) where state is not null group by 1",
 )
 def counter_by_state(spark, sf):
-    rows = t.DESIGN_ITEMS.df(spark, sf).withColumn("state", F.when(F.col("state") != "failed", F.col("state")))
+    rows = t.DESIGN_ITEMS.whole.df(spark, sf).withColumn("state", F.when(F.col("state") != "failed", F.col("state")))
     return metrics.counter(rows, "state")
 
 
@@ -884,7 +886,7 @@ def nearest_rank_percentiles(spark, sf):
     with j as (select *, status in {DESIGN_ACTIVE} and execution_kind is null and coalesce(stage in ('waiting_for_name', 'waiting_for_email'), false) as w,
         round(greatest(0, epoch_us({N}) - epoch_us(coalesce(heartbeat_at, locked_at))) / 1e6, 3) as beat, round(greatest(0, epoch_us({N}) - epoch_us(created_at)) / 1e6, 3) as age,
         case when execution_kind = 'publication' and status = 'completed' and started_at is not null then round(greatest(0, epoch_us(completed_at) - epoch_us(started_at)) / 1e6, 3) end as latency from {t.DESIGN_JOBS.sql}),
-    i as (select count(*) filter (supersession_requested_at is not null) as pending, count(*) filter (d_r is not null and (d_r, d_v) is not distinct from (a_r, a_v) and (d_r, d_v) is distinct from (p_r, p_v)) as anp from {t.DESIGN_ITEMS.sql}),
+    i as (select count(*) filter (supersession_requested_at is not null) as pending, count(*) filter (d_r is not null and (d_r, d_v) is not distinct from (a_r, a_v) and (d_r, d_v) is distinct from (p_r, p_v)) as anp from {t.DESIGN_ITEMS.whole.sql}),
     a as (select count(*) filter (status = 'delete_pending') as dp, count(*) filter (status = 'delete_pending' and coalesce(last_error, '') <> '') as dpe, count(*) filter (status = 'deleted') as de from {t.ARTIFACTS.sql})
     select count(*) filter (w) as readiness_waiting_jobs, max(age) filter (w) as readiness_oldest_age_seconds, sum(readiness_check_count) filter (w)::bigint as readiness_checks_total,
       quantile_disc(readiness_check_count, 0.95) filter (w)::double as readiness_checks_p95, count(*) as attempts_jobs, sum(attempt_count)::bigint as attempts_total,
@@ -894,13 +896,13 @@ def nearest_rank_percentiles(spark, sf):
       any_value(dp) as cleanup_delete_pending, any_value(dpe) as cleanup_delete_pending_with_errors, any_value(de) as cleanup_deleted, count(latency) as publication_latency_count,
       quantile_disc(latency, 0.5) as publication_latency_p50, quantile_disc(latency, 0.95) as publication_latency_p95,
       (select string_agg(status || '=' || n, ',' order by status) from (select status, count(*) as n from j where status in {DESIGN_ACTIVE} group by 1)) as queue_depth,
-      (select string_agg(state || '=' || n, ',' order by state) from (select state, count(*) as n from {t.DESIGN_ITEMS.sql} group by 1)) as items_by_state
+      (select string_agg(state || '=' || n, ',' order by state) from (select state, count(*) as n from {t.DESIGN_ITEMS.whole.sql} group by 1)) as items_by_state
     from j, i, a
     """,
 )
 def operations_metrics(spark, sf):
     row = metrics.operations_metrics(
-        t.design_items(spark, sf), t.DESIGN_JOBS.df(spark, sf), t.ARTIFACTS.df(spark, sf), DISPATCHES.df(spark, sf), now=now()
+        t.design_items(spark, sf, whole=True), t.DESIGN_JOBS.df(spark, sf), t.ARTIFACTS.df(spark, sf), DISPATCHES.df(spark, sf), now=now()
     )
 
     def listed(name):

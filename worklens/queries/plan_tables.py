@@ -64,6 +64,7 @@ TASKS = Proxy(
         "last_sync_result": "'done'",
         "updated_at": f"{O_TIME} + interval '1' hour",
     },
+    # The items without a task or state: what plans do about them is the feature.
     where="o_orderpriority <> '5-LOW'",
 )
 
@@ -125,6 +126,7 @@ DESIGN_ITEMS = Proxy(
         **_pair("p", "concat('r', cast((o_orderkey + o_custkey) % 2 as string))", "'p1'", "o_custkey % 4 = 0"),
         "supersession_requested_at": f"case when o_custkey % 7 = 0 then {O_TIME} else {NULL_TIME} end",
     },
+    # The items without a task or state: what plans do about them is the feature.
     where="o_orderpriority <> '5-LOW'",
 )
 
@@ -213,8 +215,8 @@ def with_pairs(df: DataFrame, **pairs: str) -> DataFrame:
     return df
 
 
-def design_items(spark, sf) -> DataFrame:
-    return with_pairs(DESIGN_ITEMS.df(spark, sf), d="desired", a="analyzed", p="published")
+def design_items(spark, sf, whole: bool = False) -> DataFrame:
+    return with_pairs((DESIGN_ITEMS.whole if whole else DESIGN_ITEMS).df(spark, sf), d="desired", a="analyzed", p="published")
 
 
 def design_jobs(spark, sf) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,9 +48,28 @@ def shared_folder(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return os.path.join(shared_folder(spark), f"worklens-{spark.sparkContext.applicationId}")
+
+
 def new_shared_path(spark: SparkSession, name: str) -> str:
-    """An unused path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    """An unused path in the folder of this application; see ``remove_run_folder``."""
+    return os.path.join(run_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def remove_run_folder(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no result is read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, where it is not installed on them."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="worklens-"), "worklens"), "zip", os.path.dirname(root), "worklens")
+    spark.sparkContext.addPyFile(archive)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
