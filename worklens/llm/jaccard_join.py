@@ -142,6 +142,14 @@ def _frequencies(group: pa.Table) -> pa.Table:
     return pa.concat_tables([passed.cast(KINDS), made])
 
 
+def _prefix(n: int, numerator: int, denominator: int) -> int:
+    """How many of a set's first n-grams must hold one that it shares with any partner.
+
+    A partner shares at least the threshold's part of the set, rounded up.
+    """
+    return n - -(-numerator * n // denominator) + 1
+
+
 def _sets(numerator: int, denominator: int):
     """Per block: its documents with set size and signature, and every set that shares a prefix n-gram, rarest first."""
 
@@ -175,64 +183,57 @@ def _sets(numerator: int, denominator: int):
         order = np.lexsort((key, frequency, owner))
         key, owner = key[order].astype(np.int64), owner[order]
         bounds = np.searchsorted(owner, np.arange(len(held) + 1))
-        reps = []
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            n = int(held[i])
-            # A partner shares at least the least overlap; one of the first n - overlap + 1 is among them.
-            prefix = n - -(-numerator * n // denominator) + 1
-            alone = n - int(b - a)
-            if prefix > alone:
-                own = key[a:b]
-                histogram = np.bincount(own & (HISTOGRAM - 1), minlength=HISTOGRAM).astype(np.int32)
-                reps.append((signatures[i], n, alone, own[: prefix - alone].tolist(), own.tobytes(), histogram.tobytes()))
+        starts, stops, alone, sizes_of, names = [], [], [], [], []
+        for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+            n, own = int(held[i]), int(held[i]) - (b - a)
+            if _prefix(n, numerator, denominator) > own:
+                starts.append(a)
+                stops.append(b)
+                alone.append(own)
+                sizes_of.append(n)
+                names.append(signatures[i])
+        blank, none = [None] * len(out_ids), [None] * len(names)
+        flat = np.concatenate([key[a:b] for a, b in zip(starts, stops)]) if names else np.empty(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(np.subtract(stops, starts)))).astype(np.int32)
+        histogram = [np.bincount(key[a:b] & (HISTOGRAM - 1), minlength=HISTOGRAM).tolist() for a, b in zip(starts, stops)]
         table = {
-            "doc_id": pa.array([*out_ids, *[None] * len(reps)], pa.int64()),
-            "signature": pa.array([*out_sig, *(r[0] for r in reps)], pa.binary()),
-            "n": pa.array([*sizes.tolist(), *(r[1] for r in reps)], pa.int64()),
-            "alone": pa.array([*[None] * len(out_ids), *(r[2] for r in reps)], pa.int32()),
-            "prefix": pa.array([*[None] * len(out_ids), *(r[3] for r in reps)], pa.list_(pa.int64())),
-            "keys": pa.array([*[None] * len(out_ids), *(r[4] for r in reps)], pa.binary()),
-            "histogram": pa.array([*[None] * len(out_ids), *(r[5] for r in reps)], pa.binary()),
+            "doc_id": pa.array([*out_ids, *none], pa.int64()),
+            "signature": pa.array([*out_sig, *names], pa.binary()),
+            "n": pa.array([*sizes.tolist(), *sizes_of], pa.int64()),
+            "alone": pa.array([*blank, *alone], pa.int32()),
+            "keys": pa.concat_arrays([pa.array(blank, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)]),
+            "histogram": pa.array([*blank, *histogram], pa.list_(pa.int32())),
         }
         return pa.table(table)
 
     return run
 
 
-SETS = "doc_id long, signature binary, n long, alone int, prefix array<long>, keys binary, histogram binary"
+SETS = "doc_id long, signature binary, n long, alone int, keys array<long>, histogram array<int>"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of sets that reach the threshold; each pair is looked at once.
+    """The pairs (a, b) of sets that reach the threshold; each pair is intersected once.
 
-    The suffix filter bounds the overlap by the parts of the two sets that fall into
-    the same slices of the key space; only pairs that pass are intersected.
+    The suffix filter comes first, on a few numbers per set: the overlap is bounded by
+    the parts of both sets that fall into the same slice of the key space. Only sets of
+    pairs that pass are fetched.
     """
-    def side(name: str) -> DataFrame:
-        return sets.select(*(F.col(c).alias(f"{c}_{name}" if c != "rep" else name) for c in ("rep", "n", "keys", "histogram")))
-
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            hist = [np.frombuffer(b"".join(batch.column(f"histogram_{s}").to_pylist()), np.int32).reshape(n, HISTOGRAM) for s in "ab"]
-            sizes = sum(batch.column(f"n_{s}").to_numpy() for s in "ab")
-            most = np.minimum(*hist).sum(axis=1)
-            keep = denominator * most >= numerator * (sizes - most)
-            for i in np.flatnonzero(keep).tolist():
-                x, y = (np.frombuffer(batch.column(f"keys_{s}")[i].as_py(), np.int64) for s in "ab")
-                both = np.concatenate((x, y))
-                both.sort()
-                overlap = int((both[1:] == both[:-1]).sum())
-                keep[i] = denominator * overlap >= numerator * (int(sizes[i]) - overlap)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(s).filter(pa.array(keep)) for s in "ab"], names=["a", "b"]
-            )
-
-    return joined.mapInArrow(check, "a long, b long")
+    def both(columns: list[str], pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        for name in "ab":
+            side = sets.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+            pairs = pairs.join(side, name)
+        return pairs
+
+    least = F.zip_with("histogram_a", "histogram_b", lambda x, y: F.least(x, y))
+    most = F.aggregate(least, F.lit(0).cast("int"), lambda total, x: total + x)
+    passing = both(["n", "histogram"], pairs.select("a", "b"), sets).withColumn("most", most)
+    reach = F.expr(f"{denominator} * most >= {numerator} * (n_a + n_b - most)")
+    passing = written(passing.filter(reach).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total")), "filtered-pairs")
+    wanted = written(passing.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted-sets")
+    fetched = written(sets.select("rep", "keys").join(wanted, "rep", "left_semi"), "fetched-sets")
+    joined = both(["keys"], passing, fetched).withColumn("overlap", F.size(F.array_intersect("keys_a", "keys_b")))
+    return joined.filter(F.expr(f"{denominator} * overlap >= {numerator} * (total - overlap)")).select("a", "b")
 
 
 def _sizes_fit(numerator: int, denominator: int, x: str, y: str):
@@ -276,8 +277,9 @@ def jaccard_components(
     members = sets.filter(F.col("alone").isNull()).select("doc_id", "n", "signature")
     reps = sets.filter(F.col("alone").isNotNull()).drop("doc_id").dropDuplicates(["signature"])
     reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "set-classes")
+    length = F.expr(f"n - ({numerator} * n + {denominator - 1}) div {denominator} + 1 - alone").cast("int")
     prefix = written(
-        reps.select("rep", "n", "alone", F.posexplode("prefix").alias("at", "key")).select(
+        reps.select("rep", "n", "alone", F.posexplode(F.slice("keys", F.lit(1), length)).alias("at", "key")).select(
             "key", "rep", "n", (F.col("alone") + F.col("at")).alias("position")
         ),
         "prefix-ngrams",
