@@ -12,7 +12,11 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, per_label: int) -> DataFr
     a limit per label in front of the shuffle; the ids chosen - a bounded number - then
     pick their texts out of one more scan. Null ids and labels are left out.
     """
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = marks.select("doc_id", "label").dropna().distinct()
-    chosen = ids.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= per_label).drop("_rank")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = marks.select("doc_id", "label").dropna().distinct().withColumn("_part", F.pmod(order[0], F.lit(64)))
+    # Few labels make few groups: they are ranked in parts first.
+    for keys in (["label", "_part"], ["label"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("_rank", rank).filter(F.col("_rank") <= per_label).drop("_rank")
+    chosen = chosen.drop("_part")
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
