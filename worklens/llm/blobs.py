@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 KEY_BITS = 56
@@ -33,11 +32,12 @@ def unpack_keys(blob: bytes, bits: int = KEY_BITS) -> np.ndarray:
 
 def pack_counts(values: np.ndarray) -> bytes:
     """Whole numbers below 2^32, most of them small."""
-    return zlib.compress(_planes(values, 4), 1)
+    return len(values).to_bytes(8, "little") + pa.compress(_planes(values, 4), codec="zstd", asbytes=True)
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    return _from_planes(zlib.decompress(blob), 4).astype(np.int64)
+    size = 4 * int.from_bytes(blob[:8], "little")
+    return _from_planes(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), 4).astype(np.int64)
 
 
 def bucket_of(keys: np.ndarray, buckets: int, bits: int = KEY_BITS) -> np.ndarray:

@@ -31,6 +31,8 @@ SCHEMA = "kind string, home long, origin long, ids array<long>, a binary, b bina
 #: The end of a text; no word contains white space.
 END = "\n"
 PAIR_BITS = 64
+#: So many customers of a dish are seated one by one before arrivals are skipped.
+ONE_BY_ONE = 32
 _INVERSE = tuple(np.uint64(pow(m, -1, 1 << 64)) for m in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9))
 
 
@@ -64,24 +66,35 @@ def tables_drawn(rng: np.random.Generator, customers: np.ndarray, d: float, stre
     """Number of tables after seating the customers one by one in a Chinese restaurant of its own.
 
     With i customers at t tables the next opens one with probability
-    (strength + d t) / (strength + i). Arrivals up to the next doubling of i are skipped
-    by a geometric draw with the probability at its start and thinned to the true one.
+    (strength + d t) / (strength + i). Dishes are sorted by customers, so those still
+    being seated are a leading slice. After the first customers, arrivals up to the next
+    doubling of i are skipped by a geometric draw with the probability at its start and
+    thinned to the true one.
     """
-    seated, tables = np.ones(len(customers), dtype=np.int64), np.ones(len(customers), dtype=np.int64)
-    active = np.flatnonzero(customers > 1)
+    order = np.argsort(-customers, kind="stable")
+    size, s, tables = customers[order], strength[order], np.ones(len(customers), dtype=np.int64)
+    for i in range(1, ONE_BY_ONE):
+        n = int(np.searchsorted(-size, -i, side="left"))
+        if not n:
+            break
+        tables[:n] += rng.random(n) * (s[:n] + i) < s[:n] + d * tables[:n]
+    active = np.arange(int(np.searchsorted(-size, -ONE_BY_ONE, side="left")))
+    seated = np.full(len(active), ONE_BY_ONE, dtype=np.int64)
     while len(active):
-        i, t, s = seated[active], tables[active], strength[active]
-        most = (s + d * t) / (s + i)
+        i, t, own = seated[active], tables[active], s[active]
+        most = (own + d * t) / (own + i)
         with np.errstate(divide="ignore"):
             gap = np.log(1.0 - rng.random(len(active))) / np.log1p(-np.minimum(most, 1 - 1e-12))
-        stop = np.minimum(2 * i, customers[active])
+        stop = np.minimum(2 * i, size[active])
         at = i + np.minimum(gap, stop - i).astype(np.int64)
         inside = at < stop
-        opened = inside & (rng.random(len(active)) * (s + at) < (s + i))
+        opened = inside & (rng.random(len(active)) * (own + at) < (own + i))
         tables[active] += opened
         seated[active] = np.where(inside, at + 1, stop)
-        active = active[seated[active] < customers[active]]
-    return tables
+        active = active[seated[active] < size[active]]
+    out = np.empty_like(tables)
+    out[order] = tables
+    return out
 
 
 def reseated(
@@ -96,6 +109,9 @@ def reseated(
     strength = base * (theta + d * (others + 1)) - d
     fresh = tables_drawn(rng, customers, d, strength)
 
+    moved = np.flatnonzero(fresh != tables)
+    base, others, strength = base[moved], others[moved], strength[moved]
+
     def log_weight(t: np.ndarray) -> np.ndarray:
         out = np.zeros(len(t))
         active = np.flatnonzero(t > 1)
@@ -106,8 +122,9 @@ def reseated(
             active = active[t[active] > j]
         return out
 
-    accept = np.log(1.0 - rng.random(len(customers))) <= log_weight(fresh) - log_weight(tables)
-    return np.where(accept, fresh, tables)
+    refused = np.log(1.0 - rng.random(len(moved))) > log_weight(fresh[moved]) - log_weight(tables[moved])
+    fresh[moved[refused]] = tables[moved[refused]]
+    return fresh
 
 
 @dataclass(frozen=True)
