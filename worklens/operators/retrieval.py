@@ -119,12 +119,17 @@ def search(
             lengths = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
             distance = 1.0 - (q @ c.T) / lengths
         ids = chunk_block["chunk_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, distance = ids[order], distance[:, order]
-        # Stable sort: equal scores keep id order and NaN comes last.
-        best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        flat = best.ravel()
+        picks = []
+        for row in distance:
+            near = np.arange(len(row))
+            if len(row) > k:
+                # Only what is not behind the k-th best is sorted; NaN lies behind everything.
+                edge = np.partition(row, k - 1)[k - 1]
+                near = near if np.isnan(edge) else np.flatnonzero(row <= edge)
+            near = near[np.argsort(ids[near], kind="stable")]
+            picks.append(near[np.argsort(row[near], kind="stable")][:k])
+        rows = np.repeat(np.arange(len(q)), [len(p) for p in picks])
+        flat = np.concatenate(picks)
         return pd.DataFrame(
             {
                 "request_id": query_block["request_id"].to_numpy()[rows],

@@ -76,7 +76,9 @@ _MATCHES = f"""
     with w as ({_WORDS}), h as ({_HITS}), r as (select enquiry_id, w.word, row_number() over (partition by enquiry_id order by h.hits, w.pos) as i from w join h using (word)),
     live as (select * from {PROJECTS.sql} where state = 'active' and created_date >= '2021-01-01'),
     titles as (select distinct lower(project_title) as title from live),
-    f as (select r.enquiry_id, t.title, list(r.i order by r.i) as found from r join titles t on contains(t.title, r.word) group by 1, 2),
+    -- Words and titles meet once, not once for every enquiry.
+    wt as materialized (select word, title from (select distinct word from w) v join titles on contains(title, word)),
+    f as (select r.enquiry_id, wt.title, list(r.i order by r.i) as found from r join wt using (word) group by 1, 2),
     b as (select *, row_number() over (partition by enquiry_id order by len(found) desc, found) as rn from f),
     m as (select f.enquiry_id, f.title from f join b on b.enquiry_id = f.enquiry_id and b.rn = 1 and b.found = f.found)
     select m.enquiry_id, l.item_id from m join live l on lower(l.project_title) = m.title

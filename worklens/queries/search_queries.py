@@ -66,17 +66,17 @@ def _vectors(spark, sf):
     return chunks, queries
 
 
-@query(
-    "vector_top_k",
-    f"""
+_TOP_K = f"""
     with a as ({_ASKED}),
     d as (select a.label, e.vec_id, 1 - list_dot_product(a.q, e.embedding::double[]) / (sqrt(list_dot_product(a.q, a.q)) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]))) as d
       from a join embeddings e on (a.label % 3 = 0) = (e.label % 3 = 0)),
     r as (select *, row_number() over (partition by label order by d, vec_id) as rn from d)
     select 'r' || (label % 5) || case when label % 3 = 0 then 'small' else 'large' end as request_id, (label // 5)::int as query_index, vec_id as chunk_id, round(d, 6) + 0.0 as score, rn::int as cand_pos
     from r where rn <= 8
-    """,
-)
+    """
+
+
+@query("vector_top_k", _TOP_K)
 def vector_top_k(spark, sf):
     chunks, queries = _vectors(spark, sf)
     found = retrieval.search(chunks, queries)
@@ -84,7 +84,35 @@ def vector_top_k(spark, sf):
     return found.select("request_id", "query_index", "chunk_id", (F.round("score", 6) + 0.0).alias("score"), "cand_pos")
 
 
-@query("diverse_evidence")
+@query(
+    "diverse_evidence",
+    f"""
+    with recursive found as materialized (
+        select t.*, e.label::varchar as file_id, 'label ' || (query_index * 5 + substring(request_id, 2, 1)::int) as matched_query
+        from ({_TOP_K}) t join embeddings e on e.vec_id = t.chunk_id
+    ),
+    buckets as materialized (
+        select request_id, query_index, list({{'c': chunk_id, 'f': file_id, 'q': query_index, 'm': matched_query}} order by cand_pos, chunk_id) as rows,
+            row_number() over (partition by request_id order by query_index) - 1 as place
+        from found group by request_id, query_index
+    ),
+    asked as materialized (select request_id, count(*) as n from buckets group by 1),
+    walk as (
+        select request_id, n, 0 as turn, []::struct(c bigint, f varchar, q int, m varchar)[] as picked from asked
+        union all
+        select w.request_id, n, turn + 1, case when len(picked) >= {vocab.MAX_EVIDENCE} then picked else list_concat(picked, list_filter(rows,
+            lambda x: len(list_filter(picked, lambda p: p.c = x.c)) = 0
+                and len(list_filter(picked, lambda p: p.f = x.f)) < {vocab.MAX_PER_FILE})[1:1]) end
+        from walk w join buckets b on b.request_id = w.request_id and b.place = turn % n
+        where turn < n * {vocab.MAX_EVIDENCE}
+    ),
+    last as (select request_id, picked from walk where turn = n * {vocab.MAX_EVIDENCE}),
+    placed as (select request_id, unnest(picked) as x, unnest(range(1, len(picked) + 1)) as position from last)
+    select p.request_id, position::int as position, x.c as chunk_id, x.f as file_id, x.q as selected_by_index, x.m as selected_by_query,
+        min(f.score) as score, string_agg(distinct f.query_index::varchar, ',' order by f.query_index::varchar) as matched_query_indexes
+    from placed p join found f on f.request_id = p.request_id and f.chunk_id = x.c group by all
+    """,
+)
 def diverse_evidence(spark, sf):
     """The flagship: which passages are the best evidence for each request?"""
     chunks, queries = _vectors(spark, sf)
