@@ -9,6 +9,7 @@ from worklens.queries import (  # noqa: F401
     report_queries,
     scalars,
     search_queries,
+    source_queries,
     texts,
 )
 from worklens.queries.base import REGISTRY
