@@ -54,6 +54,37 @@ def document_statistics(documents: DataFrame, item: str = "item_id") -> DataFram
     )
 
 
+def complete_snapshots(snapshots: DataFrame, documents: DataFrame, now: Column, item: str = "item_id") -> DataFrame:
+    """Snapshots with the summary of their documents attached, marked complete at ``now``.
+
+    A snapshot without a document has an empty summary. The parameters of its CSV files
+    stay a table of their own: see ``snapshot_parameters``.
+    """
+    none = F.struct(
+        F.lit(0).cast("long").alias("total_docs"),
+        F.lit(0).cast("long").alias("total_chunks"),
+        F.create_map().cast("map<string,bigint>").alias("by_kind"),
+    )
+    summary = document_statistics(documents, item).select(
+        F.col(item).alias("_item"),
+        F.struct(F.col("total_docs").cast("long").alias("total_docs"), F.col("total_chunks").cast("long").alias("total_chunks"), "by_kind").alias("_summary"),
+    )
+    kept = snapshots.drop("extracted_docs_summary", "ingestion_status", "ingestion_error", "completed_at")
+    return kept.join(summary, F.col(item) == F.col("_item"), "left").select(
+        *kept.columns,
+        F.coalesce("_summary", none).alias("extracted_docs_summary"),
+        F.lit("complete").alias("ingestion_status"),
+        F.lit(None).cast("string").alias("ingestion_error"),
+        now.alias("completed_at"),
+    )
+
+
+def snapshot_parameters(assets: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Parameter rows of every item's CSV files: item_id, file_id, row_index, parameter, value, source."""
+    files = assets.filter("route = 'csv'").select("path", "item_id", "file_id")
+    return files.join(parameters, "path").select("item_id", "file_id", "row_index", "parameter", "value", "source")
+
+
 def ingest_documents(
     assets: DataFrame,
     csv_documents: DataFrame,

@@ -27,20 +27,28 @@ def contains_join(terms: DataFrame, texts: DataFrame, term: str, text: str) -> D
 
     Every term is looked up by its rarest gram only (the gram found in the
     fewest texts), then the pair is verified, so the candidates of a term are
-    bounded by its least common part. Both frames have one column.
+    bounded by its least common part. Grams that no term asks for are dropped
+    where the texts are read. Both frames have one column.
     """
     wanted = terms.select(term).distinct().filter(F.length(term) > 0)
     known = texts.select(text).distinct()
     size = F.least(F.length(term), F.lit(GRAM))
-    text_grams = known.select(
-        text, F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col(text), n) for n in range(1, GRAM + 1)])))).alias("_gram")
-    ).filter(F.length("_gram") > 0)
-    in_texts = text_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
     term_grams = wanted.select(term, F.explode(_grams_of(F.col(term), size)).alias("_gram"))
+    # Only gram lengths that some term has: at most GRAM numbers.
+    sizes = sorted(r[0] for r in wanted.select(size.cast("int")).distinct().collect())
+    if not sizes:
+        return wanted.join(known.withColumnRenamed(text, "_t"), F.lit(False)).select(term, F.col("_t").alias(text))
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col(text), n) for n in sizes])))
+    asked = term_grams.select("_gram").distinct()
+    counted = known.select(F.explode(grams).alias("_gram")).join(asked, "_gram", "left_semi")
+    in_texts = counted.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
     # A gram without texts proves that the term is nowhere: count it as zero.
     scored = term_grams.join(in_texts, "_gram", "left").fillna(0, ["_texts"])
     anchor = scored.groupBy(term).agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
-    return anchor.join(text_grams, "_gram").filter(F.col(text).contains(F.col(term))).select(term, text)
+    # Written: its size decides whether the texts must be shuffled to meet it.
+    anchor = written(anchor, "anchors")
+    held = known.select(text, F.explode(grams).alias("_gram")).join(anchor.select("_gram").distinct(), "_gram", "left_semi")
+    return anchor.join(held, "_gram").filter(F.col(text).contains(F.col(term))).select(term, text)
 
 
 def _grams_of(c: Column, size: Column) -> Column:

@@ -246,7 +246,8 @@ def diverse_evidence(
     the same.
     """
     evidence_limit, file_limit = max_evidence, max_per_file
-    merged = merge_candidates(candidates, extra)
+    # A few rows per query, read twice below: written, so that the search runs once.
+    merged = written(merge_candidates(candidates, extra), "merged-candidates")
     if evidence_limit <= 0 or file_limit <= 0:
         merged = merged.filter(F.lit(False))
     file_key = F.coalesce(

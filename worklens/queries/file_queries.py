@@ -117,6 +117,59 @@ def ingest_run(spark, sf):
     return chunks.select(F.col("file_id").cast("long").alias("file_id"), "kind", "section", F.md5("chunk_text").alias("chunk_md5"))
 
 
+@query(
+    "snapshot_documents",
+    f"""
+    with texts as (
+        select source as item, case lang when 'en' then 'pdf' when 'fr' then 'csv' else 'image' end as kind,
+            case when lang in ('de', 'en', 'fr') then text else 'Unsupported image format: gif' end as t from documents
+        union all select 'src' || (conv_id % 20), 'email', 'From: ' || conv_id from conversations where turn = 0
+        union all select 'src' || (conv_id % 20), 'email', text from conversations where turn = 0
+        union all select 'src' || (conv_id % 20), 'pdf', 'PDF ATTACHMENT (turn' || turn || '.pdf):' || chr(10) || text from conversations
+        union all select distinct source, 'monday_columns', 'Column: TP Ref | Value: ' || source from documents
+    ),
+    n as (select item, kind, length({sql_strip('t')}) as n from texts where {sql_strip('t')} <> ''),
+    c as (select item, kind, count(*) as docs, sum(greatest(1, ceil((n - 150) / 850.0)))::bigint as chunks from n group by all)
+    select item as item_id, sum(docs)::bigint as total_docs, sum(chunks)::bigint as total_chunks,
+        string_agg(kind || '=' || docs, ',' order by kind) as by_kind, 'complete' as ingestion_status
+    from c group by 1
+    """,
+)
+def snapshot_documents(spark, sf):
+    """A whole ingest: files, CSV rows, mails with attachments and board columns, ending in the completed snapshots."""
+    files = ASSETS.df(spark, sf)
+    turns = table(spark, sf, "conversations")
+    mail_path = F.concat(F.lit("mail-"), F.col("conv_id").cast("string"))
+    mail_item = F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))
+    mails = turns.filter("turn = 0").select(
+        (-F.col("conv_id") - 1).alias("file_id"), mail_item.alias("item_id"), mail_path.alias("path"), F.lit("m.eml").alias("filename"), F.lit(1).cast("long").alias("actual_size")
+    )
+    assets = files.drop("content").unionByName(mails)
+    assets = assets.withColumn("route", routing.route("filename", F.lit(""), F.lit("attachment"), "actual_size"))
+    size = F.length("text").cast("long").alias("size_bytes")
+    name = F.concat(F.lit("turn"), F.col("turn").cast("string"), F.lit(".pdf"))
+    none = F.lit(None).cast("string")
+    head = turns.filter("turn = 0")
+    parts = (
+        head.select(mail_path.alias("path"), F.lit("header").alias("part_kind"), none.alias("filename"), F.concat(F.lit("From: "), F.col("conv_id").cast("string")).alias("text"), F.lit(None).cast("long").alias("size_bytes"), F.lit(0).alias("part_index"))
+        .unionByName(head.select(mail_path.alias("path"), F.lit("body").alias("part_kind"), none.alias("filename"), "text", F.lit(None).cast("long").alias("size_bytes"), F.lit(1).alias("part_index")))
+        .unionByName(turns.select(mail_path.alias("path"), F.lit("attachment").alias("part_kind"), name.alias("filename"), none.alias("text"), size, (F.col("turn") + 2).cast("int").alias("part_index")))
+    )
+    extracted = files.select("path", none.alias("attachment"), F.col("content").alias("text")).unionByName(
+        turns.select(mail_path.alias("path"), name.alias("attachment"), "text")
+    )
+    csv = files.select("path", F.lit(1).alias("row_index"), F.col("content").alias("text"))
+    sources = files.select("item_id").distinct()
+    value = F.struct(F.struct(F.lit("TP Ref").alias("title")).alias("column"), none.alias("value"), F.col("item_id").alias("text"), none.alias("display_value"))
+    items = sources.select("item_id", F.array(value).alias("column_values"))
+    documents = ingest.ingest_documents(assets, csv, parts, extracted, items)
+    done = ingest.complete_snapshots(sources, documents, F.lit("2024-01-01").cast("timestamp"))
+    kinds = F.transform(F.map_entries("extracted_docs_summary.by_kind"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return done.select(
+        "item_id", "extracted_docs_summary.total_docs", "extracted_docs_summary.total_chunks", F.array_join(F.array_sort(kinds), ",").alias("by_kind"), "ingestion_status"
+    )
+
+
 @query(
     "derived_attachments",
     """
