@@ -25,6 +25,19 @@ def test_csv_dialects(spark, tmp_path):
     assert [r.fields for r in generic] == [{"Name": "a, b", "Size": "1"}, {"Name": "c", "Size": "2"}]
 
 
+def test_csv_quotes_line_ends_and_unreadable_files(spark, tmp_path):
+    (tmp_path / "q.csv").write_bytes(b'A\tB\r\n"x\ny ""z"""\t1\r\n\r\nlone\r\n1\t2\t3\t4\r\n')
+    (tmp_path / "bad.csv").write_bytes(b"Parameter,Value,Source\n\xff\xfe,1,2\n")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "long.csv").write_text("Parameter,Value,Source\n" + "p," + '"' + "v, " * 60000 + '",s\n')
+    files = binary.scan(spark, str(tmp_path), "*.csv")
+    generic = csv_files.generic_rows(files).orderBy("row_index").collect()
+    assert [r.fields for r in generic] == [{"A": 'x\ny "z"', "B": "1"}, {"A": "lone", "B": None}, {"A": "1", "B": "2", "_rest": "3;4"}]
+    rows = csv_files.parameter_rows(files).collect()
+    assert [(r.parameter, len(r.value), r.source) for r in rows] == [("p", 179999, "s")]
+    assert [r.error for r in csv_files.unreadable(files).collect()] == ["not_utf8"]
+
+
 def test_uniform_csv(spark, tmp_path):
     (tmp_path / "u.csv").write_text("Parameter,Value,Source\n a ,1,\n,,\nb,2,x\n")
     rows = csv_files.read_uniform_parameters(spark, str(tmp_path)).collect()
