@@ -241,6 +241,17 @@ def _sizes_fit(numerator: int, denominator: int, x: str, y: str):
     return (denominator * F.least(x, y)) >= (numerator * F.greatest(x, y))
 
 
+def _positions_fit(numerator: int, denominator: int, x: str, y: str, x_end: str = "", y_end: str = ""):
+    """Positional filter on one common n-gram, of several alike the last.
+
+    ``at`` n-grams that others have too stand before it in a set and ``rest`` behind it;
+    those that no other set has cannot be shared and count for neither.
+    """
+    one, two = (lambda c: F.col(f"{x}{c}{x_end}")), (lambda c: F.col(f"{y}{c}{y_end}"))
+    most = F.least(one("at"), two("at")) + 1 + F.least(one("rest"), two("rest"))
+    return denominator * most >= numerator * (one("n") + two("n") - most)
+
+
 def jaccard_components(
     docs: DataFrame,
     numerator: int = 80,
@@ -280,11 +291,25 @@ def jaccard_components(
     length = F.expr(f"n - ({numerator} * n + {denominator - 1}) div {denominator} + 1 - alone").cast("int")
     prefix = written(
         reps.select("rep", "n", "alone", F.posexplode(F.slice("keys", F.lit(1), length)).alias("at", "key")).select(
-            "key", "rep", "n", (F.col("alone") + F.col("at")).alias("position")
+            "key", "rep", "n", "at", (F.col("n") - F.col("alone") - F.col("at") - 1).alias("rest")
         ),
         "prefix-ngrams",
     )
 
+    # N-grams with the same sets make the same pairs, as those of a shared passage do: they become one.
+    holders = prefix.groupBy("key").agg(
+        F.count(F.lit(1)).alias("sets"),
+        F.bit_xor(F.xxhash64("rep")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), F.col("rep"))).alias("y"),
+    )
+    alike = holders.filter("sets > 1").select("key", F.xxhash64("sets", "x", "y").alias("same"))
+    prefix = written(
+        prefix.join(alike, "key")
+        .groupBy(F.col("same").alias("key"), "rep", "n")
+        .agg(F.count(F.lit(1)).alias("times"), F.max("at").alias("at"), F.min("rest").alias("rest")),
+        "prefix-groups",
+    )
+
     links, roots = None, None
     for turn in range(pivot_rounds + 1):
         placed = prefix.withColumn("root", F.col("rep"))
@@ -295,7 +320,7 @@ def jaccard_components(
         # Only n-grams of several components can still link something new.
         draw = F.xxhash64("rep", F.pmod("key", F.lit(pivots)), F.lit(turn))
         keys = placed.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("rep", "n", "root"), draw).alias("pivot")
+            F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("rep", "n", "at", "rest", "root"), draw).alias("pivot")
         )
         keys = keys.filter("low <> high").drop("low", "high")
         if turn < pivot_rounds:
@@ -303,23 +328,25 @@ def jaccard_components(
                 placed.join(keys, "key")
                 .filter("root <> pivot.root")
                 .filter(_sizes_fit(numerator, denominator, "n", "pivot.n"))
+                .filter(_positions_fit(numerator, denominator, "", "pivot."))
                 .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
                 .distinct()
             )
         else:
             open_rows = placed.join(keys.select("key"), "key", "left_semi")
-            left = open_rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "position", "root")))
-            right = open_rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "position", "root")))
+            left = open_rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "times", "at", "rest", "root")))
+            right = open_rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "times", "at", "rest", "root")))
             met_pairs = left.join(right, "key").filter(
                 (F.col("rep_a") < F.col("rep_b"))
                 & (F.col("root_a") != F.col("root_b"))
                 & _sizes_fit(numerator, denominator, "n_a", "n_b")
+                & _positions_fit(numerator, denominator, "", "", "_a", "_b")
             )
-            # Positional filter: what both prefixes share up to their last common n-gram, and what can follow it.
+            # Once the matches of a pair are together, what precedes the last one is known exactly.
             pairs = (
                 met_pairs.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b")
-                .agg(F.count(F.lit(1)).alias("common"), F.max("position_a").alias("last_a"), F.max("position_b").alias("last_b"))
-                .withColumn("most", F.col("common") + F.least(F.expr("n_a - last_a - 1"), F.expr("n_b - last_b - 1")))
+                .agg(F.sum("times_a").alias("common"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
+                .withColumn("most", F.col("common") + F.least("rest_a", "rest_b"))
                 .filter(F.expr(f"{denominator} * most >= {numerator} * (n_a + n_b - most)"))
             )
         pairs = written(pairs.select("a", "b"), "candidates")
