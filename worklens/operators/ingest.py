@@ -253,12 +253,14 @@ def append_warnings(old: Column | str, new: Column | str) -> Column:
 SEPARATOR = "=" * 50
 
 
-def mail_texts(parts: DataFrame, batchable: DataFrame | None = None) -> DataFrame:
-    """One text per mail: content, unprocessed names, then PDFs by size, images, inline images.
+def mail_pieces(parts: DataFrame) -> DataFrame:
+    """The pieces of every mail's text in order: content, unprocessed names, PDFs by size, images, inline images.
 
     parts: item_id, asset_id, filename (of the mail), header, body, and per
     attachment row part_kind ('mail' | 'attachment' | 'inline'), attachment,
-    size_bytes, part_index, text (extracted). One group is one mail.
+    size_bytes, part_index, text (extracted). Result: item_id, asset_id, filename,
+    place (sortable within the mail), piece. One row per part, no shuffle; the text of a
+    mail or item is the concatenation in order of (asset_id, place).
     """
     name = F.lower("attachment")
     image = name.rlike(r"\.(jpg|jpeg|png|gif|bmp)$")
@@ -278,22 +280,24 @@ def mail_texts(parts: DataFrame, batchable: DataFrame | None = None) -> DataFram
         .otherwise(F.concat(F.lit("\nINLINE IMAGE"), tail))
     )
     size = F.when(rank == 2, F.col("size_bytes")).otherwise(F.lit(0)).cast("long")
-    keyed = parts.select(
-        "item_id",
-        "asset_id",
-        "filename",
-        F.struct(rank.alias("r"), size.alias("s"), F.col("part_index").alias("i"), piece.alias("t")).alias("_p"),
-    )
-    joined = keyed.groupBy("item_id", "asset_id", "filename").agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
+    place = F.struct(rank.alias("rank"), size.alias("size"), F.col("part_index").alias("part"))
+    return parts.select("item_id", "asset_id", "filename", place.alias("place"), piece.alias("piece"))
+
+
+def mail_texts(parts: DataFrame) -> DataFrame:
+    """One text per mail, for callers that need it as one value: it must fit into a Spark string."""
+    ordered = F.array_sort(F.collect_list(F.struct("place", "piece")))
+    joined = mail_pieces(parts).groupBy("item_id", "asset_id", "filename").agg(ordered.alias("_ps"))
     return joined.select(
-        "item_id", "asset_id", "filename", F.array_join(F.transform("_ps", lambda p: p["t"]), "").alias("mail_text")
+        "item_id", "asset_id", "filename", F.array_join(F.transform("_ps", lambda p: p["piece"]), "").alias("mail_text")
     )
 
 
 def item_texts(mails: DataFrame) -> DataFrame:
     """All mails of an item in numeric asset order, with the hash of the text.
 
-    The text is one value by definition, so the group is one item document.
+    For callers that need one value, as the revision hash does; ``mail_pieces`` is the
+    form for items of any size.
     """
     block = F.concat(
         F.lit("\n\nEMAIL FILE: "), "filename", F.lit("\n"), "mail_text", F.lit(f"\n{SEPARATOR}\n")

@@ -115,6 +115,18 @@ def mail_texts(spark, sf):
     return ingest.item_texts(ingest.mail_texts(parts.unionByName(mails))).select("item_id", "text_sha256")
 
 
+@query(
+    "mail_pieces",
+    f"""
+    select item_id, asset_id, {_RANK} as rank, case when attachment = 'Plan.PDF' then size_bytes else 0 end as size, part_index as part, {_PIECE} as piece
+    from {PARTS.sql}
+    """,
+)
+def mail_pieces(spark, sf):
+    rows = ingest.mail_pieces(PARTS.df(spark, sf))
+    return rows.select("item_id", "asset_id", "place.rank", "place.size", "place.part", "piece")
+
+
 LINES_TEXT = Proxy(
     "documents",
     {
