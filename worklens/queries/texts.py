@@ -179,14 +179,18 @@ def batched_pdf_split(spark, sf):
 @query(
     "changed_documents_rechunked",
     f"""
-    with fresh as (select doc_id as file_id, greatest(1, ceil((length({sql_strip('text')}) - 150) / 850.0))::int as total from documents
-              where length({sql_strip('text')}) > 0)
-    select file_id, total::bigint as n_chunks from fresh
+    with now as (select doc_id as file_id, lang = 'en' as changed, case when lang = 'en' then text || ' ' || text else text end as t from documents),
+    n as (select file_id, changed, greatest(1, ceil((length({sql_strip('t')}) - 150) / 850.0))::bigint as n, substring({sql_strip('t')}, 1, 1000) as first
+        from now where length({sql_strip('t')}) > 0)
+    select file_id, n as n_chunks, md5(first) as first_md5 from n
     """,
 )
 def changed_documents_rechunked(spark, sf):
-    """The chunk table after English documents were read again: each file is replaced as a whole."""
+    """The chunk table after English documents came with a longer text: their old chunks are gone, the rest stays."""
     documents = DOCUMENTS.df(spark, sf)
-    stored = ingest.chunk_documents(documents).select("id", "file_id", "section", "page", "chunk_text")
-    fresh = ingest.chunk_documents(documents.filter("kind = 'pdf'"))
-    return ingest.replace_by_file(stored, fresh).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    stored = ingest.chunk_documents(documents).select("id", "file_id", "section", "page", "chunk_index", "chunk_text")
+    longer = documents.filter("kind = 'pdf'").withColumn("text", F.concat("text", F.lit(" "), "text"))
+    chunks = ingest.replace_by_file(stored, ingest.chunk_documents(longer))
+    return chunks.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.md5(F.min_by("chunk_text", "chunk_index")).alias("first_md5")
+    )
