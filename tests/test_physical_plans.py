@@ -62,3 +62,11 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Cluster())
+
+
+def test_metrics_read_each_table_once_and_jobs_twice(spark):
+    frame = entry.queries()["operations_metrics"](spark, SF)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    # Items are orders, artifacts and jobs are line items, dispatches are events (their small counts are used twice).
+    scans = [line for line in plan.splitlines() if "Relation [" in line]
+    assert len(scans) <= 6, plan

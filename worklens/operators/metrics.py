@@ -52,6 +52,11 @@ def _disc(p: float, column: str) -> Column:
     return F.round(F.expr(f"percentile_disc({p}) within group (order by {column})").cast("double"), 3)
 
 
+def _filled(pairs: Column) -> Column:
+    """A map of the pairs that count something."""
+    return F.map_from_entries(F.filter(pairs, lambda p: p["n"] > 0))
+
+
 def operations_metrics(
     items: DataFrame,
     jobs: DataFrame,
@@ -61,7 +66,11 @@ def operations_metrics(
     now: Column,
     lease_seconds: int = vocab.LEASE_SECONDS,
 ) -> DataFrame:
-    """The metrics document as one row; every base table is read in one pass."""
+    """The metrics document as one row.
+
+    Items, artifacts and dispatches are read in one pass each, jobs in a second one for the
+    latency percentiles, which need their own order.
+    """
     if lease_seconds < 1:
         raise ValueError("lease_seconds must be positive")
 
@@ -80,6 +89,7 @@ def operations_metrics(
         F.when(waiting, checks.cast("double")).alias("_checks"),
         attempts.cast("double").alias("_attempts"),
         F.when(running, beat).alias("_beat"),
+        F.when((F.col("execution_kind") == "publication") & (status == "completed"), age_seconds(F.col("completed_at"), "started_at")).alias("_latency"),
         ((status == "cancelled") & F.col("superseded_by_revision").isNotNull()).alias("_superseded"),
     )
     job_row = staged.agg(
@@ -95,14 +105,24 @@ def operations_metrics(
         F.count_if(F.col("_beat") >= lease_seconds).alias("leases_expired"),
         F.max("_beat").alias("leases_oldest_heartbeat_age_seconds"),
         F.count_if("_superseded").alias("supersessions_cancelled_jobs"),
+        F.count("_latency").alias("publication_latency_count"),
+        # The active statuses are a fixed vocabulary.
+        _filled(F.array(*[F.struct(F.lit(s).alias("k"), F.count_if(status == s).alias("n")) for s in sorted(vocab.ACTIVE_DESIGN_JOB_STATUSES)])).alias(
+            "queue_depth"
+        ),
     )
 
     desired, analyzed, published = F.col("desired"), F.col("analyzed"), F.col("published")
-    item_row = items.agg(
-        F.count_if(F.col("supersession_requested_at").isNotNull()).alias("supersessions_pending_items"),
-        F.count_if(
-            desired.isNotNull() & desired.eqNullSafe(analyzed) & ~desired.eqNullSafe(published)
-        ).alias("analyzed_not_published"),
+    by_state = items.groupBy("state").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("supersession_requested_at").isNotNull()).alias("_pending"),
+        F.count_if(desired.isNotNull() & desired.eqNullSafe(analyzed) & ~desired.eqNullSafe(published)).alias("_open"),
+    )
+    # One row per state, so the second step is small.
+    item_row = by_state.agg(
+        F.coalesce(F.sum("_pending"), F.lit(0)).alias("supersessions_pending_items"),
+        F.coalesce(F.sum("_open"), F.lit(0)).alias("analyzed_not_published"),
+        _filled(F.array_sort(F.collect_list(F.when(F.col("state").isNotNull(), F.struct(F.col("state").alias("k"), "n"))))).alias("items_by_state"),
     )
 
     to_delete = status == "delete_pending"
@@ -112,31 +132,17 @@ def operations_metrics(
         F.count_if(status == "deleted").alias("cleanup_deleted"),
     )
 
-    latency = jobs.filter((F.col("execution_kind") == "publication") & (status == "completed")).select(
-        age_seconds(F.col("completed_at"), "started_at").alias("_latency")
-    )
-    spread = nearest_rank(latency, "_latency", (0.5, 0.95)).agg(
+    spread = nearest_rank(staged.select("_latency"), "_latency", (0.5, 0.95)).agg(
         F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("publication_latency_p50"),
         F.max(F.when(F.col("p") == 0.95, F.col("value"))).alias("publication_latency_p95"),
     )
-    latency_row = latency.agg(F.count("_latency").alias("publication_latency_count"))
-
-    def tally(df: DataFrame, column: str, name: str) -> DataFrame:
-        # One entry per vocabulary value.
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(column), F.col("n"))))
-        return counter(df, column).agg(F.map_from_entries(pairs).alias(name))
-
-    mine = dispatches.filter(F.col("consumer") == "design_processing")
-    rows = [
-        tally(jobs.filter(active), "status", "queue_depth"),
-        tally(items, "state", "items_by_state"),
-        tally(mine, "status", "dispatch_status"),
-        tally(mine, "outcome", "dispatch_outcome"),
-        item_row,
-        artifact_row,
-        latency_row,
-        spread,
-    ]
+    mine = dispatches.filter(F.col("consumer") == "design_processing").groupBy("status", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+    def tally(column: str, name: str) -> DataFrame:
+        counts = mine.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("k")).agg(F.sum("n").alias("n"))
+        return counts.agg(_filled(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+
+    rows = [tally("status", "dispatch_status"), tally("outcome", "dispatch_outcome"), item_row, artifact_row, spread]
     # Each part is one row with its own columns; merged, they are the document.
     parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [job_row, *rows])
     merged = parts.agg(*[F.any_value(c, F.lit(True)).alias(c) for c in parts.columns])
