@@ -33,6 +33,8 @@ END = "\n"
 PAIR_BITS = 64
 #: So many customers of a dish are seated one by one before arrivals are skipped.
 ONE_BY_ONE = 32
+#: So few dishes are finished one by one, in runs of so many customers.
+FEW, RUN = 32, 4096
 _INVERSE = tuple(np.uint64(pow(m, -1, 1 << 64)) for m in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9))
 
 
@@ -80,7 +82,7 @@ def tables_drawn(rng: np.random.Generator, customers: np.ndarray, d: float, stre
         tables[:n] += rng.random(n) * (s[:n] + i) < s[:n] + d * tables[:n]
     active = np.arange(int(np.searchsorted(-size, -ONE_BY_ONE, side="left")))
     seated = np.full(len(active), ONE_BY_ONE, dtype=np.int64)
-    while len(active):
+    while len(active) > FEW:
         i, t, own = seated[active], tables[active], s[active]
         most = (own + d * t) / (own + i)
         with np.errstate(divide="ignore"):
@@ -92,11 +94,35 @@ def tables_drawn(rng: np.random.Generator, customers: np.ndarray, d: float, stre
         tables[active] += opened
         seated[active] = np.where(inside, at + 1, stop)
         active = active[seated[active] < size[active]]
+    for dish in active.tolist():
+        tables[dish] = _seated_in_runs(rng, int(seated[dish]), int(size[dish]), int(tables[dish]), d, float(s[dish]))
     out = np.empty_like(tables)
     out[order] = tables
     return out
 
 
+def _seated_in_runs(rng: np.random.Generator, seated: int, customers: int, tables: int, d: float, strength: float) -> int:
+    """Tables of one large dish: many customers at once.
+
+    Whether a customer opens a table depends on the tables opened before, which only
+    make it likelier; repeating the run with the tables found so far therefore rises to
+    the very outcome of seating one after the other.
+    """
+    while seated < customers:
+        i = np.arange(seated, min(customers, seated + RUN))
+        drawn = rng.random(len(i)) * (strength + i)
+        opened = drawn < strength + d * tables
+        while True:
+            before = np.cumsum(opened) - opened
+            more = drawn < strength + d * (tables + before)
+            if (more == opened).all():
+                break
+            opened = more
+        tables += int(opened.sum())
+        seated += len(i)
+    return tables
+
+
 def reseated(
     rng: np.random.Generator, customers: np.ndarray, tables: np.ndarray, d: float, theta: float, others: np.ndarray, base: np.ndarray
 ) -> np.ndarray:
@@ -116,10 +142,13 @@ def reseated(
         out = np.zeros(len(t))
         active = np.flatnonzero(t > 1)
         j = 1
-        while len(active):
+        while len(active) > FEW:
             out[active] += np.log(base[active] * (theta + d * (others[active] + j))) - np.log(strength[active] + d * j)
             j += 1
             active = active[t[active] > j]
+        for k in active.tolist():
+            rest = np.arange(j, t[k])
+            out[k] += (np.log(base[k] * (theta + d * (others[k] + rest))) - np.log(strength[k] + d * rest)).sum()
         return out
 
     refused = np.log(1.0 - rng.random(len(moved))) > log_weight(fresh[moved]) - log_weight(tables[moved])
