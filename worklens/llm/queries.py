@@ -19,7 +19,7 @@ from worklens.llm import (
     vector_search,
 )
 from worklens.llm.common import in_fold
-from worklens.session import new_shared_path
+from worklens.session import new_shared_path, written
 
 Build = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Build, str | None]] = {}
@@ -218,13 +218,23 @@ def op6_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
     The last batch is delivered twice, which must not change the totals.
     """
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    docs = table(spark, sf, "documents")
     path = new_shared_path(spark, "token-rollup")
-    v1, v2 = token_rollup.words_v1(F.col("text")), token_rollup.words_v2(F.col("text"))
-    first = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
-    token_rollup.commit("0001-insert", token_rollup.inserted(docs, "words_v1", v1), path)
-    token_rollup.commit("0002-delete", token_rollup.deleted(docs.join(first, "doc_id", "left_anti"), "words_v1", v1), path)
-    kept = docs.join(first, "doc_id", "left_semi").filter(~F.col("lang").eqNullSafe("en"))
+    # Counted once, so that no text is shuffled to find out which documents a batch is about.
+    counted = docs.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.sha2("text", 256).alias("digest"),
+        token_rollup.words_v1(F.col("text")).alias("v1"),
+        token_rollup.words_v2(F.col("text")).alias("v2"),
+    )
+    counted = written(counted, "token-counts")
+    v1, v2 = F.col("v1"), F.col("v2")
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    token_rollup.commit("0001-insert", token_rollup.inserted(counted, "words_v1", v1), path)
+    token_rollup.commit("0002-delete", token_rollup.deleted(counted.join(first, "doc_id", "left_anti"), "words_v1", v1), path)
+    kept = counted.join(first, "doc_id", "left_semi").filter(~F.col("lang").eqNullSafe("en"))
     for _ in range(2):
         token_rollup.commit("0003-revise", token_rollup.revised(kept, ("words_v1", v1), ("words_v2", v2)), path)
     return token_rollup.totals(spark, path)
