@@ -318,7 +318,13 @@ def jaccard_components(
                 *prefix.columns, F.coalesce("root", "rep").alias("root")
             )
         # Only n-grams of several components can still link something new.
-        draw = F.xxhash64("rep", F.pmod("key", F.lit(pivots)), F.lit(turn))
+        # The first pivot is the most central set, that with the fewest n-grams of its own: edited
+        # copies have some, what they were copied from has none. Later ones are drawn from parts.
+        draw = F.struct(
+            F.pmod(F.xxhash64("rep", F.pmod("key", F.lit(pivots)), F.lit(turn)), F.lit(1 + 2 * turn)).alias("part"),
+            ((F.col("n") - F.col("at") - F.col("rest")) / F.col("n")).alias("own"),
+            F.xxhash64("rep").alias("tie"),
+        )
         keys = placed.groupBy("key").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("rep", "n", "at", "rest", "root"), draw).alias("pivot")
         )
