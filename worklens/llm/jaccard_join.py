@@ -303,8 +303,11 @@ def jaccard_components(
         F.bit_xor(F.xxhash64(F.lit(1), F.col("rep"))).alias("y"),
     )
     alike = holders.filter("sets > 1").select("key", F.xxhash64("sets", "x", "y").alias("same"))
+    # Copies in other blocks had made some n-grams look shared; those that one set holds alone count for nothing.
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("at")) - 1
     prefix = written(
         prefix.join(alike, "key")
+        .withColumn("at", place)
         .groupBy(F.col("same").alias("key"), "rep", "n")
         .agg(F.count(F.lit(1)).alias("times"), F.max("at").alias("at"), F.min("rest").alias("rest")),
         "prefix-groups",
