@@ -13,6 +13,7 @@ import worklens.llm.language_crf as crf
 from worklens.llm import decontamination as leaks
 from worklens.llm import pitman_yor as lm
 from worklens.llm import quality
+from worklens.llm.blobs import pack_counts, pack_keys, unpack_counts
 from worklens.llm.common import mixed
 from worklens.llm.components import components
 from worklens.llm.jaccard_join import jaccard_components, one_of_each
@@ -314,6 +315,17 @@ def test_seating_follows_the_restaurant_and_the_sampler_its_target():
     assert (lm.unmixed(mixed(x)) == x).all()
 
 
+def test_counts_beyond_four_bytes_stay_whole():
+    for values in ([], [0, 0], [255, 256, 3], [2**32 - 1, 2**32, 7], [2**40 + 5, 1], [2**62]):
+        assert unpack_counts(pack_counts(np.array(values, dtype=np.int64))).tolist() == values
+    word = np.array([5 << 24, 9 << 24], dtype=np.uint64)
+    rows = [lm.row("words", 0, block, a=pack_keys(word), b=pack_counts(np.array([3 << 30, 1]))) for block in (1, 2)]
+    vocabulary, *asked = lm._word_counts(lm.table_of(rows)).to_pylist()
+    assert vocabulary["totals"] == [(3 << 31) + 2, 2]
+    assert unpack_counts(vocabulary["b"]).tolist() == [3 << 31, 2]
+    assert [unpack_counts(r["b"]).tolist() for r in asked] == [[3 << 31, 2]] * 2
+
+
 def test_language_model_of_hot_words_long_texts_and_nothing(spark):
     rows = [(i, "hot hot " * 50, True) for i in range(50)] + [(60, "hot " * 40000, True), (61, "hot cold", False), (61, "hot cold", False), (None, "x", True)]
     got = lm.score_documents(lm_table(spark, rows), F.col("train")).collect()

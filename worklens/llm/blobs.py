@@ -31,13 +31,16 @@ def unpack_keys(blob: bytes, bits: int = KEY_BITS) -> np.ndarray:
 
 
 def pack_counts(values: np.ndarray) -> bytes:
-    """Whole numbers below 2^32, most of them small."""
-    return len(values).to_bytes(8, "little") + pa.compress(_planes(values, 4), codec="zstd", asbytes=True)
+    """Whole numbers, most of them small, in as many byte planes as the largest needs: their number, the width, the planes."""
+    wide = values.astype("<u8")
+    width = max(1, (int(wide.max(initial=0)).bit_length() + 7) // 8)
+    return len(wide).to_bytes(8, "little") + bytes([width]) + pa.compress(_planes(wide, width), codec="zstd", asbytes=True)
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    size = 4 * int.from_bytes(blob[:8], "little")
-    return _from_planes(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), 4).astype(np.int64)
+    width = blob[8]
+    size = width * int.from_bytes(blob[:8], "little")
+    return _from_planes(pa.decompress(blob[9:], decompressed_size=size, codec="zstd", asbytes=True), width).astype(np.int64)
 
 
 def bucket_of(keys: np.ndarray, buckets: int, bits: int = KEY_BITS) -> np.ndarray:
