@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from worklens.llm import packing, sharding, token_rollup, url_filter, vector_search
+from worklens.llm import packing, queries, sharding, token_rollup, url_filter, vector_search
 from worklens.llm.url_filter import DigestIndex
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -163,6 +163,20 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
         token_rollup.commit("a/b", token_rollup.inserted(docs, "v1", v1), path)
 
 
+def test_rollup_query_equals_its_sql_with_null_and_repeated_ids(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(None, "only one here", "en", "a"), (None, "ja, so", "de", "a"), (None, "ja, so", "fr", "b"), (4, "ja, so", "de", "c")]
+    rows += [(1, "a, b", "de", "a")] * 3 + [(2, "a, b", "de", "b"), (2, "c d e", "de", "b"), (1, "c d e", "fr", "c")]
+    rows += [(None, None, "de", "n"), (7, None, "de", "n"), (None, "twice", "de", "t"), (None, "twice", "de", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    build, sql = queries.REGISTRY["op6_token_rollup"]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(sql).fetchall(), key=str)
+    assert sorted((tuple(r) for r in build(spark, str(tmp_path)).collect()), key=str) == want
+
+
 def test_bpe_counts_equal_the_tokenizer(spark):
     tiktoken = pytest.importorskip("tiktoken")
     tokenizers = pytest.importorskip("public_tokenizers")

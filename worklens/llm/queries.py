@@ -229,12 +229,14 @@ def op6_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
         token_rollup.words_v1(F.col("text")).alias("v1"),
         token_rollup.words_v2(F.col("text")).alias("v2"),
     )
-    counted = written(counted, "token-counts")
+    # Ids may be null or repeat, so rows are told apart by a number that is written with them.
+    counted = written(counted.withColumn("row", F.monotonically_increasing_id()), "token-counts")
     v1, v2 = F.col("v1"), F.col("v2")
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = written(counted.groupBy("digest").agg(F.min(order).alias("first")).select("first.row"), "first-copies")
     token_rollup.commit("0001-insert", token_rollup.inserted(counted, "words_v1", v1), path)
-    token_rollup.commit("0002-delete", token_rollup.deleted(counted.join(first, "doc_id", "left_anti"), "words_v1", v1), path)
-    kept = counted.join(first, "doc_id", "left_semi").filter(~F.col("lang").eqNullSafe("en"))
+    token_rollup.commit("0002-delete", token_rollup.deleted(counted.join(first, "row", "left_anti"), "words_v1", v1), path)
+    kept = counted.join(first, "row", "left_semi").filter(~F.col("lang").eqNullSafe("en"))
     for _ in range(2):
         token_rollup.commit("0003-revise", token_rollup.revised(kept, ("words_v1", v1), ("words_v2", v2)), path)
     return token_rollup.totals(spark, path)
