@@ -94,6 +94,20 @@ def test_one_document_of_each_group_stays(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_rows_stay_by_component_and_not_by_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(40)) for _ in range(6)]
+    near = texts[1] + " end"
+    rows = [(1, texts[0], 1), (1, texts[1], 2), (1, texts[2], 3), (1, texts[2], 4)]  # an id of three documents
+    rows += [(9, texts[3], 5), (9, near, 6), (9, texts[3] + " end", 7)]  # one new, one linked to id 1
+    rows += [(None, texts[4], k) for k in range(10, 15)] + [(None, texts[5], 20), (30, texts[5] + " end", 21)]
+    rows += [(None, None, 40), (None, " ", 41), (50, None, 42), (50, None, 43)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(5)
+    kept = [r["n"] for r in one_of_each(df).collect()]
+    want = [{1}, {2}, {3, 4}, {5, 7}, set(range(10, 15)), {21}, {40}, {41}, {42}, {43}]
+    assert len(kept) == len(want) and all(len(w & set(kept)) == 1 for w in want)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(200, 200), (301, 300), (300, 301)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +11,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from worklens.llm.blobs import KEY_BITS, bucket_count, pack_keys, ranges, unpack_keys
-from worklens.llm.common import Words, fingerprints, mixed, slices
+from worklens.llm.common import WORD, Words, fingerprints, mixed, slices
 from worklens.llm.components import components
 from worklens.session import written
 
 ENTRY, DOCS, OWNERS = 0, 1, 2
 MANY = 65535
 HISTOGRAM = 16
-SCHEMA = "kind int, bucket int, chunk long, ids array<long>, a binary, b binary, c binary"
+SCHEMA = "kind int, bucket int, chunk long, ids array<long>, digests array<binary>, a binary, b binary, c binary"
 KINDS = pa.schema(
-    [("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+    [("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
 )
 
 
@@ -92,7 +93,8 @@ def _blocks(buckets: int, width: int):
                 first[i] = signature not in places
                 place[i] = places.setdefault(signature, len(places))
             held = np.array([sizes[i] for i in np.flatnonzero(first)], dtype=np.int32)
-            out = [(DOCS, chunk % buckets, chunk, batch.column("doc_id").to_pylist(), place.tobytes(), held.tobytes(), b"".join(places))]
+            ids, digests = batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()
+            out = [(DOCS, chunk % buckets, chunk, ids, digests, place.tobytes(), held.tobytes(), b"".join(places))]
             keep = first[owner]
             short, owner = key[keep] >> np.uint64(64 - KEY_BITS), place[owner[keep]]
             start = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1]))) if len(short) else np.empty(0, np.int64)
@@ -101,11 +103,11 @@ def _blocks(buckets: int, width: int):
             shared = np.repeat(count > 1, count)
             distinct = short[start]
             out.append(
-                (OWNERS, chunk % buckets, chunk, None, pack_keys(distinct[count > 1]), owner[shared].astype(np.uint16).tobytes(), count[count > 1].astype(np.uint32).tobytes())
+                (OWNERS, chunk % buckets, chunk, None, None, pack_keys(distinct[count > 1]), owner[shared].astype(np.uint16).tobytes(), count[count > 1].astype(np.uint32).tobytes())
             )
             for bucket, a, b in ranges(distinct, buckets):
                 more = count[a:b][count[a:b] > 1].astype(np.uint32)
-                out.append((ENTRY, bucket, chunk, None, pack_keys(distinct[a:b]), single[a:b].tobytes(), more.tobytes()))
+                out.append((ENTRY, bucket, chunk, None, None, pack_keys(distinct[a:b]), single[a:b].tobytes(), more.tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(KINDS.names, r)) for r in out], schema=KINDS)
 
     return run
@@ -137,7 +139,7 @@ def _frequencies(group: pa.Table) -> pa.Table:
         met = np.flatnonzero(frequency[a:b] > 1)
         if len(met):
             capped = np.minimum(frequency[a:b][met], 2**32 - 1).astype(np.uint32)
-            out.append((ENTRY, 0, int(chunks[i]), None, pack_keys(key[a:b][met]), owner[a:b][met].tobytes(), capped.tobytes()))
+            out.append((ENTRY, 0, int(chunks[i]), None, None, pack_keys(key[a:b][met]), owner[a:b][met].tobytes(), capped.tobytes()))
     made = pa.Table.from_pylist([dict(zip(KINDS.names, r)) for r in out], schema=KINDS)
     return pa.concat_tables([passed.cast(KINDS), made])
 
@@ -198,6 +200,7 @@ def _sets(numerator: int, denominator: int):
         histogram = [np.bincount(key[a:b] & (HISTOGRAM - 1), minlength=HISTOGRAM).tolist() for a, b in zip(starts, stops)]
         table = {
             "doc_id": pa.array([*out_ids, *none], pa.int64()),
+            "digest": pa.array([*docs["digests"], *none], pa.binary()),
             "signature": pa.array([*out_sig, *names], pa.binary()),
             "n": pa.array([*sizes.tolist(), *sizes_of], pa.int64()),
             "alone": pa.array([*blank, *alone], pa.int32()),
@@ -209,7 +212,7 @@ def _sets(numerator: int, denominator: int):
     return run
 
 
-SETS = "doc_id long, signature binary, n long, alone int, keys array<long>, histogram array<int>"
+SETS = "doc_id long, digest binary, signature binary, n long, alone int, keys array<long>, histogram array<int>"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -252,24 +255,10 @@ def _positions_fit(numerator: int, denominator: int, x: str, y: str, x_end: str
     return denominator * most >= numerator * (one("n") + two("n") - most)
 
 
-def jaccard_components(
-    docs: DataFrame,
-    numerator: int = 80,
-    denominator: int = 100,
-    width: int = 5,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    pivot_rounds: int = 2,
-    pivots: int = 4,
-) -> DataFrame:
-    """Near-duplicate components: (doc_id, n_shingles, component_id), one row per document.
-
-    Two documents are linked when their sets of word n-grams have a Jaccard similarity
-    of ``numerator / denominator`` or more; component_id is the smallest id that a
-    document reaches by links. A text of fewer words than ``width`` has its whole
-    sequence as the one n-gram; null and blank texts have none, link with nothing and
-    are their own component. Repeated rows keep a row each. A null id takes part; its
-    component is the smallest id it reaches, or null. Other columns are not looked at.
+def _linked(
+    rows: DataFrame, numerator: int = 80, denominator: int = 100, width: int = 5, pivot_rounds: int = 2, pivots: int = 4
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, text) to (doc_id, digest, n, signature) of each and (signature, root) of the sets that can be linked.
 
     Equal sets become one. N-grams are ordered by document frequency over the whole
     table, rarest first; only those that two blocks or documents share can link and
@@ -279,14 +268,13 @@ def jaccard_components(
     passes the length, positional and suffix filters is verified. No candidate is left
     out, and what a pair could add to a known component need not be looked at.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     buckets = bucket_count(rows, "text")
     blocks = rows.mapInArrow(_blocks(buckets, width), SCHEMA)
     met = blocks.groupBy("bucket").applyInArrow(_frequencies, SCHEMA)
     sets = written(met.groupBy("chunk").applyInArrow(_sets(numerator, denominator), SETS), "shingle-sets")
 
-    members = sets.filter(F.col("alone").isNull()).select("doc_id", "n", "signature")
-    reps = sets.filter(F.col("alone").isNotNull()).drop("doc_id").dropDuplicates(["signature"])
+    members = sets.filter(F.col("alone").isNull()).select("doc_id", "digest", "n", "signature")
+    reps = sets.filter(F.col("alone").isNotNull()).drop("doc_id", "digest").dropDuplicates(["signature"])
     reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "set-classes")
     length = F.expr(f"n - ({numerator} * n + {denominator - 1}) div {denominator} + 1 - alone").cast("int")
     prefix = written(
@@ -367,15 +355,42 @@ def jaccard_components(
         links = found if links is None else links.union(found)
         roots = written(components(links), "roots")
 
-    classes = members.filter(F.col("signature").isNotNull()).groupBy("signature").agg(F.min("doc_id").alias("lowest"))
     known = reps.select("signature", "rep")
-    if roots is not None:
-        known = known.join(roots, F.col("rep") == F.col("node"), "left").select(
-            "signature", F.coalesce("root", "rep").alias("root")
-        )
-        lowest = classes.join(known, "signature").groupBy("root").agg(F.min("lowest").alias("reached"))
-        reached = known.join(lowest, "root").select("signature", "reached")
-        classes = classes.join(reached, "signature", "left").select("signature", F.coalesce("reached", "lowest").alias("lowest"))
+    if roots is None:
+        return members, known.withColumnRenamed("rep", "root")
+    known = known.join(roots, F.col("rep") == F.col("node"), "left").select("signature", F.coalesce("root", "rep").alias("root"))
+    return members, known
+
+
+def jaccard_components(
+    docs: DataFrame,
+    numerator: int = 80,
+    denominator: int = 100,
+    width: int = 5,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    pivot_rounds: int = 2,
+    pivots: int = 4,
+) -> DataFrame:
+    """Near-duplicate components: (doc_id, n_shingles, component_id), one row per document.
+
+    Two documents are linked when their sets of word n-grams have a Jaccard similarity
+    of ``numerator / denominator`` or more; component_id is the smallest id that a
+    document reaches by links. A text of fewer words than ``width`` has its whole
+    sequence as the one n-gram; null and blank texts have none, link with nothing and
+    are their own component. Repeated rows keep a row each. A null id takes part; its
+    component is the smallest id it reaches, or null. Other columns are not looked at.
+    """
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.lit(None).cast("binary").alias("digest"),
+        F.col(text).cast("string").alias("text"),
+    )
+    members, known = _linked(rows, numerator, denominator, width, pivot_rounds, pivots)
+    classes = members.filter(F.col("signature").isNotNull()).groupBy("signature").agg(F.min("doc_id").alias("lowest"))
+    lowest = classes.join(known, "signature").groupBy("root").agg(F.min("lowest").alias("reached"))
+    reached = known.join(lowest, "root").select("signature", "reached")
+    classes = classes.join(reached, "signature", "left").select("signature", F.coalesce("reached", "lowest").alias("lowest"))
     classes = written(classes, "components")
     joined = members.join(classes, "signature", "left")
     component = F.when(F.col("signature").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
@@ -383,19 +398,31 @@ def jaccard_components(
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, that have the smallest id of their component.
+    """The documents, with all their columns, one row of every component: that with the smallest id.
 
-    Of rows that repeat an id that stays, the one whose text hashes lowest is kept. Rows
-    without an id stay where no linked document has one.
+    Rows count, not ids: different texts of one id, or without an id, are documents of their
+    own. A null id comes after all others; of one id the text whose digest is smallest stays,
+    of rows with the same id and text one. Every row with a null or blank text stays.
     """
-    linked = written(jaccard_components(docs, doc_id=doc_id, text=text, **options), "linked")
-    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = written(kept, "kept-ids")
-    once = kept.filter("rows = 1 or doc_id is null").select(F.col("doc_id").alias("_kept"))
-    out = docs.join(once, F.col(doc_id).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    often = kept.filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+    own = {"_id": F.col(doc_id).cast("long"), "_digest": F.unhex(F.md5(F.col(text).cast("string")))}
+    rows = docs.select(own["_id"].alias("doc_id"), own["_digest"].alias("digest"), F.col(text).cast("string").alias("text"))
+    members, known = _linked(rows, **options)
+    copies = members.filter(F.col("signature").isNotNull()).groupBy("signature", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "rows")
+    first = copies.groupBy("signature").agg(F.min(order).alias("first")).join(known, "signature", "left")
+    # A set that can link with none is a component of its own.
+    first = first.groupBy("root", F.when(F.col("root").isNull(), F.col("signature"))).agg(F.min("first").alias("first"))
+    kept = written(first.select(F.col("first.doc_id").alias("_kept"), F.col("first.digest").alias("_kept_digest"), "first.rows"), "kept-rows")
+
+    worded = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
+    marked = docs.filter(worded).withColumns(own)
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_kept_digest"))
+    out = docs.filter(~worded).unionByName(marked.join(kept.filter("rows = 1"), same, "left_semi").drop(*own))
+    often = kept.filter("rows > 1")
     if often.isEmpty():
         return out
-    first = Window.partitionBy("_kept").orderBy(F.xxhash64(text))
-    repeated = docs.join(often, F.col(doc_id).cast("long") == F.col("_kept")).withColumn("_turn", F.row_number().over(first))
-    return out.unionByName(repeated.filter("_turn = 1").drop("_kept", "_turn"))
+    # Written, so that a join with many copies of one row can be split before they are ranked.
+    repeated = written(marked.join(often, same, "left_semi"), "repeated-rows")
+    plain = [f.name for f in docs.schema if not re.search("map|variant", f.dataType.simpleString())]
+    turn = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(*plain)))
+    return out.unionByName(repeated.withColumn("_turn", turn).filter("_turn = 1").drop(*own, "_turn"))
