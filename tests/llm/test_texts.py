@@ -108,6 +108,18 @@ def test_rows_stay_by_component_and_not_by_id(spark):
     assert len(kept) == len(want) and all(len(w & set(kept)) == 1 for w in want)
 
 
+def test_components_of_a_block_of_many_short_texts(spark):
+    rows = [(i, f"w{i}") for i in range(66000)] + [(70000, " ".join(map(str, range(30)))), (70001, " ".join(map(str, range(31))))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+    try:
+        moved = {r["doc_id"]: r["component_id"] for r in jaccard_components(df).filter("doc_id <> component_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert moved == {70001: 70000}
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(200, 200), (301, 300), (300, 301)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -26,16 +26,18 @@ def in_fold(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % modulus == remainder
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of about ``max_bytes`` of text or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 8 << 20, max_rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about ``max_bytes`` of text or one row, and of ``max_rows`` rows at most."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
         part = np.cumsum(sizes.to_numpy(zero_copy_only=False)) // max_bytes
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for start, stop in zip(cuts, cuts[1:]):
-            yield batch.slice(start, stop - start)
+        for first in range(0, batch.num_rows, max_rows):
+            last = min(first + max_rows, batch.num_rows)
+            cuts = [first, *(first + np.flatnonzero(np.diff(part[first:last])) + 1).tolist(), last]
+            for start, stop in zip(cuts, cuts[1:]):
+                yield batch.slice(start, stop - start)
 
 
 class Words:
