@@ -11,6 +11,7 @@ from worklens.llm import (
     jaccard_join,
     language_crf,
     packing,
+    piece_bpe,
     pitman_yor,
     quality,
     sharding,
@@ -316,3 +317,22 @@ def op10_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+# --- 11: SentencePiece encoding and decoding
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+@query("op11_piece_bpe")
+def op11_piece_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    encoded = piece_bpe.with_pieces(docs, public_tokenizers.path(PIECE_MODEL), into=("ids", "decoded"))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
