@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worklens.llm import (
+    conversation_repair,
     decontamination,
     jaccard_join,
     language_crf,
@@ -336,3 +337,37 @@ def op11_piece_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+# --- 12: conversation structure repair
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults that the query is about, by the CRC-32 of ``conv_id:turn``; nulls are one space."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fault = F.crc32(key) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    hurt = rows.filter(fault != 0).select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(fault == 1, F.lit("")).when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("copies"),
+    )
+    return hurt.withColumn("copy", F.explode("copies")).select("conv_id", "turn", "role", "text")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = conversation_repair.repair(damaged(rows))
+    every = rows.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    digests = conversation_repair.digests(repaired.edits).withColumnRenamed("conv", "_conv")
+    found = repaired.summary.join(digests, F.col("conv").eqNullSafe(F.col("_conv")))
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
