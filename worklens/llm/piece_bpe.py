@@ -312,24 +312,47 @@ class PieceModel:
         bounds = np.concatenate(([0], np.cumsum(kept)))[ends[offsets]]
         data = np.ascontiguousarray(data[kept])
         texts = pa.LargeStringArray.from_buffers(rows, pa.py_buffer(bounds), pa.py_buffer(data))
+        # An id without text parts the bytes of a character; only a last one does not.
+        broken = np.zeros(rows, dtype=bool)
+        inner = np.flatnonzero(~shown)
+        row = np.searchsorted(offsets, inner, side="right") - 1
+        broken[row[inner + 1 < offsets[row + 1]]] = True
         try:
             texts.validate(full=True)
         except pa.ArrowInvalid:
-            texts = pa.array([self._mended(data[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.large_string())
+            broken |= np.array([not _is_text(data[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+        if broken.any():
+            whole = [t if t is None else t.decode() for t in pc.if_else(pa.array(broken), None, texts.cast(pa.large_binary())).to_pylist()]
+            texts = pa.array([self._mended(ids[offsets[i] : offsets[i + 1]], bool(opens[i])) if t is None else t for i, t in enumerate(whole)], pa.large_string())
         return texts
 
-    @staticmethod
-    def _mended(data: bytes) -> str:
-        """Valid characters, and a replacement character for every other byte."""
+    def _mended(self, ids: np.ndarray, opens: bool) -> str:
+        """Decoded one by one: runs of byte ids are characters, and each byte that is part of none a replacement character."""
         parts: list[str] = []
-        while data:
-            try:
-                parts.append(data.decode())
-                break
-            except UnicodeDecodeError as error:
-                parts.append(data[: error.start].decode() + "�")
-                data = data[error.start + 1 :]
-        return "".join(parts)
+        run = b""
+        for i in [*ids.tolist(), None]:
+            shown = b"" if i is None else self.id_bytes[self.id_offsets[i] : self.id_offsets[i + 1]].tobytes()
+            if i is not None and self.is_byte[i]:
+                run += shown
+                continue
+            while run:
+                try:
+                    parts.append(run.decode())
+                    run = b""
+                except UnicodeDecodeError as error:
+                    parts.append(run[: error.start].decode() + "\N{REPLACEMENT CHARACTER}")
+                    run = run[error.start + 1 :]
+            parts.append(shown.decode())
+        text = "".join(parts)
+        return text[1:] if opens else text
+
+
+def _is_text(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)

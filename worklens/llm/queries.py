@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worklens.llm import (
+    alignment,
     conversation_repair,
     decontamination,
     jaccard_join,
@@ -357,7 +358,83 @@ def damaged(rows: DataFrame) -> DataFrame:
     return hurt.withColumn("copy", F.explode("copies")).select("conv_id", "turn", "role", "text")
 
 
-@query("op12_conversation_repair")
+#: Insertions before a message: state, letters, inserted lines, cost, state after.
+_INSERTS_SQL = """(values (0, '', []::varchar[], 0, 0), (1, '', [], 0, 1), (2, '', [], 0, 2), (3, '', [], 0, 3),
+    (0, 'I', ['user:'], 2, 2), (1, 'I', ['user:'], 2, 2), (2, 'I', ['assistant:'], 2, 3), (3, 'I', ['user:'], 2, 2),
+    (0, 'II', ['user:', 'assistant:'], 4, 3), (1, 'II', ['user:', 'assistant:'], 4, 3),
+    (2, 'II', ['assistant:', 'user:'], 4, 2), (3, 'II', ['user:', 'assistant:'], 4, 3)) as ins(q, letters, added, price, q2)"""
+
+_REPAIR_SQL = rf"""
+    with recursive crc as materialized (select {_CRC_TABLE} as crc_table),
+    keyed as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as body
+        from conversations
+    ),
+    marked as materialized (select *, ({_CRC}) % 20 as fault from keyed, crc),
+    hurt as (
+        select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+            case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+            unnest(case when fault = 3 then [1, 2] else [1] end) as copy
+        from marked where fault <> 0
+    ),
+    placed as materialized (
+        select *, dense_rank() over (order by conv_id nulls first) as g,
+            row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+            regexp_replace(text, '[ 	-
+]+$', '') as bare
+        from hurt
+    ),
+    judged as materialized (
+        select *, bare = '' as blank,
+            bare <> '' and i > min(i) over (partition by g, role, text) as duplicate,
+            bare <> '' and i = min(i) over (partition by g, role, text) and right(bare, 1) not in ('.', '!', '?') as truncated,
+            left(role, 1) as initial,
+            left(role, 1) || lead(left(role, 1)) over (partition by g order by i) as pair
+        from placed
+    ),
+    dp as (
+        select distinct g, 0::bigint as i, 0 as q, {{cost: 0, audit: '', lines: []::varchar[]}} as best from judged
+        union all
+        select g, i, q, min(best) from (
+            select d.g, j.i, arcs.q2 as q, {{
+                cost: best.cost + ins.price + arcs.price, audit: best.audit || ins.letters || arcs.letter,
+                lines: best.lines || ins.added || case arcs.letter when 'D' then [] when 'K' then [j.role || ':' || j.text]
+                    else [case arcs.q2 when 3 then 'assistant:' else 'user:' end || j.text] end }} as best
+            from dp d join judged j on j.g = d.g and j.i = d.i + 1
+            join {_INSERTS_SQL} on ins.q = d.q,
+            lateral (
+                select 'D' as letter, 3 as price, ins.q2 as q2
+                union all
+                select 'R', 2 + j.truncated::int, case ins.q2 when 2 then 3 else 2 end where not (j.blank or j.duplicate)
+                union all
+                select 'K', j.truncated::int, case j.initial when 's' then 1 when 'u' then 2 else 3 end
+                where not (j.blank or j.duplicate) and (j.initial = 's' and ins.q2 = 0 or j.initial = 'u' and ins.q2 <> 2
+                    or j.initial = 'a' and ins.q2 = 2)
+            ) arcs
+        ) group by g, i, q
+    ),
+    ends as (
+        select d.g, min({{cost: best.cost + ins.price, audit: best.audit || ins.letters, lines: best.lines || ins.added}}) as best
+        from dp d join (select g, max(i) as i from judged group by g) n using (g, i) join {_INSERTS_SQL} on ins.q = d.q
+        where ins.q2 in (0, 3) group by d.g
+    ),
+    counts as (
+        select conv_id, g, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+            count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+            count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+        from judged group by conv_id, g
+    )
+    select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+        coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+        coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit,
+        sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) e left join counts c on e.conv_id is not distinct from c.conv_id
+    left join ends using (g)
+    """
+
+
+@query("op12_conversation_repair", _REPAIR_SQL)
 def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     repaired = conversation_repair.repair(damaged(rows))
@@ -371,3 +448,19 @@ def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+# --- 13: cross-tokenizer alignment
+
+BYTE_MODEL = "byte_bpe_50k.json"
+
+
+@query("op13_pair_bitmaps")
+def op13_pair_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    digest = F.when(F.col("n_links") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    chosen = [F.col("doc_id").cast("long").alias("doc_id"), *alignment.COUNTS, digest]
+    paths = public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL)
+    return alignment.align(docs, *paths, keep=["doc_id"], columns=chosen).documents
