@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from worklens import vocab
 from worklens.operators import events as ops
+from worklens.streaming.key_index import FAN, KEYS_PER_FILE, KeyIndex
 
 
 def first_deliveries(stream: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def first_deliveries(stream: DataFrame, watermark: str | None = None) -> DataFra
     By default every key is kept for ever and however late a row is, it counts. A
     watermark bounds the state at a price the caller must want: later rows are dropped
     and a key that returns after it counts as new. ``run_first_deliveries`` keeps the
-    keys in a table instead of the state.
+    keys in an index instead of the state.
     """
     keyed = stream.filter("idempotency_key is not null")
     if watermark is None:
@@ -32,24 +33,43 @@ def batches(spark: SparkSession, path: str, schema: StructType, below: int) -> D
     return rows.filter(F.col("batch") <= below).drop("batch")
 
 
-def run_first_deliveries(stream: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
-    """First deliveries as a table that is its own memory of keys.
+def run_first_deliveries(
+    stream: DataFrame,
+    checkpoint: str,
+    path: str,
+    keys_per_file: int = KEYS_PER_FILE,
+    fan: int = FAN,
+    order: Sequence[str] = ("received_at",),
+) -> StreamingQuery:
+    """First deliveries as a table, with an index of all keys beside it.
 
-    A micro-batch writes the keys that no earlier batch has, into a folder of its own
+    A micro-batch writes the rows whose key no earlier batch has, into a folder of its own
     that a repeated batch replaces. No key is forgotten, no late row is dropped and no
-    state is kept; a scan of the key column takes the place of the state.
+    state is kept; ``order`` decides within a micro-batch. ``path/_keys`` holds a ``KeyIndex``: what a micro-batch reads of it depends on
+    its own keys, not on how many came before; see ``key_index(...).lookups()``.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        new = ops.first_deliveries(batch)
-        if batch_id > 0:
-            known = batches(batch.sparkSession, path, batch.schema, batch_id - 1).select("idempotency_key")
-            new = new.join(known, "idempotency_key", "left_anti").select(*batch.columns)
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        index = key_index(batch.sparkSession, path, keys_per_file, fan)
+        runs = index.runs(batch_id - 1)
+        arrived = ops.first_deliveries(batch, order).persist()
+        try:
+            found = index.lookup(arrived.select("idempotency_key"), runs)
+            new = arrived if found.known is None else arrived.join(found.known, "idempotency_key", "left_anti").select(*batch.columns)
+            new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            arrived.unpersist()
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}")
+        index.publish(batch_id, index.add(stored.select("idempotency_key"), batch_id, runs), found)
 
     return for_each_batch(stream, checkpoint, handle)
 
 
+def key_index(spark: SparkSession, path: str, keys_per_file: int = KEYS_PER_FILE, fan: int = FAN) -> KeyIndex:
+    """The index of the keys that ``run_first_deliveries`` has written below ``path``."""
+    return KeyIndex(spark, f"{path}/_keys", "idempotency_key", keys_per_file, fan)
+
+
 def run_debounce(
     stream: DataFrame, keys: list[str], checkpoint: str, path: str, gap_seconds: int = vocab.DEBOUNCE_SECONDS
 ) -> StreamingQuery:
