@@ -192,3 +192,15 @@ def test_normalisation_replaces_clashing_columns_and_knows_texts_from_objects(sp
     rows = [("x", json.dumps({"event": "{no object", "pulseId": 5, "triggerUuid": "t"}), T)]
     got = ops.normalize(spark.createDataFrame(rows, "event_id string, payload string, received_at timestamp")).first()
     assert (got.item_id, got.event_id, got.idempotency_key) == ("5", None, "trigger:t")
+
+
+def test_every_payload_is_a_delivery_or_a_reject(spark):
+    payloads = ['{"a": 1} trailing', '{"a": 1} {"b": 2}', '{"a": 1, "a": 2}', '{"a": NaN}', '{"triggerUuid": "x", "triggerUuid": "y"}', "{'a': 1}",
+                '{"triggerUuid": "z"} tail', "[1]", "3", '"t"', "", " ", "null", None, "{", '{"a": ' * 20000]
+    rows = spark.createDataFrame([(str(i), p, T) for i, p in enumerate(payloads)], "row string, payload string, received_at timestamp")
+    keyed = {r.row for r in ops.normalize(rows).filter("idempotency_key is not null").collect()}
+    rejects = {r.row for r in ops.rejected(rows).collect()}
+    assert keyed == {"2", "3", "4", "7", "8", "9", "12"} and rejects == {str(i) for i in range(16)} - keyed
+    unread = ops.normalize(rows).filter("row = '6'").first()
+    assert unread.trigger_uuid is None and unread.idempotency_key is None
+    assert ops.normalize(rows).filter("row = '4'").first().idempotency_key in ("trigger:x", "trigger:y")

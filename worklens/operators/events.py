@@ -15,27 +15,33 @@ from worklens.scale import keep_first
 
 
 @F.pandas_udf(T.StringType())
-def canonical_json_hash(payload: pd.Series) -> pd.Series:
-    """SHA-256 of the sorted, compact, ASCII-escaped JSON; NULL and unreadable texts give NULL."""
+def canonical_json_hash(payload: pd.Series, wanted: pd.Series) -> pd.Series:
+    """SHA-256 of the sorted, compact, ASCII-escaped JSON where it is wanted, else an empty text.
 
-    def one(text: str | None) -> str | None:
+    NULL for missing payloads and for those that are not one JSON value: the one place that decides
+    what is readable. Repeated members and NaN are, text after the value is not.
+    """
+
+    def one(text: str | None, hashed: bool) -> str | None:
         if text is None:
             return None
         try:
             value = json.loads(text)
-        except ValueError:
+            if not hashed:
+                return ""
+            encoded = json.dumps(value, sort_keys=True, separators=(",", ":"))
+        except (ValueError, RecursionError):
             return None
-        encoded = json.dumps(value, sort_keys=True, separators=(",", ":"))
         return hashlib.sha256(encoded.encode("utf-8")).hexdigest()
 
-    return payload.map(one)
+    return pd.Series([one(p, h) for p, h in zip(payload, wanted)], dtype=object)
 
 
 def normalize(events: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds the normalised fields and the idempotency key of every raw payload.
 
     The body is the ``event`` member when that is an object, else the payload.
-    Only rows without ids send their payload to Python for hashing. Columns of
+    Only payloads without ids are hashed. Columns of
     ``events`` with the name of an added one are replaced. A payload that is no JSON
     has neither fields nor a key: see ``rejected``.
     """
@@ -60,11 +66,14 @@ def normalize(events: DataFrame, payload: str = "payload") -> DataFrame:
     staged = staged.select(*events.columns, *[c.alias(n) for n, c in fields.items()])
     by_trigger = F.col("trigger_uuid").isNotNull()
     by_event = F.col("event_id").isNotNull() & F.col("subscription_id").isNotNull()
-    hashed = canonical_json_hash(F.when(~by_trigger & ~by_event, col(payload)))
-    staged = staged.withColumn("_hash", hashed)
+    # NULL where the payload is unreadable: then there are neither fields nor a key.
+    staged = staged.withColumn("_hash", canonical_json_hash(col(payload), ~by_trigger & ~by_event))
+    readable = F.col("_hash").isNotNull()
+    staged = staged.withColumns({name: F.when(readable, F.col(name)) for name in fields})
     addressed = F.col("board_id").isNotNull() & F.col("item_id").isNotNull() & F.col("event_type").isNotNull()
     key = (
-        F.when(by_trigger, F.concat(F.lit("trigger:"), F.col("trigger_uuid")))
+        F.when(~readable, F.lit(None).cast("string"))
+        .when(by_trigger, F.concat(F.lit("trigger:"), F.col("trigger_uuid")))
         .when(by_event, F.concat(F.lit("event:"), F.col("subscription_id"), F.lit(":"), F.col("event_id")))
         .when(
             addressed,
@@ -102,7 +111,8 @@ def rejected(events: DataFrame, payload: str = "payload") -> DataFrame:
 
     They have no idempotency key and are no deliveries; works on a stream as well.
     """
-    reason = F.when(col(payload).isNull(), F.lit("missing")).when(F.try_parse_json(col(payload)).isNull(), F.lit("unreadable"))
+    readable = canonical_json_hash(col(payload), F.lit(False)).isNotNull()
+    reason = F.when(col(payload).isNull(), F.lit("missing")).when(~readable, F.lit("unreadable"))
     return events.withColumn("reject_reason", reason).filter("reject_reason is not null")
 
 

@@ -282,6 +282,7 @@ def stream_late_deliveries(spark, sf):
     return spark.read.schema(rows.schema).parquet(f"{out}/data").select("idempotency_key", "event_id", "item_id")
 
 
+#: Missing, broken and trailing texts are rejects; repeated members and NaN are readable.
 BROKEN = Proxy(
     "events",
     {
@@ -289,6 +290,8 @@ BROKEN = Proxy(
         "received_at": "cast(ts as timestamp)",
         "payload": (
             "case when event_type = 'error' then cast(null as string) when event_type = 'view' then concat('{broken ', cast(event_id as string)) "
+            "when event_type = 'click' then concat('{\"triggerUuid\": \"t', cast(event_id as string), '\"} and more') "
+            "when event_type = 'signup' then concat('{\"a\": 1, \"a\": NaN, \"triggerUuid\": \"old\", \"triggerUuid\": \"t', cast(event_id as string), '\"}') "
             "else concat('{\"event\": \"{text}\", \"triggerUuid\": \"t', cast(event_id as string), '\"}') end"
         ),
     },
@@ -298,8 +301,8 @@ BROKEN = Proxy(
 @query(
     "rejected_events",
     """
-    select event_id, case event_type when 'error' then 'missing' when 'view' then 'unreadable' end as reject_reason,
-      case when event_type not in ('error', 'view') then 'trigger:t' || event_id end as idempotency_key from events
+    select event_id, case event_type when 'error' then 'missing' when 'view' then 'unreadable' when 'click' then 'unreadable' end as reject_reason,
+      case when event_type not in ('error', 'view', 'click') then 'trigger:t' || event_id end as idempotency_key from events
     """,
 )
 def rejected_events(spark, sf):

@@ -55,19 +55,34 @@ def item_export(spark, sf):
     "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as received_at, event_type from events",
 )
 def event_files(spark, sf):
-    """Raw events written as JSON lines and read back, once as a table and once as a stream."""
-    e = table(spark, sf, "events")
-    path = new_shared_path(spark, "event-files")
-    payload = F.to_json(F.struct("event_id", "event_type"))
-    e.select(F.col("ts").cast("timestamp").alias("received_at"), payload.alias("payload")).write.json(path)
+    """Raw events written as JSON lines and read back as a stream."""
+    path = _event_lines(spark, sf)
     streamed = new_shared_path(spark, "event-stream")
     stream = event_source.stream_events(spark, path)
     stream.writeStream.format("parquet").option("checkpointLocation", f"{streamed}/checkpoint").trigger(availableNow=True).start(
         f"{streamed}/data"
     ).awaitTermination()
-    # Both readings must hold the same rows: what only one has would be left over.
-    both = event_source.read_events(spark, path).exceptAll(spark.read.parquet(f"{streamed}/data"))
-    read = spark.read.parquet(f"{streamed}/data").unionByName(both)
+    return _event_rows(spark.read.parquet(f"{streamed}/data"))
+
+
+@query(
+    "event_file_table",
+    "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as received_at, event_type from events",
+)
+def event_file_table(spark, sf):
+    """Raw events written as JSON lines and read back as a table."""
+    return _event_rows(event_source.read_events(spark, _event_lines(spark, sf)))
+
+
+def _event_lines(spark, sf):
+    e = table(spark, sf, "events")
+    path = new_shared_path(spark, "event-files")
+    payload = F.to_json(F.struct("event_id", "event_type"))
+    e.select(F.col("ts").cast("timestamp").alias("received_at"), payload.alias("payload")).write.json(path)
+    return path
+
+
+def _event_rows(read):
     return read.select(
         F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"),
         stamp("received_at").alias("received_at"),
