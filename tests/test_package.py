@@ -1,6 +1,7 @@
 """The package works outside its folder, and cleans up after itself."""
 
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -29,3 +30,17 @@ def test_pandas_paths_run_from_another_folder(tmp_path):
         [sys.executable, "-c", SCRIPT, str(ROOT), str(tmp_path / "shared")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180
     )
     assert run.returncode == 0, run.stderr[-2000:]
+
+
+def test_the_rest_stands_without_the_training_data_operators(tmp_path):
+    """A copy without that subpackage, its tests and the pipeline still has all other queries."""
+    for keep_pipeline in (True, False):
+        copy = tmp_path / str(keep_pipeline)
+        shutil.copytree(ROOT, copy, ignore=lambda folder, names: {n for n in names if n in ("llm", ".git", "__pycache__")})
+        if not keep_pipeline:
+            (copy / "corpus_pipeline.py").unlink()
+        code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') and n[2].isdigit() for n in q), 'pipeline' in q)"
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(copy)})
+        assert done.returncode == 0, done.stderr
+        count, numbered, pipeline = done.stdout.split()
+        assert int(count) > 150 and (numbered, pipeline) == ("False", "False")
