@@ -103,3 +103,72 @@ def test_similarity_prefilter_misses_nothing(spark):
         rows = [(r.name, r.text) for r in df.collect()]
         assert len(rows) == len(set(rows))
         assert {(a, b) for a in names for b in texts if ratio(a, b) >= threshold} <= set(rows)
+
+
+def counted(monkeypatch, prefix):
+    """Rows of the intermediate tables with the name, as they are written."""
+    rows, write = [], matching.written
+
+    def note(df, name):
+        made = write(df, name)
+        if name == prefix:
+            rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(matching, "written", note)
+    return rows
+
+
+def test_pairs_keep_a_common_word_from_meeting_everything(spark, monkeypatch):
+    """One word is in a third of the titles: join rows stay below ten times the result."""
+    rng = random.Random(11)
+    rare = [f"{a}{b}" for a in ("mill", "wharf", "abbey", "crown", "park") for b in ("side", "view", "gate", "ham", "ley", "ton")]
+    titles = {f"{'road ' if i % 3 == 0 else ''}{' '.join(rng.sample(rare, 3))} x{i}" for i in range(900)}
+    projects = [(str(i), f"TP{i}", t, "active", "2023-01-01") for i, t in enumerate(sorted(titles))]
+    names = {f"e{i}": f"{' '.join(rng.sample(rare, 2))} road" for i in range(120)}
+    rows = counted(monkeypatch, "pair-candidates")
+    monkeypatch.setattr(matching, "HOT_ROWS", 20)
+    enquiries = spark.createDataFrame(list(names.items()), "enquiry_id string, project_name string")
+    got = matching.match_projects(enquiries, spark.createDataFrame(projects, PROJECT)).select("enquiry_id", "item_id").collect()
+    for key, name in list(names.items())[:40]:
+        assert {r.item_id for r in got if r.enquiry_id == key} == enumerate_subsets(name, projects), name
+    with_road = sum("road" in t for t in titles)
+    assert sum(rows) < 10 * len(got) and sum(rows) < len(names) * with_road / 10
+
+
+def test_word_sets_equal_brute_force(spark):
+    """Repeated words, lists that share nothing, ties of size, and sets of every size."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(9)]
+    lists = [tuple(rng.choices(words, k=rng.randint(1, 6))) for _ in range(80)] + [("q", "q"), ("w1", "w1", "q")]
+    sets = {tuple(sorted(rng.sample(words, rng.randint(1, 5)))) for _ in range(40)}
+    df = matching.best_word_sets(
+        spark.createDataFrame([(list(x),) for x in lists], "_list array<string>"), spark.createDataFrame([(list(x),) for x in sets], "_set array<string>")
+    )
+    want = set()
+    for words_of in set(lists):
+        found = {s: tuple(i for i, w in enumerate(words_of) if w in s) for s in sets}
+        several = [f for f in found.values() if len(f) > 1]
+        if several:
+            best = min(several, key=lambda f: (-len(f), f))
+            want |= {(words_of, s, best) for s, f in found.items() if f == best}
+    assert {(tuple(r._list), tuple(r._set), tuple(r._found)) for r in df.collect()} == want
+
+
+def test_similar_names_leave_the_join_only_where_they_can_qualify(spark, monkeypatch):
+    """Candidate rows against the pairs whose common characters suffice; a hot token is dealt to several tasks."""
+    rng = random.Random(3)
+    names = {"".join(rng.choices("eeeatrsn ", k=rng.randint(4, 30))) for _ in range(60)}
+    texts = {"".join(rng.choices("eeeatrsnolu ", k=rng.randint(4, 40))) for _ in range(400)}
+    monkeypatch.setattr(matching, "HOT_ROWS", 50)
+    left = spark.createDataFrame([(t,) for t in names], "name string")
+    right = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def common(a, b):
+        return sum(min(a.count(c), b.count(c)) for c in set(a))
+
+    for threshold in (0.55, 0.8):
+        rows = [(r.name, r.text) for r in matching.similar_texts(left, right, threshold).collect()]
+        able = {(a, b) for a in names for b in texts if 2 * common(a, b) >= threshold * (len(a) + len(b))}
+        assert len(rows) == len(set(rows)) and set(rows) == able
+        assert matching.similar_candidates(left, right, threshold).count() <= 1.5 * len(able) + 20

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from worklens import vocab
 from worklens.functions.text import strip
 from worklens.functions.values import clean_value, percent_text
 from worklens.functions.words import meaningful_words, name_similarity
-from worklens.scale import number_rows
+from worklens.scale import join_in_parts, number_rows
 from worklens.session import written
 
 GRAM = 3
+#: Numbers of 64 bits in the bitmap of a name's characters.
+BIT_LANES = 4
+#: Rows of one key on the larger side of a join that one task takes.
+HOT_ROWS = 1 << 14
 
 
 def _grams(c: Column, size: int) -> Column:
@@ -89,13 +96,28 @@ def is_eligible(start_date: str = vocab.PROJECT_START_DATE) -> Column:
 
 
 def similar_texts(names: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (name, text) whose ratio can reach the threshold: a superset, never missing one.
+    """Pairs (name, text) whose ratio can reach the threshold: those with enough common characters."""
+    overlap = F.size(F.array_intersect("_name_tokens", "_text_tokens"))
+    needed = F.ceil((F.col("_name_n") + F.col("_text_n")) * (threshold / 2) - 1e-9)
+    return similar_candidates(names, texts, threshold).filter(overlap >= needed).select("name", "text")
+
 
-    The ratio is at most ``2 * common characters / total length``. With texts
-    seen as sets of numbered characters (``e1``, ``e2``, ...), a pair that
-    reaches the threshold shares one of the rarest such tokens, so only equal
-    rare tokens are joined and each pair is reported by its first shared token.
+def similar_candidates(names: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The rows that leave the join behind ``similar_texts``; no pair with enough common characters is missing.
+
+    The ratio is at most ``2 * common characters / total length``. With texts seen as sets of
+    numbered characters (``e1``, ``e2``, ...), a pair that reaches the threshold shares one of the
+    rarest such tokens of both. How many have to be looked at depends on the lengths, so both
+    sides are joined by length bands as well: the closer the lengths, the fewer. Inside the join the
+    places of the shared token and a bitmap of each set bound the common characters, so that hardly a
+    row leaves it that does not qualify; a pair leaves it at its first shared token only.
     """
+    # Partners' lengths differ by less than this factor; three bands cover it.
+    widest = (2 - threshold) / threshold
+    width = math.log(widest) / 3
+
+    def band_of(length: Column) -> Column:
+        return F.floor(F.log(length.cast("double")) / width + 1e-9).cast("int")
 
     def tokens(df: DataFrame, name: str) -> DataFrame:
         characters = F.array_sort(F.split(F.lower(F.col(name)), ""))
@@ -107,30 +129,108 @@ def similar_texts(names: DataFrame, texts: DataFrame, threshold: float) -> DataF
     left, right = tokens(names, "name"), tokens(texts, "text")
     common = right.select(F.explode("_tokens").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_df"))
 
-    def prefixes(df: DataFrame, name: str) -> DataFrame:
-        n = F.length(name)
-        shortest = F.ceil(n * (threshold / (2 - threshold)))
-        needed = F.ceil((n + shortest) * (threshold / 2) - 1e-9)
+    def prefixes(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """Rows (token, band of the name, band of the text) with what the filters need."""
         rows = df.select(name, F.explode("_tokens").alias("_token")).join(common, "_token", "left").fillna(0, ["_df"])
         # At most one row per character of the text: the array is as long as the text.
-        ranked = rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_r"))
+        ranked = rows.groupBy(name).agg(
+            F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_r"),
+            *[F.bit_or(_bit(lane)).alias(f"_{name}_bits{lane}") for lane in range(BIT_LANES)],
+        )
+        n = F.size("_r")
+        ranked = ranked.withColumns({f"_{name}_n": n, own: band_of(n), f"_{name}_tokens": F.transform("_r", lambda r: r["_token"])}).drop("_r")
+        each = ranked.withColumn(other, F.explode(F.sequence(F.col(own) - 4, F.col(own) + 4)))
+        n = F.col(f"_{name}_n")
+        # The shortest partner in a band needs the fewest common characters.
+        shortest = F.greatest(F.ceil(F.exp(F.col(other) * width) - 1e-6), F.ceil(n / widest - 1e-9), F.lit(1))
+        longest = F.floor(F.exp((F.col(other) + 1) * width) + 1e-6)
+        each = each.filter((F.col(other) >= 0) & (shortest <= n * widest + 1e-9) & (longest * widest + 1e-9 >= n))
+        needed = F.greatest(F.ceil((n + shortest) * (threshold / 2) - 1e-9), F.lit(1))
         keep = F.greatest(n - needed + 1, F.lit(1)).cast("int")
-        ordered = F.transform("_r", lambda r: r["_token"])
-        return ranked.select(name, ordered.alias(f"_{name}_tokens"), F.slice(ordered, F.lit(1), keep).alias(f"_{name}_prefix"))
-
-    a = prefixes(left, "name")
-    b = prefixes(right, "text")
-    joined = a.withColumn("_token", F.explode("_name_prefix")).join(
-        b.withColumn("_token", F.explode("_text_prefix")), "_token"
-    )
-    total = F.length("name") + F.length("text")
-    overlap = F.size(F.array_intersect("_name_tokens", "_text_tokens"))
+        each = each.withColumn(f"_{name}_prefix", F.slice(f"_{name}_tokens", F.lit(1), keep))
+        return each.select("*", F.posexplode(f"_{name}_prefix").alias(f"_{name}_at", "_token"))
+
+    a = prefixes(left, "name", "_name_band", "_text_band")
+    b = written(prefixes(right, "text", "_text_band", "_name_band"), "text-prefixes")
+    keys = ["_token", "_name_band", "_text_band"]
+    n, m = F.col("_name_n"), F.col("_text_n")
+    needed = F.ceil((n + m) * (threshold / 2) - 1e-9)
+    placed = F.least("_name_at", "_text_at") + 1 + F.least(n - F.col("_name_at") - 1, m - F.col("_text_at") - 1)
+
+    def lacking(x: str, y: str) -> Column:
+        """Slices that only one set falls into: so many of its characters at least are not common."""
+        lanes = [F.bit_count(F.col(f"_{x}_bits{i}").bitwiseAND(F.bitwise_not(F.col(f"_{y}_bits{i}")))) for i in range(BIT_LANES)]
+        return reduce(lambda total, lane: total + lane, lanes)
+
+    most = F.least(n - lacking("name", "text"), m - lacking("text", "name"))
     first = F.try_element_at(F.array_intersect("_name_prefix", "_text_prefix"), F.lit(1))
-    return joined.filter(
-        (F.least(F.length("name"), F.length("text")) * 2 >= total * threshold - 1e-9)
-        & (overlap * 2 >= total * threshold - 1e-9)
-        & (F.col("_token") == first)
-    ).select("name", "text")
+    bound = (F.least(n, m) >= needed) & (placed >= needed) & (most >= needed) & (F.col("_token") == first)
+    return join_in_parts(a, b, keys, HOT_ROWS).filter(bound)
+
+
+def _bit(lane: int) -> Column:
+    """The bit of the slice of ``_token`` in one of the numbers of a bitmap."""
+    slot = f"pmod(xxhash64(_token), {64 * BIT_LANES})"
+    return F.expr(f"if({slot} div 64 = {lane}, shiftleft(1L, cast({slot} % 64 as int)), 0L)")
+
+
+def best_word_sets(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(_list, _found, _set): for each list of words the sets that hold most of them, two or more at least.
+
+    lists: _list, words in order of preference, repeated words counted each. sets: _set, distinct words.
+    ``_found`` are the places of the words in the list; of equally many the first in order win.
+
+    An inverted index on word *pairs* takes the place of one on words, so a word that
+    a large share of the sets hold is met only together with another one. The pairs that exist at all
+    bound how many words a set can hold that begins with a pair: each list looks first
+    where most can be reached, and then only where more, or as many earlier ones, still can be.
+    """
+    lists = lists.select("_list").distinct().filter(F.size("_list") > 1)
+    last = F.size("_list") - 1
+
+    def pair(i: Column, j: Column) -> Column:
+        x, y = F.get("_list", i), F.get("_list", j)
+        return F.struct(i.alias("i"), j.alias("j"), F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    ahead = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: pair(i, j))))
+    asked = lists.select("_list", F.explode(ahead).alias("_pair")).select("_list", "_pair.*")
+    # A list with a repeated word asks for the pair of the word with itself.
+    within = F.flatten(F.transform("_set", lambda x: F.transform(F.filter("_set", lambda y: y >= x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    index = sets.select("_set").distinct().select("_set", F.explode(within).alias("_pair")).select("_set", "_pair.*")
+    index = written(index.join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi"), "pair-index")
+    known = index.select("a", "b").distinct()
+    there = written(asked.join(known, ["a", "b"]), "pairs-there")
+
+    # The pairs of one list: at most as many as its words squared.
+    marks = there.groupBy("_list").agg(F.collect_list(F.struct("i", "j")).alias("_there"))
+    there = there.join(marks, "_list")
+
+    def exists(i: Column, j: Column) -> Column:
+        return F.array_contains("_there", F.struct(i.alias("i"), j.alias("j")))
+
+    later = F.when(F.col("j") < last, F.sequence(F.col("j") + 1, last)).otherwise(F.array().cast("array<int>"))
+    reach = F.size(F.filter(later, lambda k: exists(F.col("i"), k) & exists(F.col("j"), k))) + 2
+    there = written(there.select("_list", "i", "j", "a", "b", reach.alias("_reach")), "pair-bounds")
+
+    found = F.filter(F.transform("_list", lambda w, i: F.when(F.array_contains("_set", w), i)), lambda i: i.isNotNull())
+
+    def looked_up(pairs: DataFrame) -> DataFrame:
+        return join_in_parts(pairs, index, ["a", "b"], HOT_ROWS).select("_list", "i", "j", "_set", found.alias("_found"))
+
+    most = there.groupBy("_list").agg(F.min(F.struct((-F.col("_reach")).alias("r"), "i", "j", "a", "b")).alias("_pair"))
+    first = written(looked_up(most.select("_list", "_pair.i", "_pair.j", "_pair.a", "_pair.b")), "pair-candidates")
+    best = F.min(F.struct((-F.size("_found")).alias("s"), F.col("_found").alias("f"))).alias("_best")
+    held = first.groupBy("_list").agg(best).select("_list", F.get("_best.f", F.lit(0)).alias("_i"), F.get("_best.f", F.lit(1)).alias("_j"), (-F.col("_best.s")).alias("_held"))
+    left = there.join(most.select("_list", F.col("_pair.i").alias("_pi"), F.col("_pair.j").alias("_pj")), "_list").join(held, "_list")
+    earlier = F.struct("i", "j") <= F.struct(F.col("_i").alias("i"), F.col("_j").alias("j"))
+    open_ = (F.col("_reach") > F.col("_held")) | ((F.col("_reach") == F.col("_held")) & earlier)
+    left = left.filter(open_ & ~((F.col("i") == F.col("_pi")) & (F.col("j") == F.col("_pj")))).select("_list", "i", "j", "a", "b")
+    # A set is met at the first two of its words that the list has.
+    begins = (F.get("_found", F.lit(0)) == F.col("i")) & (F.get("_found", F.lit(1)) == F.col("j"))
+    rest = written(looked_up(left).filter(begins), "pair-candidates")
+    every = first.unionByName(rest).select("_list", "_set", "_found")
+    winner = every.groupBy("_list").agg(best).select("_list", F.col("_best.f").alias("_found"))
+    return every.join(winner, ["_list", "_found"]).distinct()
 
 
 def match_projects(
@@ -150,9 +250,8 @@ def match_projects(
 
     The largest set of enquiry words found together in a title wins; among sets
     of that size the one with the rarest words (by hit count, then text order).
-    That set is found without trying subsets: ``found`` holds the word positions
-    contained in a title, the longest and then smallest array is the winner, and
-    the matches are the titles with exactly this array.
+    That set is found without trying subsets, see ``best_word_sets``; the matches are
+    the titles that hold exactly its words of the name.
     """
     rows = enquiries.select(
         "enquiry_id", "project_name", meaningful_words("project_name").alias("_words")
@@ -179,34 +278,14 @@ def match_projects(
     )
     ordered = written(ordered.withColumn("_list", F.transform("_ordered", lambda w: w["word"])), "ordered-words")
 
-    # Two shared words: one of them is not the enquiry's most common word, so
-    # that word (if it occurs once) needs no lookup of its own.
-    commonest = F.array_max(F.transform("_ordered", lambda w: F.struct(w["titles"], w["word"])))["word"]
-    once = F.size(F.filter("_list", lambda w: w == F.col("_commonest"))) == 1
-    lookups = (
-        ordered.withColumn("_commonest", commonest)
-        .withColumn("_skip", F.when(once, F.col("_commonest")))
-        .select("enquiry_id", "_list", F.explode(F.array_distinct("_list")).alias("word"), "_skip")
-        .filter(F.col("_skip").isNull() | (F.col("word") != F.col("_skip")))
-    )
-    # Titles with the same enquiry words are alike here: the lookup meets each
-    # distinct word set once, and only winning sets are expanded to titles. The
-    # words of one title are at most as many as its characters.
+    # Titles with the same enquiry words are alike here: only winning sets are expanded to titles.
+    # The words of one title are at most as many as its characters.
     sets = written(pairs.groupBy("title").agg(F.array_sort(F.collect_set("word")).alias("_set")), "title-words")
-    by_member = sets.select("_set").distinct().select("_set", F.explode("_set").alias("word"))
-    found = F.filter(
-        F.transform("_list", lambda w, i: F.when(F.array_contains("_set", w), i)), lambda i: i.isNotNull()
-    )
-    several = lookups.join(by_member, "word").select("enquiry_id", "_set", found.alias("_found"))
-    several = written(several.filter(F.size("_found") > 1).distinct(), "shared-words")
-    longest = several.groupBy("enquiry_id").agg(
-        F.min(F.struct((-F.size("_found")).alias("s"), F.col("_found").alias("f"))).alias("_best")
-    )
-    winners = several.join(longest, "enquiry_id").filter(F.col("_found") == F.col("_best.f"))
-    by_set = winners.select("enquiry_id", "_set").join(sets, "_set").select("enquiry_id", "title")
+    winners = written(best_word_sets(ordered, sets).select("_list", "_set"), "winning-sets")
+    by_set = ordered.select("enquiry_id", "_list").join(winners, "_list").join(sets, "_set").select("enquiry_id", "title")
 
     # Otherwise one word: the first in order that any live title contains.
-    single = ordered.join(longest, "enquiry_id", "left_anti").select(
+    single = ordered.join(winners.select("_list"), "_list", "left_anti").select(
         "enquiry_id", F.try_element_at(F.filter("_ordered", lambda w: w["titles"] > 0), F.lit(1))["word"].alias("word")
     )
     by_word = single.filter("word is not null").join(pairs, "word").select("enquiry_id", "title")

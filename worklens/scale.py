@@ -63,3 +63,19 @@ def number_rows(
     return numbered.select(*df.columns, (F.col("_local") + F.col("_offset")).cast("int").alias(name))
 
 
+
+
+def join_in_parts(left: DataFrame, right: DataFrame, keys: Sequence[str], rows_per_part: int) -> DataFrame:
+    """Inner join on ``keys`` that cuts the right rows of a hot key into parts of about ``rows_per_part``.
+
+    The left rows of such a key go to each of its parts. Only keys with more rows are counted out and
+    joined to both sides, so an ordinary table costs one aggregation more.
+    """
+    sizes = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_part)
+    hot = written(sizes.select(*keys, F.ceil(F.col("_rows") / rows_per_part).cast("int").alias("_parts")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, list(keys))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = right.join(hot, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(*right.columns), parts).cast("int")).drop("_parts")
+    spread = left.join(hot, list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return spread.join(dealt, [*keys, "_part"]).drop("_part")
