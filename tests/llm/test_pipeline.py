@@ -61,3 +61,29 @@ def test_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_mixtures_of_languages_go_and_clean_documents_stay(spark, folder):
+    """An even mixture of three languages has no main one; null and repeated ids and clashing names change nothing."""
+    third = "la casa y el jardín con unos árboles están allí mientras la gente camina a casa"
+    rng = random.Random(2)
+
+    def text(base, n=40):
+        return " ".join(rng.choice(base.split()) for _ in range(n))
+
+    rows = [(i, text((EN, DE, third)[i % 3]), ("en", "de", "es")[i % 3], "x") for i in range(90)]
+    mixed = [(None, "\n".join(text(b) for b in (EN, DE, third)), None, "x") for _ in range(3)]
+    names = "doc_id long, text string, lang string, share string"
+    docs = spark.createDataFrame([*rows, rows[0], *mixed, (None, rows[1][1], None, "x")], names)
+    docs = docs.selectExpr("*", "1 as _id", "2 as _turn", "3 as _digest", "4 as language", "5 as score")
+    kept = corpus_pipeline.language_id(spark, docs, folder)
+    assert kept.columns == docs.columns and kept.count() == 92
+    assert kept.filter("doc_id is null").count() == 1
+    judged = corpus_pipeline.quality_classifier(spark, kept, folder)
+    assert judged.columns == docs.columns
+    single = corpus_pipeline.near_duplicates(spark, kept, folder)
+    assert single.columns == docs.columns and {tuple(r)[4:] for r in single.collect()} == {(1, 2, 3, 4, 5)}
+    assert single.filter("doc_id = 0").count() == 1
+    clean = corpus_pipeline.benchmark_leaks(spark, single, folder)
+    assert clean.columns == docs.columns and clean.count() == single.count()
+    assert corpus_pipeline.sequence_packing(spark, clean, folder).count() >= clean.count()

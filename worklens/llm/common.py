@@ -20,6 +20,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column bears it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def in_fold(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     """Whether the CRC-32 of the id as text leaves the remainder; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -11,13 +11,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from worklens.llm.blobs import KEY_BITS, bucket_count, pack_keys, ranges, unpack_keys
-from worklens.llm.common import WORD, Words, fingerprints, mixed, slices
+from worklens.llm.common import WORD, Words, fingerprints, mixed, slices, unused
 from worklens.llm.components import components
 from worklens.session import written
 
 ENTRY, DOCS, OWNERS = 0, 1, 2
 MANY = 65535
 HISTOGRAM = 16
+#: Numbers of 64 bits that note which slices of the key space a set's shared n-grams fall into.
+LANES = 32
+#: A frequent n-gram's sets are dealt to tasks of so many.
+HOT_SETS = 512
 SCHEMA = "kind int, bucket int, chunk long, ids array<long>, digests array<binary>, a binary, b binary, c binary"
 KINDS = pa.schema(
     [("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
@@ -206,13 +210,25 @@ def _sets(numerator: int, denominator: int):
             "alone": pa.array([*blank, *alone], pa.int32()),
             "keys": pa.concat_arrays([pa.array(blank, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)]),
             "histogram": pa.array([*blank, *histogram], pa.list_(pa.int32())),
+            "bits": pa.concat_arrays([pa.array(blank, pa.list_(pa.int64())), _bitmaps(key, starts, stops)]),
         }
         return pa.table(table)
 
     return run
 
 
-SETS = "doc_id long, digest binary, signature binary, n long, alone int, keys array<long>, histogram array<int>"
+SETS = "doc_id long, digest binary, signature binary, n long, alone int, keys array<long>, histogram array<int>, bits array<long>"
+
+
+def _bitmaps(key: np.ndarray, starts: list[int], stops: list[int]) -> pa.Array:
+    """For every set, a bit for each slice of the key space that one of its n-grams falls into."""
+    out = np.zeros((len(starts), LANES), dtype=np.int64)
+    slot = (mixed(key.astype(np.uint64)) & np.uint64(64 * LANES - 1)).astype(np.int64)
+    for i, (a, b) in enumerate(zip(starts, stops)):
+        marks = np.zeros(64 * LANES, dtype=np.uint8)
+        marks[slot[a:b]] = 1
+        out[i] = np.packbits(marks).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * LANES, pa.int32()), pa.array(out.ravel()))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -255,6 +271,19 @@ def _positions_fit(numerator: int, denominator: int, x: str, y: str, x_end: str
     return denominator * most >= numerator * (one("n") + two("n") - most)
 
 
+def _bits_fit(numerator: int, denominator: int):
+    """Bitmap filter: slices that only one of two sets has bound its overlap, exactly, from above.
+
+    Every such slice holds an n-gram that the other set lacks, so the overlap is at most
+    the set's shared n-grams less those slices.
+    """
+    lanes = range(LANES)
+    only_a = sum((F.bit_count(F.col(f"bit{i}_a").bitwiseAND(F.bitwise_not(F.col(f"bit{i}_b")))) for i in lanes[1:]), F.bit_count(F.col("bit0_a").bitwiseAND(F.bitwise_not(F.col("bit0_b")))))
+    only_b = sum((F.bit_count(F.col(f"bit{i}_b").bitwiseAND(F.bitwise_not(F.col(f"bit{i}_a")))) for i in lanes[1:]), F.bit_count(F.col("bit0_b").bitwiseAND(F.bitwise_not(F.col("bit0_a")))))
+    most = F.least(F.col("shared_a") - only_a, F.col("shared_b") - only_b)
+    return denominator * most >= numerator * (F.col("n_a") + F.col("n_b") - most)
+
+
 def _linked(
     rows: DataFrame, numerator: int = 80, denominator: int = 100, width: int = 5, pivot_rounds: int = 2, pivots: int = 4
 ) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +294,7 @@ def _linked(
     leave their block's pass. Documents that share a prefix n-gram are candidates. They
     first meet a few pivots of the n-gram, which joins large groups without their pairs;
     then every remaining pair of different components that shares a prefix n-gram and
-    passes the length, positional and suffix filters is verified. No candidate is left
+    passes the length, positional, bitmap and suffix filters is verified. No candidate is left
     out, and what a pair could add to a known component need not be looked at.
     """
     buckets = bucket_count(rows, "text")
@@ -330,14 +359,23 @@ def _linked(
                 .distinct()
             )
         else:
-            open_rows = placed.join(keys.select("key"), "key", "left_semi")
-            left = open_rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "times", "at", "rest", "root")))
-            right = open_rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "times", "at", "rest", "root")))
-            met_pairs = left.join(right, "key").filter(
+            # A hot n-gram's sets are cut into parts on one side, and the other side meets each part.
+            parts = (1 + F.floor(F.col("sets") / HOT_SETS)).cast("int")
+            sizes = placed.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
+            open_rows = placed.join(sizes.select("key", parts.alias("parts")), "key")
+            bits = reps.select("rep", F.size("keys").alias("shared"), *[F.get("bits", F.lit(i)).alias(f"bit{i}") for i in range(LANES)])
+            open_rows = written(open_rows.join(bits, "rep"), "open-ngrams")
+            carried = ["rep", "n", "times", "at", "rest", "root", "shared", *[f"bit{i}" for i in range(LANES)]]
+            part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+            left = open_rows.select("key", part.alias("part"), *(F.col(c).alias(f"{c}_a") for c in carried))
+            every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+            right = open_rows.select("key", every, *(F.col(c).alias(f"{c}_b") for c in carried))
+            met_pairs = left.join(right, ["key", "part"]).filter(
                 (F.col("rep_a") < F.col("rep_b"))
                 & (F.col("root_a") != F.col("root_b"))
                 & _sizes_fit(numerator, denominator, "n_a", "n_b")
                 & _positions_fit(numerator, denominator, "", "", "_a", "_b")
+                & _bits_fit(numerator, denominator)
             )
             # Once the matches of a pair are together, what precedes the last one is known exactly.
             pairs = (
@@ -404,19 +442,20 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     own. A null id comes after all others; of one id the text whose digest is smallest stays,
     of rows with the same id and text one. Every row with a null or blank text stays.
     """
-    own = {"_id": F.col(doc_id).cast("long"), "_digest": F.unhex(F.md5(F.col(text).cast("string")))}
-    rows = docs.select(own["_id"].alias("doc_id"), own["_digest"].alias("digest"), F.col(text).cast("string").alias("text"))
+    id_, digest, turn, kept_id, kept_digest = unused(docs.columns, "_id", "_digest", "_turn", "_kept", "_kept_digest")
+    own = {id_: F.col(doc_id).cast("long"), digest: F.unhex(F.md5(F.col(text).cast("string")))}
+    rows = docs.select(own[id_].alias("doc_id"), own[digest].alias("digest"), F.col(text).cast("string").alias("text"))
     members, known = _linked(rows, **options)
     copies = members.filter(F.col("signature").isNotNull()).groupBy("signature", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "rows")
     first = copies.groupBy("signature").agg(F.min(order).alias("first")).join(known, "signature", "left")
     # A set that can link with none is a component of its own.
     first = first.groupBy("root", F.when(F.col("root").isNull(), F.col("signature"))).agg(F.min("first").alias("first"))
-    kept = written(first.select(F.col("first.doc_id").alias("_kept"), F.col("first.digest").alias("_kept_digest"), "first.rows"), "kept-rows")
+    kept = written(first.select(F.col("first.doc_id").alias(kept_id), F.col("first.digest").alias(kept_digest), "first.rows"), "kept-rows")
 
     worded = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
     marked = docs.filter(worded).withColumns(own)
-    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_kept_digest"))
+    same = F.col(id_).eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest))
     out = docs.filter(~worded).unionByName(marked.join(kept.filter("rows = 1"), same, "left_semi").drop(*own))
     often = kept.filter("rows > 1")
     if often.isEmpty():
@@ -424,5 +463,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     # Written, so that a join with many copies of one row can be split before they are ranked.
     repeated = written(marked.join(often, same, "left_semi"), "repeated-rows")
     plain = [f.name for f in docs.schema if not re.search("map|variant", f.dataType.simpleString())]
-    turn = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(*plain)))
-    return out.unionByName(repeated.withColumn("_turn", turn).filter("_turn = 1").drop(*own, "_turn"))
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(*plain)))
+    return out.unionByName(repeated.withColumn(turn, rank).filter(F.col(turn) == 1).drop(*own, turn))
