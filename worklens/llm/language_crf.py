@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from worklens.llm.common import Words, mixed, slices
-from worklens.llm.samples import labelled_sample
+from worklens.llm.samples import fitted, labelled_rows
 
 UNKNOWN = "und"
 BITS = 18
@@ -211,16 +211,17 @@ def has_letter(words: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, where, per_label: int = 120, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> CrfModel | None:
     """The model of the documents with a language for which ``where`` holds; none without such documents.
 
-    ``per_label`` bounds the documents of each language that the model is fitted on;
-    their texts are gathered and fitted on the driver.
+    ``per_label`` bounds the rows of each language that the model is fitted on, by one
+    executor task; each row counts for its own language. Only the weights come to the driver.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("label"))
-    sample = labelled_sample(own, own.filter(where & F.col("text").isNotNull()), per_label)
-    rows = sorted(sample.toArrow().to_pylist(), key=lambda r: (r["label"], r["doc_id"], r["text"] or ""))
+    own = docs.filter(where).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("label"))
+    return fitted(labelled_rows(own.filter("text is not null"), per_label), _built)
+
+
+def _built(sample: pa.Table) -> CrfModel:
+    rows = sorted(sample.to_pylist(), key=lambda r: (r["label"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     labels = sorted({r["label"] for r in rows})
-    if not labels:
-        return None
-    return CrfModel(labels, [r["text"] or "" for r in rows], [labels.index(r["label"]) for r in rows])
+    return CrfModel(labels, [r["text"] for r in rows], [labels.index(r["label"]) for r in rows])
 
 
 def with_language(

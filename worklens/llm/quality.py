@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from worklens.llm.common import Words, fingerprints, mixed, slices
-from worklens.llm.samples import labelled_sample
+from worklens.llm.samples import fitted, labelled_documents
 from worklens.session import written
 
 BITS = 20
@@ -164,8 +164,8 @@ def fit(
 ) -> QualityModel | None:
     """The model of the labelled documents for which ``where`` holds; none without labels.
 
-    ``per_label`` bounds the documents of each label that the model is fitted on; their
-    features are gathered and fitted on the driver. A document with labels of both kinds
+    ``per_label`` bounds the documents of each label that the model is fitted on; they
+    are fitted by one executor task and only the weights come to the driver. A document with labels of both kinds
     counts as label 0; null labels and labels without a document are left out. How
     frequent the labels are is counted over all of them.
     """
@@ -175,25 +175,19 @@ def fit(
     # A label counts only where its document is there.
     marks = written(marks.join(own.select("doc_id").distinct(), "doc_id"), "labels")
     good, bad = marks.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
-    sample = labelled_sample(own, marks, per_label)
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows, found = indicators(batch.column("text"))
-            cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            blobs = [found[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "features"]
-            )
-
-    schema = T.StructType([*sample.select("doc_id", "label").schema.fields, T.StructField("features", T.BinaryType())])
-    collected = sample.mapInArrow(gathered, schema).toArrow()
-    if collected.num_rows == 0:
-        return None
-    collected = collected.take(pc.sort_indices(collected, [("doc_id", "ascending"), ("features", "ascending")]))
-    features = [np.frombuffer(b, np.int32).astype(np.int64) for b in collected.column("features").to_pylist()]
-    marks01 = np.array(collected.column("label").to_pylist())
-    return QualityModel(features, np.where(marks01 > 0, 1, -1), max(good, 1) / max(bad, 1))
+    odds = max(good, 1) / max(bad, 1)
+    return fitted(labelled_documents(own, marks, per_label), lambda sample: _built(sample, odds))
+
+
+def _built(sample: pa.Table, odds: float) -> QualityModel:
+    rows = []
+    for batch in slices(iter(sample.combine_chunks().to_batches()), "text"):
+        row, found = indicators(batch.column("text"))
+        cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        parts = [found[a:b].astype(np.int64) for a, b in zip(cuts, cuts[1:])]
+        rows += zip(batch.column("doc_id").to_pylist(), parts, batch.column("label").to_pylist())
+    rows.sort(key=lambda r: (r[0], r[1].astype(np.int32).tobytes()))
+    return QualityModel([f for _, f, _ in rows], np.array([1 if y > 0 else -1 for _, _, y in rows]), odds)
 
 
 def with_quality(docs: DataFrame, model: QualityModel | None, text: str = "text", into: str = "score") -> DataFrame:
