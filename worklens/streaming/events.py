@@ -154,8 +154,14 @@ def run_available(
     )
 
 
-def for_each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def for_each_batch(
+    stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
+) -> StreamingQuery:
     """Run batch plans on every micro-batch; the handler must tolerate a repeated batch id."""
     return (
-        stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(handle)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
