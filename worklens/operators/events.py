@@ -43,7 +43,8 @@ def normalize(events: DataFrame, payload: str = "payload") -> DataFrame:
     The body is the ``event`` member when that is an object, else the payload.
     Only payloads without ids are hashed. Columns of
     ``events`` with the name of an added one are replaced. A payload that is no JSON
-    has neither fields nor a key: see ``rejected``.
+    has neither fields nor a key: see ``rejected``. One that holds NaN has no fields either; it is
+    a delivery whose key is its hash.
     """
     added = [*vocab.EVENT_ALIASES, "idempotency_key"]
     if payload in added:

@@ -282,7 +282,7 @@ def stream_late_deliveries(spark, sf):
     return spark.read.schema(rows.schema).parquet(f"{out}/data").select("idempotency_key", "event_id", "item_id")
 
 
-#: Missing, broken and trailing texts are rejects; repeated members and NaN are readable.
+#: Missing, broken and trailing texts are rejects; repeated members are readable.
 BROKEN = Proxy(
     "events",
     {
@@ -291,7 +291,7 @@ BROKEN = Proxy(
         "payload": (
             "case when event_type = 'error' then cast(null as string) when event_type = 'view' then concat('{broken ', cast(event_id as string)) "
             "when event_type = 'click' then concat('{\"triggerUuid\": \"t', cast(event_id as string), '\"} and more') "
-            "when event_type = 'signup' then concat('{\"a\": 1, \"a\": NaN, \"triggerUuid\": \"old\", \"triggerUuid\": \"t', cast(event_id as string), '\"}') "
+            "when event_type = 'signup' then concat('{\"a\": 1, \"a\": 2, \"triggerUuid\": \"t', cast(event_id as string), '\"}') "
             "else concat('{\"event\": \"{text}\", \"triggerUuid\": \"t', cast(event_id as string), '\"}') end"
         ),
     },

@@ -9,7 +9,7 @@ from worklens.operators import ingest, routing
 from worklens.queries.base import Proxy, query, sql_strip, table
 from worklens.session import new_shared_path
 from worklens.sources import binary, csv_files, email_files, sinks
-from worklens.streaming import events as stream_ops, state
+from worklens.streaming import events as stream_ops, keyed_state, state
 
 ROWS_PER_FILE = 200
 
@@ -206,9 +206,7 @@ OBSERVATIONS = Proxy(
 _PAIR = "case when input_revision is not null then input_revision || '/' || pipeline_version end"
 
 
-@query(
-    "stream_item_states",
-    f"""
+_WALK = f"""
     with recursive o as materialized (
         select *, row_number() over (partition by item_id order by seq) as i, {_PAIR} as pair,
             case when readiness = 'ready' then {_PAIR} end as ready_pair from {OBSERVATIONS.sql}
@@ -243,8 +241,10 @@ _PAIR = "case when input_revision is not null then input_revision || '/' || pipe
         case when desired is null then null when desired is distinct from analyzed then 'analysis'
             when desired is distinct from published then 'publication' end as obligation, superseded as supersession_requested
     from walk where i > 0
-    """,
-)
+    """
+
+
+@query("stream_item_states", _WALK)
 def stream_item_states(spark, sf):
     """Observations arrive out of order, newest files first; every item ends with the states of its ordered history."""
     rows = OBSERVATIONS.df(spark, sf)
@@ -256,3 +256,14 @@ def stream_item_states(spark, sf):
     states = spark.read.parquet(f"{out}/data/states")
     final = states.groupBy("board_id", "item_id").agg(F.max("batch").alias("batch"))
     return states.join(final, ["board_id", "item_id", "batch"]).drop("batch")
+
+
+@query("keyed_item_states", _WALK)
+def keyed_item_states(spark, sf):
+    """Twelve micro-batches in no order, with the history of each item in slices of the state store."""
+    rows = OBSERVATIONS.df(spark, sf)
+    out = new_shared_path(spark, "keyed-states")
+    rows.repartition(12, F.xxhash64("seq")).write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    keyed_state.run_keyed_item_states(stream, f"{out}/checkpoint", f"{out}/data", slice_size=16).awaitTermination()
+    return keyed_state.current_states(spark, f"{out}/data")
