@@ -310,3 +310,16 @@ def test_mail_attachment_documents(spark):
     large = ingest.ingest_documents(assets, csv, mail, extracted, items, max_mail_bytes=5).collect()
     assert [r.text for r in large if r.kind == "email"] == ["Email too large for extraction (10 bytes)."]
     assert by_section["image:description"] == "Unsupported image format: gif"
+
+
+def test_of_two_duplicates_with_one_asset_only_the_latest_moves(spark):
+    snapshots = [(str(n), "k", "v", dt.datetime(2024, 1, n)) for n in (1, 2, 3)]
+    files = [("f1", "1", "k", "a"), ("f2", "2", "k", "a"), ("f3", "3", "k", "b"), ("f4", "1", "k", "b"), ("f5", "1", "k", None), ("f6", "2", "k", None)]
+    stays, moved, left = lifecycle.deduplicate_snapshots(
+        spark.createDataFrame(snapshots, "id string, external_task_key string, snapshot_version string, created_at timestamp"),
+        spark.createDataFrame(files, "id string, snapshot_id string, external_task_key string, asset_id string"),
+        spark.createDataFrame([(f[0],) for f in files], "file_id string"),
+    )
+    assert [r.id for r in stays.collect()] == ["3"]
+    assert {(r.id, r.snapshot_id, r.asset_id) for r in moved.collect()} == {("f2", "3", "a"), ("f3", "3", "b"), ("f5", "3", None), ("f6", "3", None)}
+    assert {r.file_id for r in left.collect()} == {"f2", "f3", "f5", "f6"}

@@ -471,12 +471,18 @@ def deduplicate_snapshots(snapshots: DataFrame, files: DataFrame, chunks: DataFr
     """Snapshots, files and chunks after merging duplicate snapshots.
 
     A file of a duplicate moves to the keeper unless the keeper holds the same
-    asset, in which case the file and its chunks go.
+    asset; of several duplicates that hold it, the file of the latest snapshot moves, in
+    the order in which the keeper was chosen. All other files of duplicates go, with their chunks.
+    Files without an asset id are no copies of one another.
     """
+    order = snapshots.select(F.col("id").alias("duplicate_id"), F.col("created_at").alias("_created"))
     pairs = snapshot_keepers(snapshots)
-    mapped = files.join(pairs.withColumnRenamed("duplicate_id", "snapshot_id"), "snapshot_id", "left")
+    mapped = files.join(pairs.join(order, "duplicate_id").withColumnRenamed("duplicate_id", "snapshot_id"), "snapshot_id", "left")
     kept = files.select(F.col("snapshot_id").alias("keeper_id"), KEY, "asset_id").distinct()
-    clash = mapped.filter("keeper_id is not null").join(kept, ["keeper_id", KEY, "asset_id"], "left_semi").select("id")
+    asset = ["keeper_id", KEY, "asset_id"]
+    movable = mapped.filter("keeper_id is not null and asset_id is not null")
+    first = keep_first(movable.join(kept, asset, "left_anti"), asset, [F.col("_created").desc(), F.col("snapshot_id").desc(), F.col("id")])
+    clash = movable.select("id").join(first.select("id"), "id", "left_anti")
     moved = (
         mapped.join(clash, "id", "left_anti")
         .withColumn("snapshot_id", F.coalesce("keeper_id", "snapshot_id"))

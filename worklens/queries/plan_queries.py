@@ -178,10 +178,11 @@ _OF_LINES = Proxy(
     "snapshot_deduplication",
     f"""
     with s as (select *, first_value(id) over w as keeper from {_OF_ORDERS.sql} window w as (partition by external_task_key, snapshot_version order by created_at desc, id desc)),
-    f as (select l.*, s.external_task_key, s.keeper from {_OF_LINES.sql} l join s on s.id = l.snapshot_id),
-    k as (select distinct keeper, asset_id from f where snapshot_id = keeper)
-    select f.id, f.keeper as snapshot_id, f.asset_id from f left join k on k.keeper = f.keeper and k.asset_id = f.asset_id
-    where f.snapshot_id = f.keeper or k.asset_id is null
+    f as (select l.*, s.external_task_key, s.keeper, s.created_at from {_OF_LINES.sql} l join s on s.id = l.snapshot_id),
+    k as (select distinct keeper, asset_id from f where snapshot_id = keeper),
+    r as (select f.*, row_number() over (partition by f.keeper, f.asset_id, f.snapshot_id = f.keeper order by created_at desc, snapshot_id desc, f.id) as rn,
+        k.asset_id is not null as held from f left join k on k.keeper = f.keeper and k.asset_id = f.asset_id)
+    select id, keeper as snapshot_id, asset_id from r where snapshot_id = keeper or (not held and rn = 1)
     """,
 )
 def snapshot_deduplication(spark, sf):
