@@ -240,7 +240,7 @@ def with_language(
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, 1 << 20):
             if own is None:
                 best, count = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
                 shares = np.zeros((batch.num_rows, 1))

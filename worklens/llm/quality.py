@@ -16,6 +16,8 @@ from worklens.session import written
 BITS = 20
 #: Added to the squared length of a document's feature vector: a text of a few words stays near the bias.
 LENGTH_PRIOR = 2000.0
+#: Text whose n-grams are in memory at once, some thirty times its size.
+SLICE_BYTES = 2 << 20
 
 
 def _ngrams(codes: np.ndarray, ends: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +183,7 @@ def fit(
 
 def _built(sample: pa.Table, odds: float) -> QualityModel:
     rows = []
-    for batch in slices(iter(sample.combine_chunks().to_batches()), "text"):
+    for batch in slices(iter(sample.combine_chunks().to_batches()), "text", SLICE_BYTES):
         row, found = indicators(batch.column("text"))
         cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
         parts = [found[a:b].astype(np.int64) for a, b in zip(cuts, cuts[1:])]
@@ -201,7 +203,7 @@ def with_quality(docs: DataFrame, model: QualityModel | None, text: str = "text"
     place = kept.columns.index(text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE_BYTES):
             own = shared.value
             score = np.full(batch.num_rows, 0.5) if own is None else own.scores(batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, into])
