@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worklens import vocab
-from worklens.operators import ingest, models, retrieval
+from worklens.operators import ingest, models, near_search, retrieval
 from worklens.queries.base import Proxy, query, sql_collapse, sql_limited, sql_strip, table
 from worklens.session import written
 
@@ -84,6 +84,27 @@ def vector_top_k(spark, sf):
     return found.select("request_id", "query_index", "chunk_id", (F.round("score", 6) + 0.0).alias("score"), "cand_pos")
 
 
+@query("vector_near_search", _TOP_K)
+def vector_near_search(spark, sf):
+    """The exact search by cells: what the first cells leave open is looked up as far as the bound asks."""
+    chunks, queries = _vectors(spark, sf)
+    found = near_search.near_search(chunks, queries, 8, cells=16, probes=2)
+    return found.select("request_id", "query_index", "chunk_id", (F.round("score", 6) + 0.0).alias("score"), "cand_pos")
+
+
+@query(
+    "vector_near_recall",
+    f"select request_id, query_index, true as recalled from ({_TOP_K}) group by 1, 2",
+)
+def vector_near_recall(spark, sf):
+    """Whether a few cells alone find at least 0.9 of each query's exact answer, on the average of all queries."""
+    chunks, queries = _vectors(spark, sf)
+    near = near_search.near_search(chunks, queries, 8, cells=16, probes=12, exact=False).select("request_id", "query_index", "chunk_id", F.lit(1).alias("hit"))
+    exact = written(retrieval.search(chunks, queries).join(near, ["request_id", "query_index", "chunk_id"], "left"), "near-recall")
+    recall = exact.agg(F.count("hit") / F.count(F.lit(1))).first()[0]
+    return exact.select("request_id", "query_index", F.lit(recall >= 0.9).alias("recalled")).distinct()
+
+
 @query(
     "diverse_evidence",
     f"""
