@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from worklens import vocab
 from worklens.functions import text
 from worklens.plans.lifecycle import KEY, latest_complete
-from worklens.scale import top_k
+from worklens.scale import number_rows, top_k
 from worklens.session import written
 
 CHUNKS_PER_BLOCK = 4096
@@ -359,3 +359,26 @@ def recent_history(messages: DataFrame, limit: int, max_chars: int | None = None
     """
     last = top_k(messages, ["conv_id"], [F.col("turn").desc()], limit)
     return last.withColumn("content", text.limited("text", max_chars)).filter("content <> ''").drop("text")
+
+
+def running_history(messages: DataFrame, limit: int, max_chars: int | None = None, slice_rows: int = 4096) -> DataFrame:
+    """For every message the last ``limit`` messages of its conversation up to and with itself.
+
+    messages: conv_id, turn, role, text. Returns conv_id, turn, position and ``history``, an array of
+    (turn, role, content) from which blank messages have dropped out. Messages of one turn are ordered by
+    role and text, null turns come first. A conversation is cut into slices that carry the last rows of the
+    slice before, so one of any length is framed by many tasks.
+    """
+    if limit > slice_rows:
+        raise ValueError("a slice must hold the whole history of a message")
+    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    numbered = number_rows(messages.select("conv_id", "turn", "role", "text"), ["conv_id"], order, "position")
+    own = F.floor((F.col("position") - 1) / slice_rows).cast("long")
+    edge = (F.col("position") - 1) % slice_rows >= slice_rows - (limit - 1)
+    slices = F.explode(F.when(edge, F.array(own, own + 1)).otherwise(F.array(own))).alias("_slice")
+    placed = numbered.select("*", own.alias("_own"), slices)
+    message = F.struct("turn", "role", text.limited("text", max_chars).alias("content"))
+    window = Window.partitionBy("conv_id", "_slice").orderBy("position").rowsBetween(1 - limit, Window.currentRow)
+    framed = placed.withColumn("history", F.collect_list(message).over(window)).filter(F.col("_slice") == F.col("_own"))
+    history = F.filter("history", lambda m: m["content"] != "").alias("history")
+    return framed.select("conv_id", "turn", "position", history)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from worklens import vocab
 from worklens.plans.policy import Policy, classify
@@ -147,6 +149,22 @@ def run_summary(plan: DataFrame, queued: Column, run: str | None = None) -> Data
     return plan.groupBy(run).agg(*aggregates) if run else plan.agg(*aggregates)
 
 
+def write_with_summary(plan: DataFrame, path: str, queued: Column, run: str, runs: Sequence[str]) -> DataFrame:
+    """Writes a plan table and returns its ``run_summary`` for each of ``runs``, counted while it is written.
+
+    The plan runs once: the counts are observed on the rows that go to the files. Runs without rows have no line.
+    """
+    error = F.coalesce(F.col("action") == "error", F.lit(False))
+    measures = {"scanned": F.lit(True), "queued": queued & ~error, "skipped": ~queued & ~error, "errors": error}
+    seen = Observation()
+    counts = [F.count_if((F.col(run) == name) & measure).alias(f"{m}_{i}") for i, name in enumerate(runs) for m, measure in measures.items()]
+    plan.observe(seen, *counts).write.mode("overwrite").parquet(path)
+    found = seen.get
+    rows = [(name, *[found[f"{m}_{i}"] for m in measures]) for i, name in enumerate(runs)]
+    schema = f"{run} string, " + ", ".join(f"{m} long" for m in measures)
+    return plan.sparkSession.createDataFrame([r for r in rows if r[1]], schema)
+
+
 def action_counts(plan: DataFrame, action: str = "action", run: str | None = None) -> DataFrame:
     """Rows per action of a plan table: the counters of a run report."""
     keys = [run, action] if run else [action]

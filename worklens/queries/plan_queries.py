@@ -8,8 +8,9 @@ from worklens import vocab
 from worklens.operators import metrics, quality
 from worklens.plans import design, lifecycle, policy as rules
 from worklens.queries import plan_tables as t
-from worklens.queries.base import Proxy, query, sql_stamp, stamp, table
+from worklens.queries.base import REGISTRY, Proxy, query, sql_stamp, stamp, table
 from worklens.queries.change_events import DISPATCHES
+from worklens.session import new_shared_path
 from worklens.sources import items as item_source
 
 SYNC_ACTIVE = "('pending', 'scheduled', 'running', 'retry_wait')"
@@ -279,6 +280,17 @@ def reconciliation_summary(spark, sf):
     return lifecycle.run_summary(_reconciliation(spark, sf), F.col("queue"), "reason")
 
 
+#: Reasons that a policy can give.
+REASONS = ("board_not_managed", "excluded_group", "active_group", "auto_sync_disabled", "completed_retention_only", "unknown_group")
+
+
+@query("observed_summary", REGISTRY["reconciliation_summary"][1])
+def observed_summary(spark, sf):
+    """The same counts, observed while the plan is written."""
+    path = new_shared_path(spark, "reconciliation")
+    return lifecycle.write_with_summary(_reconciliation(spark, sf), path, F.col("queue"), "reason", REASONS)
+
+
 @query(
     "transition_plan",
     f"""

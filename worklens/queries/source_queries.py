@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from worklens.operators import models, quality
+from worklens.operators import models, quality, stage_cache
 from worklens.queries import plan_tables as t
-from worklens.queries.base import Proxy, query, stamp, table
+from worklens.queries.base import REGISTRY, Proxy, query, stamp, table
 from worklens.session import new_shared_path
 from worklens.sources import binary, events as event_source, items as item_source
 
@@ -144,20 +144,38 @@ def metadata_conflicts(spark, sf):
     "model_embeddings",
     """
     with v as (select doc_id, strlen(text)::double as a, length(text)::double as b from documents)
-    select doc_id, round(a / sqrt(a * a + b * b), 2) as x, round(b / sqrt(a * a + b * b), 2) as y from v where a > 0
+    select doc_id, round(coalesce(a / nullif(sqrt(a * a + b * b), 0), 0), 2) as x,
+        round(coalesce(b / nullif(sqrt(a * a + b * b), 0), 0), 2) as y from v
     """,
 )
 def model_embeddings(spark, sf):
-    """Vectors from a client of the caller's, made once per task and called in batches."""
+    """Vectors from a client of the caller's, made once per task and called in batches; empty texts have the zero vector."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _two_numbers(models.embed_with(docs, _size_client, "text", "embedding", batch_size=16))
 
-    def make_client():
-        return lambda texts: [[float(len(t.encode())), float(len(t))] for t in texts]
 
-    docs = table(spark, sf, "documents").select("doc_id", "text").filter("text <> ''")
-    rows = models.embed_with(docs, make_client, "text", "embedding", batch_size=16)
+def _size_client():
+    return lambda texts: [[float(len(t.encode())), float(len(t))] for t in texts]
+
+
+def _two_numbers(rows):
     return rows.select("doc_id", *(F.round(F.col("embedding")[i].cast("double"), 2).alias(c) for i, c in enumerate("xy")))
 
 
+@query("cached_embeddings", REGISTRY["model_embeddings"][1])
+def cached_embeddings(spark, sf):
+    """Two runs with one cache: the second gives the model only what the first, over one source, had not seen."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
+    path = new_shared_path(spark, "embedding-cache")
+
+    def embed(rows):
+        return models.embed_with(rows, _size_client, "text", "embedding", batch_size=16)
+
+    first = docs.agg(F.min("source")).first()[0]
+    stage_cache.cached(docs.filter(F.col("source").eqNullSafe(first)), "text", "sizes-1", path, embed)
+    return _two_numbers(stage_cache.cached(docs, "text", "sizes-1", path, embed))
+
+
 @query(
     "model_plans",
     """

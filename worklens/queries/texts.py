@@ -155,6 +155,28 @@ def recent_history(spark, sf):
     return h.select("conv_id", "turn", "role", F.md5("content").alias("content_md5"))
 
 
+@query(
+    "running_history",
+    f"""
+    with c as (select conv_id, turn, role, {sql_limited('text', 2000)} as content from conversations),
+    h as (
+        select conv_id, turn, row_number() over (partition by conv_id order by turn, role, content) as position,
+            list(case when content <> '' then turn || ':' || role || ':' || content end) over (
+                partition by conv_id order by turn, role, content rows between 7 preceding and current row) as lines
+        from c
+    )
+    select conv_id, turn, position::int as position, len(list_filter(lines, lambda x: x is not null))::int as n,
+        md5(array_to_string(list_filter(lines, lambda x: x is not null), chr(10))) as history_md5
+    from h
+    """,
+)
+def running_history(spark, sf):
+    """What a model would be shown at every turn of every conversation."""
+    h = retrieval.running_history(table(spark, sf, "conversations"), vocab.HISTORY_LIMIT, max_chars=2000)
+    lines = F.transform("history", lambda m: F.concat_ws(":", m["turn"].cast("string"), m["role"], m["content"]))
+    return h.select("conv_id", "turn", "position", F.size("history").alias("n"), F.md5(F.array_join(lines, "\n")).alias("history_md5"))
+
+
 BATCHED = Proxy(
     "documents",
     {
