@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from worklens import vocab
+from worklens.functions import keys
 from worklens.operators import ingest, routing
 from worklens.queries.base import Proxy, query, sql_strip, table
 from worklens.session import new_shared_path
@@ -36,6 +37,29 @@ def parameter_files(spark, sf):
     return found.withColumn("file", F.regexp_extract("path", "file=([0-9]+)", 1)).drop("path")
 
 
+@query(
+    "named_parameter_files",
+    f"""
+    with r as (select c_custkey // {ROWS_PER_FILE} as file, c_name as parameter, c_mktsegment || ', "' || c_nationkey || '"' as value, row_number() over (partition by c_custkey // {ROWS_PER_FILE} order by c_custkey % 7, c_name) as n from customer)
+    select 'AI_Data_' || file || '_' || substring(sha256(file::varchar), 1, 12) || '_' || substring(sha256('p'), 1, 12) || '.csv' as filename, n::int as row_index, parameter, value from r
+    """,
+)
+def named_parameter_files(spark, sf):
+    """Parameter tables under the names of their artifacts, read back file by file."""
+    file = F.floor(F.col("c_custkey") / ROWS_PER_FILE).cast("string")
+    rows = table(spark, sf, "customer").select(
+        keys.artifact_filenames(file, keys.digest(file), F.lit("p"))["ai_data"].alias("filename"),
+        (F.col("c_custkey") % 7).alias("seq"),
+        F.col("c_name").alias("parameter"),
+        F.concat("c_mktsegment", F.lit(', "'), F.col("c_nationkey").cast("string"), F.lit('"')).alias("value"),
+        F.lit("board").alias("source"),
+    )
+    path = new_shared_path(spark, "named-files")
+    sinks.write_parameter_files(rows, path)
+    found = csv_files.parameter_rows(binary.scan(spark, path, "*.csv"))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "row_index", "parameter", "value")
+
+
 @query(
     "mail_files",
     f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from worklens.functions import keys
+from worklens.sources.named_files import write_named_files
 
 
 def artifact_manifest(
@@ -56,5 +57,20 @@ def write_parameter_tables(rows: DataFrame, path: str, item: str = "item_id") ->
     ).mode("errorifexists").csv(path)
 
 
+def write_parameter_files(rows: DataFrame, path: str, filename: str = "filename", overwrite: bool = False) -> None:
+    """``Parameter,Value,Source`` tables under the file names that the rows carry, in report order.
+
+    rows: filename, seq, parameter, value, source. A failed job leaves no file behind; see ``write_named_files``.
+    """
+    options = {"escape": '"', "emptyValue": ""}
+    record = F.to_csv(F.struct("parameter", "value", "source"), options)
+    lines = rows.select(filename, F.col("seq").cast("long").alias("seq"), "parameter", record.alias("line"), F.lit(1).alias("part"))
+    # The header is a row of every file as well, before all others.
+    heads = rows.select(filename).distinct().select(
+        filename, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("parameter"), F.lit("Parameter,Value,Source").alias("line"), F.lit(0).alias("part")
+    )
+    write_named_files(heads.unionByName(lines), path, filename, "line", ["part", "seq", "parameter"], overwrite)
+
+
 def write_log(lines: DataFrame, path: str, line: str = "line") -> None:
     lines.select(F.col(line).alias("value")).write.mode("append").text(path)
