@@ -85,3 +85,27 @@ def test_history_at_every_turn(spark, slice_rows):
         for p in range(len(mine)):
             want[c, p + 1] = [(t, role, text.strip()) for _, t, role, text in mine[max(0, p - 2) : p + 1] if text.strip()]
     assert found == want
+
+
+def test_a_micro_batch_keeps_the_version_it_noted(spark, tmp_path):
+    """The item table changes between two micro-batches and again before one of them is repeated."""
+    from worklens.streaming import events as stream_ops
+
+    for part in ([(1, "a"), (2, "b")], [(3, "a")]):
+        spark.createDataFrame(part, "event_id int, item_id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id int, item_id string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    asked = []
+
+    def newest():
+        asked.append(f"v{len(asked)}")
+        return asked[-1]
+
+    def items_at(version):
+        return spark.createDataFrame([("a", version, "active", "r")], "item_id string, group_id string, item_state string, source_revision string")
+
+    out = str(tmp_path / "out")
+    # An earlier attempt of the second batch had noted its version before it was lost.
+    spark.createDataFrame([("noted",)], "version string").write.parquet(f"{out}/_versions/batch=1")
+    stream_ops.run_current_items(stream, str(tmp_path / "cp"), out, newest, items_at).awaitTermination()
+    rows = sorted((r.event_id, r.current_group_id, r.item_version) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, "v0", "v0"), (2, None, "v0"), (3, "noted", "noted")] and asked == ["v0"]

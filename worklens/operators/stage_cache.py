@@ -5,23 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from worklens.session import read_if_there
+
 #: Name of the content hash in the frames that a stage gets and gives.
 HASH = "content_hash"
 
 
 def stored_results(spark: SparkSession, path: str, version: str) -> DataFrame | None:
     """One result per content hash of a version; None before the first one."""
-    try:
-        rows = spark.read.parquet(f"{path}/version={version}")
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    rows = read_if_there(spark, f"{path}/version={version}")
     # Two runs side by side can have computed the same content.
-    return rows.drop("part").dropDuplicates([HASH])
+    return None if rows is None else rows.drop("part").dropDuplicates([HASH])
 
 
 def cached(df: DataFrame, content: str, version: str, path: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -353,6 +353,31 @@ def event_current_state(spark, sf):
     return joined.join(reasons, "item_id", "left").select("event_id", "item_id", "current_group_id", "item_state", "reason")
 
 
+@query(
+    "stream_pinned_items",
+    f"""
+    select event_id, user_id as item_id, case when c.item_id is not null then 'g' || ((o_custkey + event_id % 3) % 5) end as current_group_id, 'v' || (event_id % 3) as item_version
+    from events left join (select o_orderkey as item_id, o_custkey from orders) c on c.item_id = user_id
+    """,
+)
+def stream_pinned_items(spark, sf):
+    """Three micro-batches while the item table changes: every event is decided by the version of its batch."""
+    rows = table(spark, sf, "events").select("event_id", F.col("user_id").alias("item_id"))
+    out = new_shared_path(spark, "pinned-items")
+    for part in range(3):
+        rows.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    versions = iter(("v0", "v1", "v2"))
+
+    def items_at(version):
+        moved = ((F.col("o_custkey") + int(version[1:])) % 5).cast("string")
+        items = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), F.concat(F.lit("g"), moved).alias("group_id"))
+        return items.withColumns({"item_state": F.lit("active"), "source_revision": F.lit(version)})
+
+    stream_ops.run_current_items(stream, f"{out}/checkpoint", f"{out}/data", lambda: next(versions), items_at).awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("event_id", "item_id", "current_group_id", "item_version")
+
+
 SYNC_EVENTS = Proxy(
     "events",
     {

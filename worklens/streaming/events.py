@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from worklens import vocab
 from worklens.operators import events as ops
+from worklens.session import read_if_there
 from worklens.streaming.key_index import FAN, KEYS_PER_FILE, KeyIndex
 
 
@@ -141,6 +142,30 @@ def with_current_item(events: DataFrame, current_items: DataFrame) -> DataFrame:
     return events.join(decided, "item_id", "left")
 
 
+def run_current_items(
+    stream: DataFrame, checkpoint: str, path: str, newest: Callable[[], str], items_at: Callable[[str], DataFrame]
+) -> StreamingQuery:
+    """The current item of every event, each micro-batch by one version of an item table that changes.
+
+    ``newest`` names the version to use now, ``items_at`` reads one. A micro-batch notes its version before
+    anything is decided, so its rows never mix two versions and a repeated batch decides as the first attempt
+    did. ``path`` gets the rows with ``item_version``; ``path/_versions`` the version of each batch.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        note = f"{path}/_versions/batch={batch_id}"
+        known = read_if_there(spark, note)
+        if known is None:
+            spark.createDataFrame([(newest(),)], "version string").coalesce(1).write.mode("overwrite").parquet(note)
+            known = spark.read.parquet(note)
+        version = known.first()["version"]
+        decided = with_current_item(batch, items_at(version)).withColumn("item_version", F.lit(version))
+        decided.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return for_each_batch(stream, checkpoint, handle)
+
+
 def run_available(
     stream: DataFrame, checkpoint: str, path: str, mode: str = "append"
 ) -> StreamingQuery:
