@@ -189,3 +189,70 @@ def test_bpe_counts_equal_the_tokenizer(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, tokens string")
     got = {r["doc_id"]: r["tokens"] for r in token_rollup.bpe_counts(docs, path).collect()}
     assert got == {i: len(encoding.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
+
+
+def quadratic_best_fit(sizes, capacities, cost):
+    """Best fit by looking at every open bin for every piece."""
+    bins, place, left = [], {}, sum(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        rooms = [(free - sizes[i], b) for b, (free, _) in enumerate(bins) if free >= sizes[i]]
+        if rooms:
+            b = min(rooms)[1]
+        else:
+            b = len(bins)
+            bins.append((min((c for c in capacities if c >= sizes[i]), key=lambda c: (cost(c) / max(1, min(c, left)), c)), []))
+        place[i] = (b, sum(sizes[k] for k in bins[b][1]))
+        bins[b] = (bins[b][0] - sizes[i], [*bins[b][1], i])
+        left -= sizes[i]
+    return place, [min(c for c in capacities if c >= sum(sizes[k] for k in members)) for _, members in bins]
+
+
+def cheapest(sizes, capacities, cost):
+    """The least cost of all ways to deal the pieces to bins."""
+
+    def rest(k, loads):
+        if k == len(sizes):
+            return sum(cost(min(c for c in capacities if c >= load)) for load in loads)
+        options = [rest(k + 1, [*loads[:b], loads[b] + sizes[k], *loads[b + 1 :]]) for b in range(len(loads)) if loads[b] + sizes[k] <= max(capacities)]
+        return min([*options, rest(k + 1, [*loads, sizes[k]])])
+
+    return rest(0, [])
+
+
+def test_packing_equals_plain_best_fit_and_stays_near_the_optimum():
+    rng = random.Random(13)
+    for _ in range(300):
+        capacities = sorted(rng.sample([8, 16, 32, 64, 128], rng.randint(1, 4)))
+        sizes = [rng.choice([1, 3, rng.randint(1, capacities[-1])]) for _ in range(rng.randint(0, 40))]
+        bins, offsets, held = packing.best_fit(sizes, capacities)
+        place, want = quadratic_best_fit(sizes, capacities, packing.sequence_cost)
+        assert ([place[i] for i in range(len(sizes))], want) == (list(zip(bins, offsets)), held)
+    for _ in range(40):
+        capacities = sorted(rng.sample([8, 16, 32], 2))
+        sizes = [rng.randint(1, capacities[-1]) for _ in range(rng.randint(1, 7))]
+        own = sum(packing.sequence_cost(c) for c in packing.best_fit(sizes, capacities)[2])
+        least = cheapest(sizes, capacities, packing.sequence_cost)
+        assert least <= own + 1e-9 and own <= 1.5 * least
+
+
+def test_packed_documents_equal_plain_best_fit(spark):
+    """One group: null and repeated ids, ties of length, and documents longer than every bin."""
+    rng = random.Random(14)
+    rows = [(rng.choice([None, 1, 2, 3, 40]), rng.choice([5, 5, 30, 64, 200, 0])) for _ in range(120)]
+    docs = spark.createDataFrame([(i, "w " * (n - 1) if n else None) for i, n in rows], "doc_id long, text string").coalesce(1)
+    got = packing.pack(docs, (16, 64, 128), group_pieces=10_000).collect()
+    pieces = []
+    for i, n in rows:
+        n = max(1, n)
+        pieces += [(i, p, min(128, n - 128 * p)) for p in range(-(-n // 128))]
+    pieces.sort(key=lambda p: (p[0] is None, p[0] or 0, p[1]))
+    want = {}
+    # Rows of one id are taken as they come, so only what the bins hold is compared.
+    place, held = quadratic_best_fit(sorted((p[2] for p in pieces), reverse=True), (16, 64, 128), packing.sequence_cost)
+    assert sorted(r["capacity"] for r in {r["bin"]: r for r in got}.values()) == sorted(held)
+    assert sorted((str(r["doc_id"]), r["piece"], r["length"]) for r in got) == sorted((str(i), p, n) for i, p, n in pieces)
+    for r in got:
+        want.setdefault(r["bin"], []).append((r["bin_offset"], r["length"]))
+    for members in want.values():
+        members.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(members, members[1:])) and members[0][0] == 0
