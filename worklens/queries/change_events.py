@@ -11,7 +11,7 @@ from worklens.plans import lifecycle
 from worklens.plans.policy import Policy, classify
 from worklens.queries.base import Proxy, query, sql_stamp, stamp, table
 from worklens.session import new_shared_path
-from worklens.streaming import events as stream_ops
+from worklens.streaming import events as stream_ops, keyed_bursts
 
 NOW = "timestamp '2024-01-20 00:00:00'"
 
@@ -323,6 +323,17 @@ def stream_debounce(spark, sf):
     return _shown(stream_ops.bursts(spark, ["item_id"], f"{out}/data", GAP_SECONDS))
 
 
+@query("stream_keyed_bursts", _BURSTS)
+def stream_keyed_bursts(spark, sf):
+    """Six micro-batches in no order; each hands on only the bursts that it changes."""
+    rows = BURSTS.df(spark, sf)
+    out = new_shared_path(spark, "keyed-bursts")
+    rows.repartition(6, F.xxhash64("event_id")).write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    keyed_bursts.run_keyed_bursts(stream, ["item_id"], f"{out}/checkpoint", f"{out}/data", GAP_SECONDS, page=8).awaitTermination()
+    return _shown(keyed_bursts.current_bursts(spark, ["item_id"], f"{out}/data", GAP_SECONDS))
+
+
 POLICY = Policy("b1", ("g0", "g1"), ("g2",), "g3")
 CURRENT = Proxy(
     "orders",
