@@ -256,3 +256,15 @@ def test_packed_documents_equal_plain_best_fit(spark):
     for members in want.values():
         members.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(members, members[1:])) and members[0][0] == 0
+
+
+def test_a_url_of_a_megabyte_is_judged_by_its_few_last_labels(spark):
+    hosts = ["a." * 500_000 + "example.com", "x" * 1_000_000, "b." * 1000 + "net", "notexample.com", "example.com", "deep.er.example.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/de/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    want = {0: "example.com/de/", 1: None, 2: "net/", 3: None, 4: "example.com/de/", 5: "example.com/de/"}
+    for size in (64 << 20, 0):
+        got = url_filter.url_verdicts(pages, rules, broadcast_bytes=size).select("page_id", "rule").collect()
+        assert {r["page_id"]: r["rule"] for r in got} == want
+    assert list(url_filter.candidates("a.b.c", "/", [1], 3)) == [("b.c", "/"), ("c", "/")]
+    assert list(url_filter.candidates("ab.c", "/", [1], 3)) == [("c", "/")] and list(url_filter.candidates("abcd", "/", [1], 3)) == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ class DigestIndex:
             verdicts[key] = BLOCK if BLOCK in (verdict, verdicts.get(key)) else verdict
         entries = sorted((digest(key), key) for key in verdicts)
         self.lengths = sorted({len(key.split(b"\0", 1)[1].decode()) for key in verdicts})
+        self.longest = max((len(key.split(b"\0", 1)[0].decode()) for key in verdicts), default=0)
         n = len(entries)
         bounds = np.cumsum([0, *(len(key) for _, key in entries)]).astype(np.int64)
         file = tempfile.TemporaryFile()
@@ -78,8 +80,15 @@ class DigestIndex:
         return self.strings[self.bounds[entry] : self.bounds[entry + 1]].tobytes().decode().replace("\0", "", 1)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[tuple[str, str]]:
-    """The host and its parents, each with every prefix of the path that has the length of a rule's."""
+def candidates(host: str, path: str, lengths: list[int], longest: int) -> Iterator[tuple[str, str]]:
+    """The host and its parents, each with every prefix of the path that has the length of a rule's.
+
+    Only parents of up to ``longest`` characters, the longest host of a rule, can be one's: the others are
+    skipped at once, so a host of very many labels costs no more than a short one.
+    """
+    if len(host) > longest:
+        dot = host.find(".", len(host) - longest - 1)
+        host = host[dot + 1 :] if dot >= 0 else ""
     while host:
         for n in lengths:
             if n <= len(path):
@@ -94,7 +103,7 @@ def judge(index: DigestIndex, hosts: list[str], paths: list[str], lengths: list[
     keys: dict[tuple[str, str], int] = {}
     per_row = []
     for host, path in zip(hosts, paths):
-        per_row.append([keys.setdefault(c, len(keys)) for c in candidates(host, path, lengths)])
+        per_row.append([keys.setdefault(c, len(keys)) for c in candidates(host, path, lengths, index.longest)])
     listed = list(keys)
     found = index.find([f"{h}\0{p}".encode() for h, p in listed])
     rules, verdicts = [], []
@@ -141,11 +150,17 @@ def url_verdicts(
     return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
+@lru_cache(maxsize=1)
+def _index_of(rules: tuple) -> DigestIndex:
+    """The index of a rule list, sorted and mapped once in every worker."""
+    return DigestIndex(rules)
+
+
 def _with_broadcast_index(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    listed = [tuple(r) for r in rules.collect()]
+    listed = tuple(tuple(r) for r in rules.collect())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestIndex(listed)
+        index = _index_of(listed)
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             rule, verdict = judge(index, hosts, paths, index.lengths)
@@ -161,13 +176,14 @@ def _with_broadcast_index(rows: DataFrame, rules: DataFrame) -> DataFrame:
 def _with_sliced_index(rows: DataFrame, rules: DataFrame, size: int, slice_bytes: int) -> DataFrame:
     # The number of distinct lengths is bounded by the longest path of a rule.
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    longest = rules.agg(F.max(F.length("host"))).first()[0] or 0
     n = max(64, 4 * (size // max(1, slice_bytes)))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[str, str, str, str]] = []
             for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                out += [(host, path, h, p) for h, p in candidates(host, path, lengths)]
+                out += [(host, path, h, p) for h, p in candidates(host, path, lengths, longest)]
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.string()) for c in columns], names=["host", "path", "key_host", "key_path"]
