@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from worklens import vocab
 from worklens.operators import matching
 from worklens.queries.base import Proxy, query, table
+from worklens.session import written
 
 PROJECTS = Proxy(
     "part",
@@ -118,3 +119,36 @@ def match_contracts(spark, sf):
     enquiries = _enquiries(spark, sf)
     ranked = matching.rank_candidates(_matched(spark, sf))
     return matching.match_contracts(enquiries, ranked).drop("best_match", "similarity_score")
+
+
+@query(
+    "best_matches",
+    f"with m as ({_MATCHES}) select distinct enquiry_id, true as is_first, true as is_highest from m",
+)
+def best_matches(spark, sf):
+    """The best match of every contract is the first ranked candidate, and none is more similar."""
+    ranked = written(matching.rank_candidates(_matched(spark, sf)), "ranked")
+    contracts = matching.match_contracts(_enquiries(spark, sf), ranked).filter("exists")
+    first = ranked.filter("rank = 1").select("enquiry_id", "item_id", "similarity")
+    highest = ranked.groupBy("enquiry_id").agg(F.max("similarity").alias("highest"))
+    same = (F.col("best_match.item_id") == F.col("item_id")) & (F.col("similarity_score") == F.col("similarity"))
+    joined = contracts.join(first, "enquiry_id").join(highest, "enquiry_id")
+    return joined.select("enquiry_id", same.alias("is_first"), (F.col("similarity_score") == F.col("highest")).alias("is_highest"))
+
+
+@query(
+    "match_report",
+    f"""
+    with m as ({_MATCHES}), e as (select distinct enquiry_id, project_name from {ENQUIRIES.sql})
+    select e.enquiry_id, e.project_name as extracted_project_title, case when length(e.enquiry_id) % 2 = 0 then 'Roofs' else 'Not found' end as extracted_company, m.item_id
+    from e left join m using (enquiry_id)
+    """,
+)
+def match_report(spark, sf):
+    """Title and company of every enquiry next to each of its candidates; half of the companies are known."""
+    enquiries = _enquiries(spark, sf)
+    ranked = matching.rank_candidates(_matched(spark, sf))
+    company = F.when(F.length("enquiry_id") % 2 == 0, F.lit(': "Roofs"')).otherwise(F.lit(" "))
+    companies = enquiries.select("enquiry_id", company.alias("company"))
+    report = matching.match_report(matching.match_contracts(enquiries, ranked), ranked, companies)
+    return report.select("enquiry_id", "extracted_project_title", "extracted_company", "item_id")
