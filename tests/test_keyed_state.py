@@ -55,3 +55,59 @@ def test_a_late_observation_touches_its_slice_only_until_nothing_changes(spark,
     want = state.item_states(spark.createDataFrame([*rows, *late, *started], SCHEMA))
     got = keyed_state.current_states(spark, f"{tmp_path}/out")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+class Messages:
+    """State of one key that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def called(self, out=None):
+        self.calls += 1
+        return out
+
+    def get(self):
+        return self.called(self.held.get(()))
+
+    def update(self, value):
+        self.called(self.held.__setitem__((), value))
+
+    def exists(self):
+        return self.called(() in self.held)
+
+    def getValue(self, key):
+        return self.called(self.held.get(key))
+
+    def containsKey(self, key):
+        return self.called(key in self.held)
+
+    def updateValue(self, key, value):
+        self.called(self.held.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self.called(self.held.__delitem__(key))
+
+    def iterator(self):
+        return iter(self.called(list(self.held.items())))
+
+
+def test_slices_are_read_together_and_written_once():
+    """A micro-batch that falls into every slice reads them by one message and writes each by one."""
+    states = keyed_state.ItemStates(True, None, 4)
+    states.starts, states.slices = Messages(), Messages()
+    rng = random.Random(5)
+    fields = {seq: list(row[3:]) for seq, row in enumerate(observations(rng, "i", 80))}
+    states._merged({seq: f for seq, f in fields.items() if seq % 2})
+    n = len(states.slices.held)
+    states.starts.calls = states.slices.calls = 0
+    states._merged({seq: f for seq, f in fields.items() if seq % 8 == 0})
+    assert states.slices.calls <= 1 + n and states.starts.calls <= 2 and n >= 10
+
+
+def test_only_changed_states_are_handed_on():
+    """A snapshot that the next one overwrites corrects nothing behind that, not even in its own slice."""
+    states = keyed_state.ItemStates(True, None, 256)
+    states.starts, states.slices = Messages(), Messages()
+    states._merged({2 * n: ["snapshot", "ready", None, f"r{n % 2}", "p"] for n in range(100)})
+    assert [seq for seq, _ in states._merged({101: ["snapshot", "ready", None, "other", "p"]})] == [101]

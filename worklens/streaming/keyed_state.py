@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from worklens.streaming.events import for_each_batch
@@ -31,6 +31,7 @@ STATES = (
     "board_id string, item_id string, seq long, state string, desired_input_revision string, "
     "desired_pipeline_version string, obligation string, supersession_requested boolean"
 )
+STATE = Row(*[c.split()[0] for c in STATES.split(", ")])
 #: state, wanted, analysed, published and running identity, kind of the run, superseded.
 START = ["scheduled", None, None, None, None, None, False]
 FIRST = -(1 << 63)
@@ -76,6 +77,14 @@ def shown(registers: list, publication_allowed: bool) -> tuple:
     return (state, *(wanted or (None, None)), obligation, superseded)
 
 
+def pages_of(pages: Any, wanted: list[int], n_pages: int) -> dict[int, tuple]:
+    """All pages of a map state in one go where a third of them is wanted, else none.
+
+    Each call of the state is a message between worker and executor; many single ones cost more than the pages.
+    """
+    return {key[0]: value for key, value in pages.iterator()} if len(wanted) > 2 and 3 * len(wanted) >= n_pages else {}
+
+
 class ItemStates(StatefulProcessor):
     """Slices of one item as a map in the state store, and a list of where they start."""
 
@@ -87,65 +96,69 @@ class ItemStates(StatefulProcessor):
         self.starts = handle.getValueState("starts", "starts string")
         self.slices = handle.getMapState("slices", "start long", "before string, rows string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, list] = {}
-        for frame in rows:
-            frame = frame.astype(object).where(frame.notna(), None)
-            # Of several observations of one place the last to come counts.
-            for seq, *fields in frame[["seq", *FIELDS]].itertuples(index=False):
-                arrived[int(seq)] = fields
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
+        # Of several observations of one place the last to come counts.
+        arrived = {row.seq: [row[name] for name in FIELDS] for row in rows}
         changed = self._merged(arrived)
         if self.keep_for is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + 1000 * self.keep_for)
-        if changed:
-            columns = [c.split()[0] for c in STATES.split(", ")]
-            yield pd.DataFrame([(*key, seq, *shown(r, self.allowed)) for seq, r in changed], columns=columns)
+        for seq, registers in changed:
+            yield STATE(*key, seq, *shown(registers, self.allowed))
 
-    def handleExpiredTimer(self, key: tuple, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timers: Any, expired: Any) -> Iterator[Row]:
         """An item that was silent for so long is forgotten: what comes later starts anew."""
         self.starts.clear()
         self.slices.clear()
         return iter(())
 
     def _merged(self, arrived: dict[int, list]) -> list[tuple[int, list]]:
-        """Stores the new observations; the registers after every observation that they can have changed."""
-        starts = json.loads(self.starts.get()[0]) if self.starts.exists() else [FIRST]
+        """Stores the new observations; the registers after each of them and after every one that they have changed."""
+        known = self.starts.get()
+        starts = json.loads(known[0]) if known else [FIRST]
         groups: dict[int, dict[int, list]] = {}
         for seq in sorted(arrived):
             groups.setdefault(bisect_right(starts, seq) - 1, {})[seq] = arrived[seq]
-        waiting, out, known_starts, carried, i = sorted(groups), [], list(starts), None, -1
+        read = pages_of(self.slices, [starts[i] for i in groups], len(starts)) if known else {}
+        waiting, out, known_starts, carried, i = deque(sorted(groups)), [], list(starts), None, -1
         while waiting or carried is not None:
             i = i + 1 if carried is not None else waiting[0]
             if i >= len(starts):
                 break
-            held = self.slices.getValue((starts[i],)) if self.slices.containsKey((starts[i],)) else None
-            before, rows = (json.loads(held[0]), json.loads(held[1])) if held else (START, [])
+            found = (read.get(starts[i]) or self.slices.getValue((starts[i],))) if known else None
+            before, rows = [json.loads(part) for part in found] if found else (START, [])
             mine = groups.get(i, {})
             if carried is not None and carried == before and not mine:
                 carried = None
                 continue
             if waiting and waiting[0] == i:
-                waiting.pop(0)
-            first = min(mine) if carried is None or carried == before else FIRST
-            merged = {**{seq: fields for seq, fields in rows}, **mine}
-            registers = before if carried is None else carried
+                waiting.popleft()
+            held = dict(rows)
+            merged = sorted({**held, **mine}.items())
+            registers, old = before if carried is None else carried, before
             pieces, piece = [], []
             whole = len(merged) >= 2 * self.slice_size
-            for seq in sorted(merged):
+            for seq, fields in merged:
                 if not pieces or (whole and len(piece) == self.slice_size):
                     piece = []
                     pieces.append((seq if pieces else starts[i], registers, piece))
-                registers = observed(registers, merged[seq], self.allowed)
-                piece.append((seq, merged[seq]))
-                if seq >= first:
+                same = registers == old
+                registers = observed(registers, fields, self.allowed)
+                if seq in mine:
+                    old = observed(old, held[seq], self.allowed) if seq in held else old
                     out.append((seq, registers))
+                else:
+                    old = registers if same else observed(old, fields, self.allowed)
+                    if registers != old:
+                        out.append((seq, registers))
+                piece.append((seq, fields))
             for start, registers_before, piece in pieces:
                 self.slices.updateValue((start,), (json.dumps(registers_before), json.dumps(piece)))
             known_starts += [start for start, _, _ in pieces[1:]]
-            carried = registers
-        if len(known_starts) > len(starts) or not self.starts.exists():
+            # Where the registers are as before, the slices behind stay as they are.
+            carried = None if registers == old else registers
+        if len(known_starts) > len(starts) or not known:
             self.starts.update((json.dumps(sorted(known_starts)),))
         return out
 
@@ -164,7 +177,7 @@ def keyed_item_states(
     processor = ItemStates(publication_allowed, keep_for_seconds, slice_size)
     mode = "None" if keep_for_seconds is None else "ProcessingTime"
     wanted = stream.select(*KEYS, F.col("seq").cast("long").alias("seq"), *FIELDS)
-    return wanted.groupBy(*KEYS).transformWithStateInPandas(processor, STATES, "Update", mode)
+    return wanted.groupBy(*KEYS).transformWithState(processor, STATES, "Update", mode)
 
 
 def run_keyed_item_states(
