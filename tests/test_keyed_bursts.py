@@ -44,3 +44,22 @@ def test_a_late_event_changes_only_the_bursts_it_joins(spark, tmp_path):
     assert got.count() == 499
     one = got.filter("n_events = 3").first()
     assert (one.trigger_type, one.desired_source_revision) == ("x", "r")
+
+
+def test_pages_are_read_together_and_only_changed_ones_written():
+    """A micro-batch that falls into every page reads them by one message; a page it leaves alone is not written."""
+    from test_keyed_state import Messages
+
+    def events(places):
+        return [[at, at, 1, [at, at, "x"], None] for at in places]
+
+    bursts = keyed_bursts.ItemBursts(10, 4, [])
+    bursts.starts, bursts.pages = Messages(), Messages()
+    bursts._merged(events(range(0, 4000, 100)))
+    n = len(bursts.pages.held)
+    bursts.starts.calls = bursts.pages.calls = 0
+    bursts._merged(events(range(50, 4000, 100)))
+    assert bursts.pages.calls <= 1 + 2 * n and n >= 8
+    bursts.pages.calls = 0
+    assert [b[:3] for b in bursts._merged(events([2005]))] == [[2000, 2005, 2, ]]
+    assert bursts.pages.calls <= 4

@@ -11,17 +11,20 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from worklens import vocab
 from worklens.streaming.events import for_each_batch
+from worklens.streaming.keyed_state import pages_of
 
 #: Bursts of one page; one that grows to twice as many is cut.
 PAGE = 256
+#: New events of an item that are joined at a time.
+JOINED_AT_ONCE = 10_000
 FIRST = -(1 << 63)
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -58,28 +61,32 @@ class ItemBursts(StatefulProcessor):
         self.starts = handle.getValueState("starts", "starts string")
         self.pages = handle.getMapState("pages", "start long", "bursts string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: Any) -> Iterator[Row]:
+        shown = Row(*self.columns)
         new: list[list] = []
-        for frame in rows:
-            frame = frame.astype(object).where(frame.notna(), None)
-            for at, tie, trigger, revision in frame[["at", "tie", "trigger", "revision"]].itertuples(index=False):
-                new.append([int(at), int(at), 1, [int(at), tie, trigger], None if revision is None else [int(at), tie, revision]])
+        for part in iter(lambda: list(islice(rows, JOINED_AT_ONCE)), []):
+            for row in part:
+                at, tie, revision = row["at"], row["tie"], row["revision"]
+                new.append([at, at, 1, [at, tie, row["trigger"]], None if revision is None else [at, tie, revision]])
             new = joined(new, self.gap)
-        changes = self._merged(new)
-        data = [(*key, f, last, n, trigger[2], revision and revision[2], gone) for f, last, n, trigger, revision, gone in changes]
-        yield pd.DataFrame(data, columns=self.columns)
+        for first, last, n, trigger, revision, gone in self._merged(new):
+            yield shown(*key, first, last, n, trigger[2], revision and revision[2], gone)
 
     def _merged(self, new: list[list]) -> list[list]:
-        starts = json.loads(self.starts.get()[0]) if self.starts.exists() else [FIRST]
+        held = self.starts.get()
+        starts = json.loads(held[0]) if held else [FIRST]
         known = list(starts)
         pages: dict[int, list[list]] = {}
+        wanted = {bisect_right(starts, burst[0]) - 1 for burst in new}
+        read = pages_of(self.pages, [starts[i] for i in wanted], len(starts)) if held else {}
 
         def page(i: int) -> list[list]:
             if starts[i] not in pages:
-                there = self.pages.containsKey((starts[i],))
-                pages[starts[i]] = json.loads(self.pages.getValue((starts[i],))[0]) if there else []
+                found = (read.get(starts[i]) or self.pages.getValue((starts[i],))) if held else None
+                pages[starts[i]] = json.loads(found[0]) if found else []
             return pages[starts[i]]
 
+        changed: set[int] = set()
         made: dict[int, list] = {}
         gone: dict[int, list] = {}
         for burst in new:
@@ -92,12 +99,15 @@ class ItemBursts(StatefulProcessor):
             whole = joined([burst, *[b for _, b in near]], self.gap)[0]
             for i, b in near:
                 page(i).remove(b)
+                changed.add(starts[i])
                 made.pop(b[0], None)
                 gone[b[0]] = b
-            home = page(bisect_right(starts, whole[0]) - 1)
+            at = bisect_right(starts, whole[0]) - 1
+            home = page(at)
+            changed.add(starts[at])
             home.insert(bisect_right([b[0] for b in home], whole[0]), whole)
             made[whole[0]] = whole
-        for start, bursts in pages.items():
+        for start, bursts in [(start, bursts) for start, bursts in pages.items() if start in changed]:
             if len(bursts) >= 2 * self.page:
                 pieces = [bursts[i : i + self.page] for i in range(0, len(bursts), self.page)]
                 known += [piece[0][0] for piece in pieces[1:]]
@@ -106,10 +116,10 @@ class ItemBursts(StatefulProcessor):
             elif bursts or start == FIRST:
                 self.pages.updateValue((start,), (json.dumps(bursts),))
             else:
+                # A page that has a start has been written.
                 known.remove(start)
-                if self.pages.containsKey((start,)):
-                    self.pages.removeKey((start,))
-        if known != starts or not self.starts.exists():
+                self.pages.removeKey((start,))
+        if known != starts or not held:
             self.starts.update((json.dumps(sorted(known)),))
         return [[*b, False] for b in made.values()] + [[*b, True] for first, b in gone.items() if first not in made]
 
@@ -143,7 +153,7 @@ def run_keyed_bursts(
     # Map state needs this store; a query keeps the setting it was started with.
     spark.conf.set(setting, STORE)
     try:
-        bursts = rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Update", "None")
+        bursts = rows.groupBy(*keys).transformWithState(processor, schema, "Update", "None")
         return for_each_batch(bursts, checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"), "update")
     finally:
         if before is None:
