@@ -172,3 +172,31 @@ def test_similar_names_leave_the_join_only_where_they_can_qualify(spark, monkeyp
         able = {(a, b) for a in names for b in texts if 2 * common(a, b) >= threshold * (len(a) + len(b))}
         assert len(rows) == len(set(rows)) and set(rows) == able
         assert matching.similar_candidates(left, right, threshold).count() <= 1.5 * len(able) + 20
+
+
+def test_ratios_are_worked_out_once_behind_the_repartition(spark):
+    """The filter on the ratio must not move it in front of the exchange that spreads the pairs, nor repeat it."""
+    enquiries = spark.createDataFrame([("e", "Harbour Bridge")], "enquiry_id string, project_name string")
+    row = ("1", "TP1", "Harbour Bridge West", "active", "2023-01-01")
+    projects = spark.createDataFrame([row], "item_id string, project_reference string, project_title string, state string, created_date string")
+    matches = matching.match_projects(enquiries, projects)
+    for shown in (matches, matches.select("item_id")):
+        plan = shown._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        assert plan.index("ArrowEvalPython") < plan.index("RepartitionByExpression")
+
+
+def test_best_of_two_equals_both_ratios():
+    from difflib import SequenceMatcher
+
+    from worklens.functions.words import _best_of_two
+
+    def plain(name, reference, title):
+        ratios = [SequenceMatcher(None, name.lower(), x.lower()).ratio() for x in ([title] if title else []) + ([reference] if reference is not None else [])]
+        return max([0.0, *ratios]) if name is not None else 0.0
+
+    texts = ["", "a", "TP12", "Old Mill Road 12", "old mill", "Mill Road", "Brücke İstanbul", "harbour bridge", None]
+    for name in texts:
+        for reference in texts:
+            for title in texts:
+                assert _best_of_two(name, reference, title) == (0.0 if name is None else plain(name, reference, title))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -43,30 +44,36 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+@lru_cache(1 << 16)
+def _ratio(left: str, right: str) -> float:
+    """Ratio of two lower-cased texts; titles recur over the rows of many tasks."""
+    return SequenceMatcher(None, left, right).ratio()
+
+
+def _best_of_two(name: str | None, reference: str | None, title: str | None) -> float:
+    if name is None:
+        return 0.0
+    name = name.lower()
+    best = _ratio(name, title.lower()) if title else 0.0
+    if reference is not None:
+        reference = reference.lower()
+        length = len(name) + len(reference)
+        # Lengths alone rule out most references; the matcher is built for the others only.
+        if (2.0 * min(len(name), len(reference)) / length if length else 1.0) > best:
+            matcher = SequenceMatcher(None, name, reference)
+            if matcher.quick_ratio() > best:
+                best = max(best, matcher.ratio())
+    return best
+
+
 @F.pandas_udf(T.DoubleType())
 def _best_ratio(name: pd.Series, reference: pd.Series, title: pd.Series) -> pd.Series:
     """Best of the two ratios; the reference is skipped when its upper bound cannot win."""
-    by_title: dict[tuple[str, str], float] = {}
-    matcher = SequenceMatcher()
+    return pd.Series([_best_of_two(n, r, t) for n, r, t in zip(name, reference, title)], dtype="float64")
 
-    def one(n: str | None, r: str | None, t: str | None) -> float:
-        best = 0.0
-        if n is None:
-            return best
-        n = n.lower()
-        if t:
-            pair = (n, t.lower())
-            if pair not in by_title:
-                matcher.set_seqs(*pair)
-                by_title[pair] = matcher.ratio()
-            best = by_title[pair]
-        if r is not None:
-            matcher.set_seqs(n, r.lower())
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-                best = max(best, matcher.ratio())
-        return best
 
-    return pd.Series([one(n, r, t) for n, r, t in zip(name, reference, title)], dtype="float64")
+# A filter on the ratio would otherwise move it in front of a repartition, and work it out again behind.
+_best_ratio = _best_ratio.asNondeterministic()
 
 
 def name_similarity(name: Column | str, reference: Column | str, title: Column | str) -> Column:
