@@ -3,8 +3,9 @@
 The observations of an item lie in slices of the state: each holds the registers before it and
 its observations in ``seq`` order. A micro-batch reads, of the items it is about, only the slices its
 observations fall into, and the slices after them only as long as the registers before those
-change; a late observation corrects the states from the first one that it changes. What a batch reads
-is therefore bounded by its own rows and the slice size, not by the history of an item.
+change; a late observation corrects the states from the first one that it changes. Where more than two slices
+and a third of all are wanted, all are read in one go. What a batch reads is therefore bounded by its own rows
+and the slice size, not by the history of an item.
 
 ``item_states`` computes the same from whole histories as columns. An item's
 observations are one sequence, so those of one item in one micro-batch are worked on by one task.
